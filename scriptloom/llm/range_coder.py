@@ -23,6 +23,10 @@ BLOCK = 4096
 T1_BITS, T2_BITS = 10, 12
 EMPTY = 8  # confidence of a place that holds no id yet
 A_BITS, HI_BITS = 12, 12
+#: A remembered id with its confidence above bit 20; after a miss and after a hit; whether the id gives way.
+ID, NOTHING = (1 << 20) - 1, EMPTY << 20 | (1 << 20) - 1
+NEXT = np.array([0, 0, 1, 1, 2, 2, 3, 3, 0, *(min(k + 1, 7) for k in range(9))], np.int32) << 20
+REPLACED = np.array([True, *[False] * 7, True])
 _u = np.uint64
 TOP, LOW40 = _u(1 << 40), _u((1 << 40) - 1)
 
@@ -43,8 +47,7 @@ class Model:
         self.lane1, self.lane2 = np.arange(n, dtype=np.int64) << T1_BITS, np.arange(n, dtype=np.int64) << T2_BITS
         self.laneq, self.laneg = np.arange(n, dtype=np.int64) * (EMPTY + 1), np.arange(n, dtype=np.int64) * GROUPS
         self.lanec = np.arange(n, dtype=np.int64) * (GROUPS + 1)
-        self.id1, self.id2 = np.full(n << T1_BITS, -1, np.int32), np.full(n << T2_BITS, -1, np.int32)
-        self.c1, self.c2 = np.full(n << T1_BITS, EMPTY, np.uint8), np.full(n << T2_BITS, EMPTY, np.uint8)
+        self.t1, self.t2 = np.full(n << T1_BITS, NOTHING, np.int32), np.full(n << T2_BITS, NOTHING, np.int32)
         start = np.array([4000, 16000, 26000, 34000, 40000, 45000, 50000, 56000, 16], np.int32)
         self.q1, self.q2 = np.tile(start, n), np.tile(start, n)
         self.count = np.tile(PRIOR, (n, 1))
@@ -61,32 +64,31 @@ class Model:
         """The guesses, and the frequencies of the outcomes 0 (order 2's guess) and 1 (order 1's)."""
         self.at1 = self.lane1 + ((self.a * 40503 >> 4) & ((1 << T1_BITS) - 1))
         self.at2 = self.lane2 + ((self.a * 40503 + self.b * 60493 >> 5) & ((1 << T2_BITS) - 1))
-        self.p1, self.p2 = self.id1[self.at1], self.id2[self.at2]
-        self.k1, self.k2 = self.c1[self.at1], self.c2[self.at2]
+        e1, e2 = self.t1.take(self.at1), self.t2.take(self.at2)
+        self.p1, self.p2 = e1 & ID, e2 & ID
+        self.k1, self.k2 = e1 >> 20, e2 >> 20
         self.s1, self.s2 = self.laneq + self.k1, self.laneq + self.k2
-        q1, q2 = self.q1[self.s1].astype(np.int64), self.q2[self.s2].astype(np.int64)
+        self.w1, self.w2 = self.q1.take(self.s1), self.q2.take(self.s2)
+        q1, q2 = self.w1.astype(np.int64), self.w2.astype(np.int64)
         same = self.p1 == self.p2
         q2 = np.where(same, 65536 - ((65536 - q1) * (65536 - q2) >> 16), q2)
         self.f0 = 1 + (q2 * 3900 >> 16)
         self.f1 = np.where(same, 0, 1 + ((4090 - self.f0) * q1 >> 16))
 
     def learn(self, x: np.ndarray, group: np.ndarray) -> None:
-        for p, k, at, s, q, ids, conf in (
-            (self.p1, self.k1, self.at1, self.s1, self.q1, self.id1, self.c1),
-            (self.p2, self.k2, self.at2, self.s2, self.q2, self.id2, self.c2),
+        for p, k, at, s, q, was, entries in (
+            (self.p1, self.k1, self.at1, self.s1, self.q1, self.w1, self.t1),
+            (self.p2, self.k2, self.at2, self.s2, self.q2, self.w2, self.t2),
         ):
             hit = p == x
-            was = q[s]
             q[s] = was + ((hit * np.int32(65535) - was) >> 5)
-            new = (k == 0) | (k == EMPTY)
-            ids[at] = np.where(new, x, p)
-            conf[at] = np.where(hit, np.minimum(k + 1, 7), np.where(new, 0, k >> 1))
+            entries[at] = np.where(REPLACED.take(k), x, p) | NEXT.take(k + 9 * hit)
         self.count.reshape(-1)[self.laneg + group] += 24
         self.b, self.a = self.a, x.astype(np.int64)
 
     def shrink(self, n: int) -> None:
         """From now on only the first n lanes go on."""
-        for k, width in (("lane1", 1), ("lane2", 1), ("laneq", 1), ("laneg", 1), ("lanec", 1), ("a", 1), ("b", 1), ("id1", 1 << T1_BITS), ("c1", 1 << T1_BITS), ("id2", 1 << T2_BITS), ("c2", 1 << T2_BITS), ("q1", EMPTY + 1), ("q2", EMPTY + 1), ("cdf", GROUPS + 1)):
+        for k, width in (("lane1", 1), ("lane2", 1), ("laneq", 1), ("laneg", 1), ("lanec", 1), ("a", 1), ("b", 1), ("t1", 1 << T1_BITS), ("t2", 1 << T2_BITS), ("q1", EMPTY + 1), ("q2", EMPTY + 1), ("cdf", GROUPS + 1)):
             setattr(self, k, getattr(self, k)[: n * width])
         self.count, self.n = self.count[:n], n
 
@@ -128,18 +130,18 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         hit2 = x == m.p2
         hit1 = (x == m.p1) & ~hit2
         miss = ~(hit1 | hit2)
-        f0, f1, group = m.f0, m.f1, GROUP_OF[x]
+        f0, f1, group = m.f0, m.f1, GROUP_OF.take(x)
         r = rng >> _u(A_BITS)
-        low += r * np.where(hit2, 0, np.where(hit1, f0, f0 + f1)).astype(_u)
-        rng = r * np.where(hit2, f0, np.where(hit1, f1, (1 << A_BITS) - f0 - f1)).astype(_u)
+        low += r * np.where(hit2, 0, np.where(hit1, f0, f0 + f1)).view(_u)
+        rng = r * np.where(hit2, f0, np.where(hit1, f1, (1 << A_BITS) - f0 - f1)).view(_u)
         at = m.lanec + group
-        c = m.cdf[at]
+        c = m.cdf.take(at)
         r = rng >> _u(HI_BITS)
-        low += np.where(miss, r * c.astype(_u), 0).astype(_u)
-        rng = np.where(miss, r * (m.cdf[at + 1] - c).astype(_u), rng)
-        bits = LO_BITS[group].astype(_u)
+        low += r * c.view(_u) * miss
+        rng = np.where(miss, r * (m.cdf.take(at + 1) - c).view(_u), rng)
+        bits = LO_BITS.take(group).astype(_u)
         r = rng >> bits
-        low += np.where(miss, r * (x - FIRST[group]).astype(_u), 0).astype(_u)
+        low += r * (x - FIRST.take(group)).astype(_u) * miss
         rng = np.where(miss, r, rng)
         m.learn(x, group)
         for _ in range(2):
@@ -197,25 +199,25 @@ def decode(chunk: bytes) -> np.ndarray:
         m.predict()
         f0, f1 = m.f0, m.f1
         r = rng >> _u(A_BITS)
-        v = (code // r).astype(np.int64)
+        v = (code // r).view(np.int64)
         hit2 = v < f0
         miss = v >= f0 + f1
         hit1 = ~(hit2 | miss)
-        code = code - r * np.where(hit2, 0, np.where(hit1, f0, f0 + f1)).astype(_u)
-        rng = r * np.where(hit2, f0, np.where(hit1, f1, (1 << A_BITS) - f0 - f1)).astype(_u)
+        code = code - r * np.where(hit2, 0, np.where(hit1, f0, f0 + f1)).view(_u)
+        rng = r * np.where(hit2, f0, np.where(hit1, f1, (1 << A_BITS) - f0 - f1)).view(_u)
         r = rng >> _u(HI_BITS)
-        v = np.minimum((code // np.maximum(r, _u(1))).astype(np.int64), (1 << HI_BITS) - 1)
+        v = np.minimum((code // r).view(np.int64), (1 << HI_BITS) - 1)
         group = np.zeros(m.n, np.int64)
         for step in (256, 128, 64, 32, 16, 8, 4, 2, 1):
             further = np.minimum(group + step, GROUPS - 1)
-            group = np.where(m.cdf[m.lanec + further] <= v, further, group)
+            group = np.where(m.cdf.take(m.lanec + further) <= v, further, group)
         at = m.lanec + group
-        c = m.cdf[at]
-        code = np.where(miss, code - r * c.astype(_u), code)
-        rng = np.where(miss, r * (m.cdf[at + 1] - c).astype(_u), rng)
-        bits = LO_BITS[group]
+        c = m.cdf.take(at)
+        code = np.where(miss, code - r * c.view(_u), code)
+        rng = np.where(miss, r * (m.cdf.take(at + 1) - c).view(_u), rng)
+        bits = LO_BITS.take(group)
         r = rng >> bits.astype(_u)
-        lo = np.minimum((code // np.maximum(r, _u(1))).astype(np.int64), (1 << bits) - 1)
+        lo = np.minimum((code // r).view(np.int64), (1 << bits) - 1)
         code = np.where(miss, code - r * lo.astype(_u), code)
         rng = np.where(miss, r, rng)
         x = np.where(miss, FIRST[group] + lo, np.where(hit2, m.p2, m.p1)).astype(np.int32)

@@ -31,6 +31,7 @@ CHUNK_IDS = 3_000_000
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 300_000
 _space = re.compile(r"[\x20\x09-\x0D]+")
+_plain = re.compile(r"([^\W\d_]+)([.,;:!?|]*)")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -42,8 +43,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Ids of texts as little-endian 32-bit integers.
 
-    The tokenizer's words never cross white space, so a text's ids are those of its white-space separated pieces,
-    and a piece met before needn't be encoded again.
+    The tokenizer splits texts into units, runs of letters or of other signs, that never cross white space and whose
+    last token alone carries its word-end mark. So a text's ids are those of its words, a word is encoded once, and the new
+    units of a batch are encoded as one line: the marks tell where a unit's ids end. A word that isn't plainly letters
+    and closing signs, or a line with another number of marks than units, is encoded by itself.
     """
 
     def __init__(self, path: str):
@@ -52,17 +55,42 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known, self.units = Tokenizer.from_file(path), {"": b""}, {"": b""}
+        size = self.tokenizer.get_vocab_size()
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.closes = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _units(self, units: list[str]) -> None:
+        for i in range(0, len(units), 10_000):
+            part = units[i : i + 10_000]
+            (line,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(line.ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                self.units.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
+            else:
+                self.units.update(zip(part, self._alone(part)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         pieces = [_space.split(t) if t else [] for t in texts]
-        new = list({p for ps in pieces for p in ps if p not in self.known})
+        new = list(set().union(*pieces).difference(self.known))
         if new:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+            split = [(w, m.groups()) for w, m in zip(new, map(_plain.fullmatch, new)) if m]
+            self._units(list({u for _, pair in split for u in pair}.difference(self.units)))
+            units, known = self.units, self.known
+            for w, (letters, signs) in split:
+                known[w] = units[letters] + units[signs]
+            whole = [w for w in new if w not in known]
+            known.update(zip(whole, self._alone(whole)))
         out = [b"".join(map(self.known.__getitem__, ps)) for ps in pieces]
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
+        if len(self.units) > CACHE_WORDS:
+            self.units = {"": b""}
         return out
 
 
