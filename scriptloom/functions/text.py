@@ -17,18 +17,24 @@ _PART = rf"(?U){SPACE}*[^\s\x1c-\x1f]+(?:{SPACE}+\z)?"
 
 
 @cache
-def _folds() -> tuple[str, str, dict[str, str]]:
-    """Case folding by character: those that fold to one character, their folds, and those that fold to more."""
+def _folds() -> tuple[str, str, dict[str, str], str]:
+    """Case folding by character: those that fold to one character, their folds, those that fold to more; and a
+    pattern of all characters for which lower case may not be the fold.
+
+    Below U+0530 lower case is the fold, but for a few; beyond, whole ranges of scripts with case are suspected.
+    """
     pairs = [(c, c.casefold()) for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and c.casefold() != c]
     one = [p for p in pairs if len(p[1]) == 1]
-    return "".join(a for a, _ in one), "".join(b for _, b in one), {a: b for a, b in pairs if len(b) > 1}
+    few = "".join(a for a, b in pairs if a < "\u0530" and (b != a.lower() or len(b) > 1)) + "\u03a3"
+    suspected = rf"[{few}\u0530-\u1fff\u2100-\u2fff\ua640-\uabff\ufb00-\ufb1f\uff00-\uffef\x{{10400}}-\x{{1efff}}]"
+    return "".join(a for a, _ in one), "".join(b for _, b in one), {a: b for a, b in pairs if len(b) > 1}, suspected
 
 
 def casefold(x: Column) -> Column:
-    source, target, longer = _folds()
+    source, target, longer, suspected = _folds()
     table = F.create_map(*(F.lit(v) for pair in longer.items() for v in pair))
     spelled = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    return F.translate(F.when(x.rlike("[" + "".join(longer) + "]"), spelled).otherwise(x), source, target)
+    return F.when(x.rlike(suspected), F.translate(spelled, source, target)).otherwise(F.lower(x))
 
 
 def strip(x: Column) -> Column:
@@ -62,8 +68,10 @@ def normal_parts(x: Column) -> Column:
 
 
 def words(x: Column) -> Column:
-    """The normal forms of the tokens; none for null."""
-    return F.coalesce(F.filter(normal_parts(x), lambda w: w != ""), F.array().cast("array<string>"))
+    """The normal forms of the tokens; none for null. The text is normalized as a whole and then split."""
+    plain = F.regexp_replace(casefold(x), r"(?U)[^\p{L}\p{N}_'\s\x1c-\x1f]+", "")
+    bare = F.regexp_replace(plain, r"(?U)(?<![^\s\x1c-\x1f])[_']+|[_']+(?![^\s\x1c-\x1f])", "")
+    return F.coalesce(F.filter(F.split(bare, rf"(?U){SPACE}+"), lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def equivalent(left: Column, right: Column) -> Column:

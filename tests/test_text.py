@@ -9,7 +9,7 @@ from scriptloom.functions import tokens as P
 
 TEXTS = [
     "", " ", "Hello, world!", "We  need\n to solve", "don't 'quote' _x_ --", "Straße İstanbul ﬁn ΑΣ", "a\x1cb c", "...", "one", "tail space ", "x" * 50, None,
-    'He said "stop."', "no end", "wait?) ", "über-alles 12,5 €",
+    "Σ ΣΑΣ ǅ Ꭰ ꭰ K Å ﬀ ẞ 𐐀 Ω ΐ ŉ", "_'a'_ '' _ x_'", "日本 – … € Ж", 'He said "stop."', "no end", "wait?) ", "über-alles 12,5 €",
 ]
 
 
