@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import small_batches, table, written
+from .base import released, small_batches, table, written
 from .components import connected
 from .decontaminate import _mix, gram_hashes_rows
 
@@ -59,7 +59,7 @@ class WordHashes(dict):
 
 def shingle_hashes(texts: list[str | None], known: WordHashes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of all texts as 64-bit hashes, where each text's begin (with the end), and the numbers of words."""
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     words = [t.encode().translate(LOWER).split() if t else [] for t in texts]
     n = np.array([len(w) for w in words], np.int64)
@@ -199,7 +199,7 @@ def nodes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     thin = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("node"), F.col(text).alias("t"))
     kind = docs.schema[key].dataType.simpleString()
-    return written(thin.mapInArrow(run, f"doc_id {kind}, node binary, n_words long, keys array<long>"), "signed")
+    return written(thin.mapInArrow(released(run), f"doc_id {kind}, node binary, n_words long, keys array<long>"), "signed")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .base import WORD, fresh, small_batches, table
+from .base import WORD, fresh, released, small_batches, table
 
 _word, _symbol = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words")
@@ -92,7 +92,7 @@ def ledger(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, st
                 [*batch.columns, *cols, pa.array(bits, pa.int64())], names=[f.name for f in schema.fields]
             )
 
-    return docs.mapInArrow(evaluate, schema), names
+    return docs.mapInArrow(released(evaluate), schema), names
 
 
 def kept(policy: str, failed_rules: str = "failed_rules"):

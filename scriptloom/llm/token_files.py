@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .base import small_batches, table, written
+from .base import released, small_batches, table, written
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 #: A chunk closes at this many ids; its coding takes about 80 bytes of memory an id at most.
-CHUNK_IDS = 3_000_000
+CHUNK_IDS = 2_000_000
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _space = re.compile(r"[\x20\x09-\x0D]+")
 _plain = re.compile(r"([^\W\d_]+)([.,;:!?|]*)")
 
@@ -132,7 +132,7 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
         if held:
             yield close()
 
-    return written(dealt.select("k", "t").mapInArrow(run, CHUNK_SCHEMA), "tokens")
+    return written(dealt.select("k", "t").mapInArrow(released(run), CHUNK_SCHEMA), "tokens")
 
 
 def read(chunks: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def read(chunks: DataFrame) -> DataFrame:
                     })
 
     decoded = chunks.select("part", "chunk", "doc_ids", "lengths", "payload").mapInArrow(
-        run, "part long, chunk long, doc_id long, start long, n_tokens long, ids_crc32 long"
+        released(run), "part long, chunk long, doc_id long, start long, n_tokens long, ids_crc32 long"
     )
     return decoded.join(starts, ["part", "chunk"]).select("doc_id", (F.col("start") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
 
