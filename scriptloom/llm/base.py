@@ -17,8 +17,8 @@ from ..shipping import ship
 #: Words between ASCII white space; other Unicode spaces belong to words.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one Arrow batch: bounds a Python worker's memory when texts are long.
-ARROW_ROWS = 500
-ARROW_BYTES = 16 << 20
+ARROW_ROWS = 250
+ARROW_BYTES = 4 << 20
 
 _own_dir: list[str] = []
 
