@@ -31,7 +31,7 @@ RULES = {
     "short_words": lambda m: m["word_chars"] < 2 * m["n_words"],
     "long_words": lambda m: m["word_chars"] > 20 * m["n_words"],
     "symbols": lambda m: 10 * m["n_symbols"] > 3 * m["n_words"],
-    "repeated_lines": lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"],
+    "repeated_lines": lambda m: 2 * m["n_dup_lines"] > m["n_lines"],
     "few_letters": lambda m: 10 * m["n_letter_words"] < 5 * m["n_words"],
 }
 BIT = {rule: 1 << i for i, rule in enumerate(RULES)}
@@ -142,7 +142,7 @@ m AS (SELECT w.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars
   FROM w LEFT JOIN lw USING (rid) LEFT JOIN dl USING (rid) LEFT JOIN rw USING (rid)),
 f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (word_chars < 2 * n_words)::BIGINT
   + 8 * (word_chars > 20 * n_words)::BIGINT + 16 * (10 * n_symbols > 3 * n_words)::BIGINT
-  + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 64 * (10 * n_letter_words < 5 * n_words)::BIGINT AS failed_rules FROM m)
+  + 32 * (2 * n_dup_lines > n_lines)::BIGINT + 64 * (10 * n_letter_words < 5 * n_words)::BIGINT AS failed_rules FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM f
 """
