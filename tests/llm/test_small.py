@@ -249,14 +249,14 @@ def test_attention_is_causal_normalized_and_learns():
     inputs, wanted, *_ = attention_lm.windows(train)
     w1 = w0
     for _ in range(3):
-        w1 = attention_lm.train(w1, *tables, inputs, wanted, 0.01)
-    assert attention_lm.score(w1, *tables, held).sum() > attention_lm.score(w0, *tables, held).sum()
+        w1 = attention_lm.train(w1, tables, inputs, wanted, 0.01)
+    assert attention_lm.score(w1, tables, held).sum() > attention_lm.score(w0, tables, held).sum()
     one, every = inputs[:1], np.arange(attention_lm.VOCAB, dtype=np.int32)
-    p = [attention_lm.forward(w1, *tables, one, np.full((1, attention_lm.STRIDE), t, np.int32))[0] for t in every]
+    p = [attention_lm.forward(w1, tables, one, np.full((1, attention_lm.STRIDE), t, np.int32))[0] for t in every]
     assert np.allclose(np.exp(np.array(p, np.float64)).sum(axis=0), 1, atol=1e-3)
     later = one.copy()
     later[0, -1] = 7
-    a, b = (attention_lm.forward(w1, *tables, x, wanted[:1])[0] for x in (one, later))
+    a, b = (attention_lm.forward(w1, tables, x, wanted[:1])[0] for x in (one, later))
     assert np.allclose(a[:-1], b[:-1])
     n = sum((wanted < attention_lm.VOCAB).sum(axis=1))
     assert n == sum(map(len, train))
