@@ -258,6 +258,9 @@ def test_attention_is_causal_normalized_and_learns():
     later[0, -1] = 7
     a, b = (attention_lm.forward(w1, tables, x, wanted[:1])[0] for x in (one, later))
     assert np.allclose(a[:-1], b[:-1])
+    again = attention_lm.folded(attention_lm.fold(w1), tables, inputs, wanted)
+    assert np.allclose(again, attention_lm.forward(w1, tables, inputs, wanted)[0], atol=1e-3)
+    assert sorted(tables[3].tolist()) == list(range(attention_lm.VOCAB + 1))
     n = sum((wanted < attention_lm.VOCAB).sum(axis=1))
     assert n == sum(map(len, train))
 
@@ -298,3 +301,17 @@ def test_pipeline(spark, docs, empty, tmp_path):
             before, frame = frame.columns, written(stage(spark, frame, sf), name)
             assert name == "token_output" or frame.columns == before
         assert frame.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_windows_by_definition():
+    c, s, end, none = attention_lm.CONTEXT, attention_lm.STRIDE, attention_lm.END, attention_lm.VOCAB
+    docs = [np.arange(n, dtype="<u2") + 5 for n in (1, s - 1, s, s + 1, 3 * s + 2)]
+    want = []
+    for o, d in enumerate(docs):
+        for a in range(0, len(d), s):
+            before = [int(d[i]) if 0 <= i < len(d) else end for i in range(a + s - c - 1, a + s - 1)]
+            want.append((before, [int(d[i]) if i < len(d) else none for i in range(a, a + s)], o))
+    for every, skip in ((1, 0), (3, 2)):
+        inputs, wanted, owner, n = attention_lm.windows(docs, every, skip)
+        assert n == len(want) and list(zip(inputs.tolist(), wanted.tolist(), owner.tolist())) == want[skip::every]
+    assert attention_lm.windows([])[3] == 0
