@@ -44,6 +44,7 @@ def run(args: argparse.Namespace) -> None:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from .operators.memo import workspace_key
     from .operators.render import documents_json, markdown
     from .plans import analysis, windows
     from .sources import media as M
@@ -54,15 +55,16 @@ def run(args: argparse.Namespace) -> None:
     for tool in ("ffprobe", "ffmpeg"):
         M.require(tool)
     spark = SparkSession.builder.appName("scriptloom").getOrCreate()
-    files = M.media_files(spark, args.source).withColumn("source", F.regexp_replace("path", "^file:", "")).withColumn("media_id", F.substring(F.sha2("path", 256), 1, 16))
-    info = M.probed(M.probe_files(files))
+    files = M.media_files(spark, args.source).withColumn("source", F.regexp_replace("path", "^file:", ""))
+    kept = workspace_key(F.col("path"), F.col("size"), F.col("modified"), *map(F.lit, (config.chunk_seconds, config.overlap_seconds, config.fps, config.max_edge)))
+    info = M.probed(M.probe_files(files.withColumn("media_id", kept)))
     plan = windows.plan_chunks(info.where("error IS NULL"), chunk=config.chunk_seconds, overlap=config.overlap_seconds)
     plan = M.decode_chunks(plan.drop("modified"), f"{config.output_dir}/chunks", config.fps, config.max_edge)
     if args.command == "prepare":
         M.manifest(plan, ["source", "size"], ["duration_seconds", "width", "height", "has_audio", "has_video"], ["start_seconds", "chunk_seconds", "video_path", "audio_path", "frame_paths"]).write.mode("overwrite").json(f"{config.output_dir}/manifest")
         return
     chunks = plan.select("media_id", "index", "start_seconds", F.col("chunk_seconds").alias("duration_seconds"), "video_path", "audio_path", "frame_paths")
-    docs, whole = analysis.analyze(info.select("media_id", "source", "media_type", "duration_seconds"), chunks, config)
+    docs, whole = analysis.analyze(info.select("media_id", "source", "media_type", "duration_seconds"), chunks, config, cache=f"{config.output_dir}/cache")
     whole.write.mode("overwrite").parquet(f"{config.output_dir}/chunks.parquet")
     whole = spark.read.parquet(f"{config.output_dir}/chunks.parquet")
     markdown(docs, whole).select("markdown").write.mode("overwrite").text(f"{config.output_dir}/markdown")

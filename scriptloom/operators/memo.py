@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,3 +36,39 @@ def resumed(work: DataFrame, cache: DataFrame, keys: list[str], compute: Callabl
     hits = work.join(cache, keys, "inner")
     fresh = compute(pending(work, cache, keys))
     return (again(hits) if again else hits).unionByName(fresh), fresh
+
+
+class Results:
+    """Results of calls as JSON files by key, in a folder that all executors share; without a folder nothing is kept.
+
+    They are written from inside tasks, so a task that runs again after a lost executor asks for nothing twice. A file
+    appears whole or not at all; one that isn't a JSON object counts as missing.
+    """
+
+    def __init__(self, folder: str | None, **common):
+        self.folder, self.common = folder, common
+
+    def _at(self, key: dict) -> Path:
+        name = hashlib.sha256(json.dumps(self.common | key, sort_keys=True).encode()).hexdigest()
+        return Path(self.folder, name[:2], f"{name}.json")
+
+    def _put(self, at: Path, value: dict) -> None:
+        at.parent.mkdir(parents=True, exist_ok=True)
+        part = at.with_name(f"{at.name}.{uuid.uuid4().hex}.part")
+        part.write_text(json.dumps(value))
+        os.replace(part, at)
+
+    def of(self, key: dict, ask: Callable[[], dict], settle: Callable[[dict], dict]) -> dict:
+        """settle()d result of ask(). An earlier result is settled again, and rewritten if that changes it."""
+        if not self.folder:
+            return settle(ask())
+        at = self._at(key)
+        try:
+            held = json.loads(at.read_text())
+        except (OSError, ValueError):
+            held = None
+        found = isinstance(held, dict)
+        out = settle(held if found else ask())
+        if not found or out != held:
+            self._put(at, out)
+        return out

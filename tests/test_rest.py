@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import uuid
 from urllib.error import HTTPError, URLError
 
 import pytest
@@ -168,6 +169,40 @@ def test_analysis(spark):
     assert "x0" in got["m"]["transcript"] and got["n"]["transcript"] == "" and got["n"]["translation"] is None
 
 
+def test_analysis_resumes(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Fake:
+        def transcribe(self, audio, *, start, seconds, language, translate_to):
+            (calls / f"audio-{uuid.uuid4().hex}").touch()
+            return {"transcript": f"said at {start}", "segments": []}
+
+        def describe(self, video, *, start, seconds, frames, transcript, continuity, user_context):
+            (calls / f"visual-{uuid.uuid4().hex}").touch()
+            return {"summary": f"{user_context} {start}", "shots": [{"start": start, "end": start + 1, "description": "d"}]}
+
+    info = spark.createDataFrame([("m", "a.mp4", "video", 60.0)], "media_id string, source string, media_type string, duration_seconds double")
+    chunks = spark.createDataFrame([("m", i, 28.0 * i, 30.0, "v", f"x{i}.wav", None) for i in range(2)], "media_id string, index int, start_seconds double, duration_seconds double, video_path string, audio_path string, frame_paths array<string>")
+
+    def asked(context, **more):
+        before = sorted(p.name for p in calls.iterdir())
+        config = analysis.Config("out", backend="llama-cpp", user_context=context, **more)
+        _, whole = analysis.analyze(info, chunks, config, Fake, cache=str(tmp_path / "cache"))
+        rows = sorted(whole.collect(), key=lambda r: r["index"])
+        assert [r["visual"]["summary"] for r in rows] == [f"{context} 0.0", f"{context} 28.0"]
+        new = {p.name for p in calls.iterdir()} - set(before)
+        return sum(n.startswith("audio") for n in new), sum(n.startswith("visual") for n in new)
+
+    assert asked("one") == (2, 2)
+    assert asked("one") == (0, 0)
+    assert asked("two") == (0, 2)  # a changed context asks for pictures alone
+    assert asked("two", seed=8) == (2, 2)
+    for file in (tmp_path / "cache").rglob("*.json"):
+        file.write_text("{")  # broken files count as missing
+    assert asked("one") == (2, 2) and not list((tmp_path / "cache").rglob("*.part"))
+
+
 @pytest.mark.parametrize("bad", [{"backend": "x"}, {"chunk_seconds": 31}, {"fps": 0}, {"max_edge": 100}, {"max_new_tokens": 1}, {"context_size": 1}, {"timeout_seconds": 0}, {"media_mode": "x"}, {"backend": "ollama", "media_mode": "file-url"}])
 def test_config(bad):
     with pytest.raises(ConfigurationError):
