@@ -7,6 +7,10 @@ all headers and templates; cosines are sums over the terms they share. A file ta
 cosine LEAST or more; a file without one inherits that of the nearest directory above it (or its own) whose licence
 files give one, by a join of its directories' paths.
 
+Beside its sentences, a file's header blocks (runs of consecutive lines that speak of a licence: the paragraphs, and
+each whole comment) and, in a licence file, its whole text are vectors too, in a space of their own with the licences'
+full texts and standard headers; these count from cosine LEAST_WHOLE on. The best cosine of all wins.
+
 Null texts have no headers and null paths no directory; neither fails. Ties go to the first template name, and among a
 directory's licence files to the highest cosine, then the first name. Repeated rows are each judged. Very long texts
 are read whole. Empty tables give empty results. Columns of files are carried along; clashing names get underscores.
@@ -14,12 +18,14 @@ are read whole. Empty tables give empty results. Columns of files are carried al
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fresh, table
+from .base import fresh, table, written
 
-LEAST = 0.6
+LEAST, LEAST_WHOLE = 0.6, 0.8
 #: What a header has to contain, in lower case, and the names of licence files.
 CUES = ("licen", "copyright", "spdx", "permission is hereby granted")
 LICENSE_FILE = r"(?i)^(?:license|licence|copying|notice)(?:\.[a-z]+)?$"
@@ -43,6 +49,24 @@ TEMPLATES = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
 )
+#: Licence, standard header of a source file, without the name of the work.
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, {1}",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details. "
+    "You should have received a copy of the GNU {0}General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+)
+_LATER = "either version {0} of the License, or (at your option) any later version."
+_APACHE = (
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+)
+HEADERS = (
+    *((name, text.format(kind, _LATER.format(version))) for name, kind, version in (("AGPL-3.0", "Affero ", 3), ("GPL-2.0", "", 2), ("GPL-3.0", "", 3), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", 3)) for text in (_GNU[0], " ".join(_GNU))),
+    ("Apache-2.0", _APACHE[0]), ("Apache-2.0", " ".join(_APACHE)),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
+#: A line without letters or digits; a line of a comment.
+BLANK, COMMENT = r"^[^\p{L}\p{N}]*$", r"^\s*(?:#|//|/?\*|--|;|%|<!--)"
 SENTENCE, TERM = r"\n|[.!?;]\s+|[.!?;]$", r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
@@ -57,40 +81,68 @@ def headers(text):
     return F.when(cue(F.lower(some)), F.filter(F.transform(F.split(some, SENTENCE), lambda s: F.trim(s)), lambda s: cue(F.lower(s)))).otherwise(F.array().cast("array<string>"))
 
 
-def matched(notices: DataFrame) -> DataFrame:
-    """(header, license, score) of the best template of each header; notices: header, n (how often it occurs)."""
+def blocks(text):
+    """The header blocks of a text: paragraphs and whole comments that speak of a licence."""
+    cue = lambda s: F.reduce(F.array(*(F.contains(F.lower(s), F.lit(c)) for c in CUES)), F.lit(False), lambda a, b: a | b)
+    some = F.translate(F.coalesce(text, F.lit("")), "\u0001", " ")
+    lines = F.split(some, r"\r?\n")
+    paragraph = lambda s: s.rlike(BLANK)
+    comment = lambda s: F.when(s.rlike(COMMENT), 1).when(s.rlike(BLANK), 0).otherwise(2)
+
+    def runs(kind):
+        marked = F.zip_with(F.concat(F.array(F.lit("")), F.slice(lines, F.lit(1), F.size(lines) - 1)), lines, lambda p, s: F.when(kind(p) != kind(s), F.concat(F.lit("\u0001"), s)).otherwise(s))
+        return F.filter(F.split(F.array_join(marked, "\n"), "\n?\u0001"), cue)
+
+    return F.when(cue(some), F.array_distinct(F.concat(runs(paragraph), runs(comment)))).otherwise(F.array().cast("array<string>"))
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, template) of licences' full texts and standard headers."""
+    return [*((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))), *HEADERS]
+
+
+def matched(notices: DataFrame, known: tuple | list = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """(header, license, score) of the best template of each header; notices: header, n (how often it occurs), and text
+    if header is only a key of it."""
     spark = notices.sparkSession
-    templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, text string")
+    templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(known)], "template int, license string, text string")
     terms = lambda df, key, text, *more: df.select(key, *more, F.explode(_terms(text)).alias("term")).groupBy(key, *more, "term").agg(F.count("*").alias("tf"))
-    of_headers, of_templates = terms(notices, "header", F.col("header"), "n"), terms(templates, "template", F.col("text"), "license")
+    of_headers, of_templates = terms(notices, "header", F.col("text" if "text" in notices.columns else "header"), "n"), terms(templates, "template", F.col("text"), "license")
+    if "text" in notices.columns:  # long ones: their terms are counted once
+        of_headers = written(of_headers, "terms")
     df = of_headers.select("term", "n").unionByName(of_templates.select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
     total = notices.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total") + len(TEMPLATES)) / (1 + F.col("df"))) + 1).alias("idf"))  # total: one row
+    idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total") + len(known)) / (1 + F.col("df"))) + 1).alias("idf"))  # total: one row
     weigh = lambda t: t.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     h, t = weigh(of_headers).select("header", "term", "w"), weigh(of_templates).select("template", "license", "term", F.col("w").alias("tw"))
     h_norm = h.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("hn"))
     t_norm = t.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
-    dot = h.join(F.broadcast(t), "term").groupBy("header", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # t: the terms of TEMPLATES
+    dot = h.join(F.broadcast(t), "term").groupBy("header", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # t: the terms of the templates
     cosine = dot.join(h_norm, "header").join(F.broadcast(t_norm), "template").withColumn("score", F.round(F.col("dot") / (F.col("hn") * F.col("tn")), 6))
-    best = cosine.where(F.col("score") >= LEAST).groupBy("header").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    best = cosine.where(F.col("score") >= least).groupBy("header").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     return best.select("header", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
 
 
 def licenses(files: DataFrame, path: str = "path", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """files with license, score, origin (own, inherited or null) and from_path; and those columns' names."""
     names, wide = {}, files
-    for name in ("license", "score", "origin", "from_path", "_row", "_found", "_dirs"):
+    for name in ("license", "score", "origin", "from_path", "_row", "_found", "_dirs", "_long"):
         names[name] = fresh(wide, name)
         wide = wide.withColumn(names[name], F.lit(None))
-    found, dirs = names["_found"], names["_dirs"]
+    found, dirs, long = names["_found"], names["_dirs"], names["_long"]
     p = F.col(path)
-    at = files.withColumn(found, F.array_distinct(headers(F.col(text))))
+    of_licence = F.coalesce(F.element_at(F.split(p, "/"), -1).rlike(LICENSE_FILE), F.lit(False))
+    whole = F.when(of_licence & F.col(text).isNotNull(), F.array(F.col(text))).otherwise(F.array().cast("array<string>"))
+    key = lambda x: F.concat(F.lit("\u0001"), F.sha2(x, 256))
+    at = files.withColumn(found, F.array_distinct(headers(F.col(text)))).withColumn(long, F.array_distinct(F.concat(whole, blocks(F.col(text)))))
     notices = at.select(F.explode(found).alias("header")).groupBy("header").agg(F.count("*").alias("n"))
-    known = matched(notices)
+    texts = at.select(F.explode(long).alias("text")).groupBy(key(F.col("text")).alias("header")).agg(F.count("*").alias("n"), F.first("text").alias("text"))
+    known = matched(notices).unionByName(matched(texts, full_texts(), LEAST_WHOLE))
+    at = at.withColumn(found, F.concat(found, F.transform(long, key))).drop(long)
     # a file's licence follows from its headers and a directory's from its licence files: both are small tables
     sets = at.where(F.size(found) > 0).select(found).distinct().withColumn("header", F.explode(found)).join(known, "header")
     own = sets.groupBy(found).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select(F.col(found).alias("_set"), F.col("b.license").alias("_own"), (-F.col("b.s")).alias("_own_score"))
-    declared = at.where(F.element_at(F.split(p, "/"), -1).rlike(LICENSE_FILE) & (F.size(found) > 0)).join(own, F.col(found) == F.col("_set"))
+    declared = at.where(of_licence & (F.size(found) > 0)).join(own, F.col(found) == F.col("_set"))
     parent = F.regexp_extract(p, "^(.*)/[^/]*$", 1)
     by_dir = declared.groupBy(parent.alias("_dir")).agg(F.min(F.struct((-F.col("_own_score")).alias("s"), "_own", p.alias("f"))).alias("b"))
     by_dir = by_dir.select("_dir", F.col("b._own").alias("_given"), (-F.col("b.s")).alias("_given_score"), F.col("b.f").alias("_from"))

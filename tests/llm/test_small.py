@@ -293,6 +293,20 @@ def test_licenses(spark):
     assert license_scan.licenses(df.limit(0))[0].count() == 0
 
 
+def test_whole_licence_files_and_wrapped_headers(spark):
+    full = {}
+    for name, text in license_scan.full_texts():
+        full.setdefault(name, text)
+    wrapped = lambda mark, s, n=9: "\n".join(mark + " ".join(s.split()[i : i + n]) for i in range(0, len(s.split()), n))
+    gnu = dict(license_scan.HEADERS)["GPL-3.0"]
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2020, A. Author\nAll rights reserved.\n\n" + full["BSD-3-Clause"]
+    rows = [("bsd/LICENSE", bsd, "BSD-3-Clause"), ("bsd/x/y.py", "code", "BSD-3-Clause"), ("gpl/a.c", "/*\n * A tool. Copyright (C) 2020 A. Author\n *\n" + wrapped(" * ", gnu) + "\n */\nint main;", "GPL-3.0"),
+            ("b.py", "# Copyright 2020\n#\n" + wrapped("# ", full["BSD-3-Clause"]) + "\nimport x", "BSD-3-Clause"), ("c.txt", prose(200) + "\n\n" + full["MIT"] + "\n\n" + prose(50), "MIT"), ("d/LICENSE", LONG, None), ("d/e.py", "x", None)]
+    rows += [(f"of/{n}/COPYING", f"A work\n\nCopyright 2021 B. Author\n\n{t}", n) for n, t in full.items()]
+    out, n = license_scan.licenses(spark.createDataFrame([r[:2] for r in rows], "path string, text string").repartition(3))
+    assert {r["path"]: r[n["license"]] for r in out.collect()} == {r[0]: r[2] for r in rows}
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     sf = "/root/testdata/sf0.001"
     for start in (docs, empty, docs.withColumn("n_words", F.lit(1))):
