@@ -1,8 +1,8 @@
 """LM scoring of all documents, learning from all but a fold.
 
 Held-out documents are those whose crc32(doc_id as text) mod 5 is 1; the others are training documents. One pass over
-the training documents gathers, from each whole text, word counts, subword bigram counts, and every TRAIN_EVERY-th
-window of subwords, by place, so that all of it grows with the corpus. The attention weights are fitted on these
+the training documents gathers, from each whole text, word counts, subword bigram counts, and every window of subwords
+(TRAIN_EVERY 1), so that all of it grows with the corpus. The attention weights are fitted on these
 windows in ROUNDS: each partition trains on its own share of the round's windows from common weights, and the results
 are averaged by number of windows through a tree of tasks. A second pass scores every document whole.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import compress, repeat
 from operator import not_
 
@@ -33,7 +33,7 @@ from . import attention_lm as lm
 from .base import released, small_batches, table, written
 
 FOLDS, HELD_OUT = 5, 1
-TRAIN_EVERY, ROUNDS, RATE = 8, 2, 0.02
+TRAIN_EVERY, ROUNDS, RATE = 1, 2, 0.02
 HEAD = 300_000
 #: Distinct words that a worker counts before it hands them on.
 COUNTED = 400_000
@@ -117,12 +117,13 @@ def fit(gathered: DataFrame) -> tuple[dict, tuple]:
     for number in range(ROUNDS):
 
         def share(rows, weights=weights, number=number) -> Iterator[tuple]:
-            both = [np.frombuffer(zlib.decompress(r[0]), "<u2").reshape(-1, lm.CONTEXT + lm.STRIDE)[number::ROUNDS] for r in rows]
-            if n := sum(map(len, both)):
-                w = weights
-                for part in _grouped(both, 40_000):
-                    part = part[np.random.Generator(np.random.PCG64(number)).permutation(len(part))].astype(np.int32)
-                    w = lm.train(w, shared.value, part[:, : lm.CONTEXT], part[:, lm.CONTEXT :], RATE / (1 + 2 * number))
+            both = (np.frombuffer(zlib.decompress(r[0]), "<u2").reshape(-1, lm.CONTEXT + lm.STRIDE)[number::ROUNDS] for r in rows)
+            n, w = 0, weights
+            for part in _grouped(both, 40_000):
+                n += len(part)
+                part = part[np.random.Generator(np.random.PCG64(number)).permutation(len(part))].astype(np.int32)
+                w = lm.train(w, shared.value, part[:, : lm.CONTEXT], part[:, lm.CONTEXT :], RATE / (1 + 2 * number))
+            if n:
                 yield n, {k: n * v.astype(np.float64) for k, v in w.items()}
 
         add = lambda x, y: (x[0] + y[0], {k: x[1][k] + y[1][k] for k in x[1]})
@@ -133,7 +134,7 @@ def fit(gathered: DataFrame) -> tuple[dict, tuple]:
     return weights, tables
 
 
-def _grouped(arrays: list[np.ndarray], rows: int) -> Iterator[np.ndarray]:
+def _grouped(arrays: Iterable[np.ndarray], rows: int) -> Iterator[np.ndarray]:
     held, size = [], 0
     for a in arrays:
         held.append(a)
