@@ -3,8 +3,8 @@
 Candidate strings are maximal runs of the characters that keys are made of. Within a candidate a window slides over
 each character class's own run (hexadecimal, base64); symbol counts are updated by one character in and one out, and
 the entropy follows from the running sum of c*log2(c), so a candidate costs its length, whatever the window. Windows
-above the class's threshold merge into spans. Spans on the allow list (UUIDs, digests named as such, runs of one
-class that are plain words, documented example keys) are suppressed. Pattern spans are never suppressed.
+above the class's threshold merge into spans. Spans on the allow list (UUIDs, digests named as such, documented
+example keys) are suppressed. Runs of letters or of digits alone are no candidates. Pattern spans are never suppressed.
 
 Null texts count as empty: no spans. Very long texts are scanned whole. Repeated rows are scanned each on its own;
 ties (spans of one start) are ordered by kind. An empty table gives an empty result; other columns are not read.
@@ -29,11 +29,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Class -> characters, window, bits a character that a window must reach.
+#: Class -> characters, window, bits a character that a window must reach. A run shorter than the window, but of SHORTEST
+#: characters with its padding, is one window of its own; what it must reach goes by log2 of the window.
 CLASSES = {
-    "entropy_hex": (re.compile(r"[0-9a-fA-F]{20,}"), 20, 2.9),
-    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_-]{24,}=*"), 24, 3.9),
+    "entropy_hex": (re.compile(r"[0-9a-fA-F]+"), 20, 2.9),
+    "entropy_base64": (re.compile(r"[A-Za-z0-9+/_-]+=*"), 24, 3.9),
 }
+SHORTEST = 20
 #: What looks random but is no secret.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
@@ -70,34 +72,34 @@ def _mixed(s: str) -> bool:
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
-    spans = []
+    runs = []
     for candidate in CANDIDATE.finditer(text):
         if not _mixed(candidate[0]):
             continue
         for kind, (run, window, least) in CLASSES.items():
             for m in run.finditer(candidate[0]):
-                if not _mixed(m[0]):
+                if len(m[0]) < SHORTEST or not _mixed(m[0]):
                     continue
-                start = end = -1
-                for i, h in enumerate(window_entropies(m[0], window)):
-                    if h >= least:
-                        if start < 0 or i > end:
-                            if start >= 0:
-                                spans.append((start, end, kind, candidate, m))
-                            start = i
-                        end = i + window
-                if start >= 0:
-                    spans.append((start, end, kind, candidate, m))
-    if not spans:
+                w = min(window, len(m[0]))
+                limit = least if w == window else least * math.log2(w) / math.log2(window)
+                at = candidate.start() + m.start()
+                if above := [at + i for i, h in enumerate(window_entropies(m[0], w)) if h >= limit]:
+                    runs.append((kind, w, above))
+    if not runs:
         return []
     allowed = [x.span() for p in ALLOW for x in p.finditer(text)]
     out = []
-    for start, end, kind, candidate, m in spans:
-        a = candidate.start() + m.start() + start
-        b = candidate.start() + m.start() + end
-        if not any(x < b and a < y for x, y in allowed):
-            out.append((a, b, kind))
-    return out
+    for kind, w, above in runs:
+        start = end = -1
+        for i in above:
+            if start < 0 or i > end:
+                if start >= 0:
+                    out.append((start, end, kind))
+                start = i
+            end = i + w
+        if start >= 0:
+            out.append((start, end, kind))
+    return [s for s in out if not any(x < s[1] and s[0] < y for x, y in allowed)]
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

@@ -113,6 +113,15 @@ def test_secrets(spark, empty):
     assert sorted(r["n_assign"] for r in secret_scan.secrets(df).collect()) == [0, 1, 1] and secret_scan.secrets(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", range(20, 26))
+def test_short_keys(n):
+    g, letters = random.Random(n), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(g.choices(letters, k=n)) for _ in range(200)]
+    assert sum(secret_scan.entropy_spans(f"é {k}.") == [(2, 2 + n, "entropy_base64")] for k in keys) >= 180
+    assert secret_scan.entropy_spans("x q7Zt9Lm2Xc4Vb8Np1Rs5Tg==")[0][0] == 2 and not secret_scan.entropy_spans("a1" * (n // 2))
+    assert secret_scan.entropy_spans(letters[-18:] + "==") == [(0, 20, "entropy_base64")] and not secret_scan.entropy_spans(letters[-17:] + "==")
+
+
 def test_shards(docs, empty, clash):
     thin = docs.select("doc_id", "n_chars")
     out = shards.shuffle(thin, 7)
