@@ -3,8 +3,8 @@
 Candidate strings are maximal runs of the characters that keys are made of. Within a candidate a window slides over
 each character class's own run (hexadecimal, base64); symbol counts are updated by one character in and one out, and
 the entropy follows from the running sum of c*log2(c), so a candidate costs its length, whatever the window. Windows
-above the class's threshold merge into spans. Spans on the allow list (UUIDs, digests named as such, documented
-example keys) are suppressed. Runs of letters or of digits alone are no candidates. Pattern spans are never suppressed.
+above the class's threshold that touch nothing on the allow list (UUIDs, digests named as such, documented example
+keys) merge into spans. Runs of letters or of digits alone are no candidates. Pattern spans are never suppressed.
 
 Null texts count as empty: no spans. Very long texts are scanned whole. Repeated rows are scanned each on its own;
 ties (spans of one start) are ordered by kind. An empty table gives an empty result; other columns are not read.
@@ -92,6 +92,8 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     for kind, w, above in runs:
         start = end = -1
         for i in above:
+            if any(x < i + w and i < y for x, y in allowed):
+                continue
             if start < 0 or i > end:
                 if start >= 0:
                     out.append((start, end, kind))
@@ -99,7 +101,7 @@ def entropy_spans(text: str) -> list[tuple[int, int, str]]:
             end = i + w
         if start >= 0:
             out.append((start, end, kind))
-    return [s for s in out if not any(x < s[1] and s[0] < y for x, y in allowed)]
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

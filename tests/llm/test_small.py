@@ -122,6 +122,13 @@ def test_short_keys(n):
     assert secret_scan.entropy_spans(letters[-18:] + "==") == [(0, 20, "entropy_base64")] and not secret_scan.entropy_spans(letters[-17:] + "==")
 
 
+def test_key_beside_an_allowed_value():
+    key, uuid = "q7Zt9Lm2Xc4Vb8Np1Rs5Ty6W", "550e8400-e29b-41d4-a716-446655440000"
+    for text, first, last in ((f"{uuid}-{key}", 36, 61), (f"{key}_{uuid}", 0, 25), (f"sha256-{'ab12' * 10}-{key}", 47, 72)):
+        assert secret_scan.entropy_spans(text) == [(first, last, "entropy_base64")]
+    assert not secret_scan.entropy_spans(uuid)
+
+
 def test_shards(docs, empty, clash):
     thin = docs.select("doc_id", "n_chars")
     out = shards.shuffle(thin, 7)
