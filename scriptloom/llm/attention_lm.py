@@ -23,7 +23,7 @@ VOCABULARY, VOCAB = "byte_bpe_multi_50k.tiktoken", 2048
 END = VOCAB - 1
 #: Choices at each step, and where each step's logits begin.
 STEPS, EDGES = (16, 16, 8), (0, 16, 32, 40)
-CONTEXT, STRIDE, WIDTH = 24, 16, 16
+CONTEXT, STRIDE, WIDTH = 32, 16, 16
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Causal mask of the last STRIDE queries over CONTEXT keys.
 MASK = np.where(np.arange(CONTEXT)[None, :] <= (np.arange(STRIDE) + CONTEXT - STRIDE)[:, None], 0, -1e9).astype(np.float32)
@@ -74,12 +74,13 @@ def windows(docs: list[np.ndarray], every: int = 1, skip: int = 0) -> tuple[np.n
     size = np.array([len(d) for d in docs], np.int64)
     many = -(-size // STRIDE)
     first = np.concatenate([[0], np.cumsum(many)])
-    # a row of END before each document, and END up to a whole row behind it
+    # rows of END before each document, as many as the first window reaches back, and END up to a whole row behind it
+    lead = -(-(CONTEXT - STRIDE + 1) // STRIDE)
     blank = np.full(STRIDE, END, "<u2")
-    flat = np.concatenate([x for d in docs for x in (blank, d, blank[: -len(d) % STRIDE])] + [blank, blank])
+    flat = np.concatenate([x for d in docs for x in (*[blank] * lead, d, blank[: -len(d) % STRIDE])] + [blank, blank])
     number = np.arange(skip, first[-1], every)
     owner = np.searchsorted(first, number, side="right") - 1
-    row = number + owner + 1
+    row = number + (owner + 1) * lead
     inputs = np.lib.stride_tricks.sliding_window_view(flat, CONTEXT)[row * STRIDE - (CONTEXT - STRIDE + 1)].astype(np.int32)
     wanted = flat.reshape(-1, STRIDE)[row].astype(np.int32)
     left = size[owner] - (number - first[owner]) * STRIDE

@@ -291,6 +291,18 @@ def test_attention_is_causal_normalized_and_learns():
     assert n == sum(map(len, train))
 
 
+def test_each_token_attends_to_at_least_17_inputs():
+    n, rng_ = attention_lm.VOCAB, np.random.Generator(np.random.PCG64(3))
+    tables = attention_lm.tables(rng_.integers(0, 3, n * n))
+    w = attention_lm.fresh_weights() | {"choice": rng_.standard_normal(attention_lm.SHAPES["choice"]).astype(np.float32)}
+    inputs, wanted, *_ = attention_lm.windows([rng_.integers(0, n - 1, 64).astype("<u2")])
+    first, other = inputs[2:3], inputs[2:3].copy()
+    far = first.shape[1] - attention_lm.STRIDE - 16  # 16 places before the first scored token's own input
+    assert far >= 0
+    other[0, far] = (other[0, far] + 1) % n
+    assert (attention_lm.forward(w, tables, first, wanted[2:3])[0] != attention_lm.forward(w, tables, other, wanted[2:3])[0]).all()
+
+
 def test_revisits(spark):
     h = {"ETag": "1", "Content-Type": "t"}
     rows = [
