@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--max-edge", type=int, default=720)
         if name == "prepare":
             continue
-        c.add_argument("--backend", choices=BACKENDS, default="llama-cpp")
+        c.add_argument("--backend", choices=[b for b in BACKENDS if b != "transformers"], default="llama-cpp")
         for option in ("model", "source-language", "translate-to", "context", "server-url", "api-key-env", "media-root"):
             c.add_argument(f"--{option}", default=None)
         c.add_argument("--media-mode", choices=("base64", "file-url"), default="base64")

@@ -218,3 +218,14 @@ def test_cli(capsys):
 def test_prompts():
     assert "null" in prompts.audio_prompt(None, None, 30) and "30.000" in prompts.audio_prompt("en", "de", 30)
     assert "Context" not in prompts.visual_prompt(30.0, 30) and "1.000" in prompts.visual_prompt(30.0, 30)
+
+
+def test_command_line_offers_no_backend_that_is_not_there():
+    import pytest
+
+    from scriptloom.cli import config_of, parser
+
+    for name in ("llama-cpp", "ollama"):
+        assert config_of(parser().parse_args(["analyze", "x", "--backend", name, "--model", "m"])).analyzer()
+    with pytest.raises(SystemExit):
+        parser().parse_args(["analyze", "x", "--backend", "transformers"])
