@@ -1,238 +1,78 @@
 """Adaptive context-mixing range coder for token ids, in independently reset and checksummed blocks.
 
-A block's model starts from nothing and follows the ids: for the last id (order 1) and the last two (order 2) it
-remembers the id that followed, with a confidence; how often predictions of each confidence came true is learned, and
-the two orders' probabilities are mixed. An id is coded as order 2's guess, order 1's guess, or neither; in the last
-case order 0 gives it: an adaptive frequency of its group of ids, and the place in the group. All arithmetic is in
-integers, so every machine decodes alike. Blocks don't depend on each other; a chunk codes its blocks side by side in
-numpy, a lane each.
-
-Chunk: magic, number of ids, number of blocks; then per block its number of ids, of coded 16-bit words, and the CRC-32
-of its ids as little-endian 32-bit integers; then the blocks' words. Ids lie in 0..65535.
+The coder runs in Spark's JVM (jvm/RangeCoder.java, compiled at run time by the compiler that Spark brings along and sent
+to the executors as a jar): an adaptive coder goes id by id, which numpy can't do fast, and a block costs no lanes there.
+
+A block's model starts from a fixed state and follows the ids. Order 1 and order 2 keep, for the last id and for the
+last two, a short list of ids that followed with their counts; order 0 keeps a count of every id, low ids starting
+higher. For each id the lists' distributions are mixed: the weights of order 2, order 1 and order 0 are looked up by how
+much each list has seen, and move towards the orders that gave the id its probability (gradient of the log
+probability). An id in a list is coded with the sum of its masses; another is an escape, coded by order 0's counts. All
+arithmetic is in integers.
+
+Chunk: magic (8 bytes), number of ids (8), number of blocks (4); then per block its number of ids, of bytes, and the
+CRC-32 of its ids as little-endian 32-bit integers (4 each); then the blocks. Ids lie in 0..65535; others are an error,
+as is a chunk that doesn't decode to its checksums. No ids give a chunk without blocks; null gives null.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
+import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 import numpy as np
-
-MAGIC = b"SLRC\x01\x00\x00\x00"
-BLOCK = 4096
-T1_BITS, T2_BITS = 10, 12
-EMPTY = 8  # confidence of a place that holds no id yet
-A_BITS, HI_BITS = 12, 12
-#: A remembered id with its confidence above bit 20; after a miss and after a hit; whether the id gives way.
-ID, NOTHING = (1 << 20) - 1, EMPTY << 20 | (1 << 20) - 1
-NEXT = np.array([0, 0, 1, 1, 2, 2, 3, 3, 0, *(min(k + 1, 7) for k in range(9))], np.int32) << 20
-REPLACED = np.array([True, *[False] * 7, True])
-_u = np.uint64
-TOP, LOW40 = _u(1 << 40), _u((1 << 40) - 1)
-
-# Order 0's groups: 16 ids each below 4096, then 256 each.
-GROUP_OF = np.concatenate([np.arange(4096) // 16, 256 + np.arange(65536 - 4096) // 256]).astype(np.int32)
-GROUPS = int(GROUP_OF[-1]) + 1
-FIRST = np.concatenate([np.arange(256) * 16, 4096 + np.arange(GROUPS - 256) * 256]).astype(np.int32)
-LO_BITS = np.where(np.arange(GROUPS) < 256, 4, 8).astype(np.int64)
-#: Before anything is seen, a group weighs its ids over their distance from 0: low ids are frequent ones.
-PRIOR = np.maximum(1, 3000 * (1 << LO_BITS) // (FIRST.astype(np.int64) + 400) // 16).astype(np.int32)
-
-
-class Model:
-    """The state of n lanes. Encoder and decoder go through the same calls."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.lane1, self.lane2 = np.arange(n, dtype=np.int64) << T1_BITS, np.arange(n, dtype=np.int64) << T2_BITS
-        self.laneq, self.laneg = np.arange(n, dtype=np.int64) * (EMPTY + 1), np.arange(n, dtype=np.int64) * GROUPS
-        self.lanec = np.arange(n, dtype=np.int64) * (GROUPS + 1)
-        self.t1, self.t2 = np.full(n << T1_BITS, NOTHING, np.int32), np.full(n << T2_BITS, NOTHING, np.int32)
-        start = np.array([4000, 16000, 26000, 34000, 40000, 45000, 50000, 56000, 16], np.int32)
-        self.q1, self.q2 = np.tile(start, n), np.tile(start, n)
-        self.count = np.tile(PRIOR, (n, 1))
-        self.a, self.b = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        total = np.cumsum(self.count, axis=1, dtype=np.int64)
-        cdf = np.zeros((self.n, GROUPS + 1), np.int64)
-        cdf[:, 1:] = total * ((1 << HI_BITS) - GROUPS) // total[:, -1:] + np.arange(1, GROUPS + 1)
-        self.cdf = cdf.ravel()
-
-    def predict(self) -> None:
-        """The guesses, and the frequencies of the outcomes 0 (order 2's guess) and 1 (order 1's)."""
-        self.at1 = self.lane1 + ((self.a * 40503 >> 4) & ((1 << T1_BITS) - 1))
-        self.at2 = self.lane2 + ((self.a * 40503 + self.b * 60493 >> 5) & ((1 << T2_BITS) - 1))
-        e1, e2 = self.t1.take(self.at1), self.t2.take(self.at2)
-        self.p1, self.p2 = e1 & ID, e2 & ID
-        self.k1, self.k2 = e1 >> 20, e2 >> 20
-        self.s1, self.s2 = self.laneq + self.k1, self.laneq + self.k2
-        self.w1, self.w2 = self.q1.take(self.s1), self.q2.take(self.s2)
-        q1, q2 = self.w1.astype(np.int64), self.w2.astype(np.int64)
-        same = self.p1 == self.p2
-        q2 = np.where(same, 65536 - ((65536 - q1) * (65536 - q2) >> 16), q2)
-        self.f0 = 1 + (q2 * 3900 >> 16)
-        self.f1 = np.where(same, 0, 1 + ((4090 - self.f0) * q1 >> 16))
-
-    def learn(self, x: np.ndarray, group: np.ndarray) -> None:
-        for p, k, at, s, q, was, entries in (
-            (self.p1, self.k1, self.at1, self.s1, self.q1, self.w1, self.t1),
-            (self.p2, self.k2, self.at2, self.s2, self.q2, self.w2, self.t2),
-        ):
-            hit = p == x
-            q[s] = was + ((hit * np.int32(65535) - was) >> 5)
-            entries[at] = np.where(REPLACED.take(k), x, p) | NEXT.take(k + 9 * hit)
-        self.count.reshape(-1)[self.laneg + group] += 24
-        self.b, self.a = self.a, x.astype(np.int64)
-
-    def shrink(self, n: int) -> None:
-        """From now on only the first n lanes go on."""
-        for k, width in (("lane1", 1), ("lane2", 1), ("laneq", 1), ("laneg", 1), ("lanec", 1), ("a", 1), ("b", 1), ("t1", 1 << T1_BITS), ("t2", 1 << T2_BITS), ("q1", EMPTY + 1), ("q2", EMPTY + 1), ("cdf", GROUPS + 1)):
-            setattr(self, k, getattr(self, k)[: n * width])
-        self.count, self.n = self.count[:n], n
-
-
-def _due(t: int) -> bool:
-    return t % 128 == 0 if t >= 128 else t in (8, 16, 32, 64)
-
-
-def _layout(n_ids: int, block: int) -> np.ndarray:
-    """Sizes of the blocks: as equal as can be, the longer first."""
-    n = -(-n_ids // block)
-    return np.full(n, n_ids // n) + (np.arange(n) < n_ids % n) if n else np.zeros(0, np.int64)
-
-
-def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """One chunk."""
-    sizes = _layout(len(ids), block)
-    n = len(sizes)
-    head = MAGIC + struct.pack("<QI", len(ids), n)
-    if not n:
-        return head
-    ids = np.ascontiguousarray(ids, np.int32)
-    if ids.min() < 0 or ids.max() > 65535:
-        raise ValueError("ids lie in 0..65535")
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    steps, m = int(sizes[0]), Model(n)
-    low, rng, pos = np.zeros(n, _u), np.full(n, 1 << 56, _u), np.zeros(n, np.int64)
-    out = np.zeros((n, 2 * steps + 6), np.uint32)
-    flat, row = out.ravel(), np.arange(n, dtype=np.int64) * out.shape[1]
-    full_low, full_rng = low, rng
-    for t in range(steps):
-        if t == steps - 1 and (k := int((sizes == steps).sum())) < n:
-            m.shrink(k)
-            low, rng = low[:k], rng[:k]
-        if t and _due(t):
-            m.rebuild()
-        x = ids[starts[: m.n] + t]
-        m.predict()
-        hit2 = x == m.p2
-        hit1 = (x == m.p1) & ~hit2
-        miss = ~(hit1 | hit2)
-        f0, f1, group = m.f0, m.f1, GROUP_OF.take(x)
-        r = rng >> _u(A_BITS)
-        low += r * np.where(hit2, 0, np.where(hit1, f0, f0 + f1)).view(_u)
-        rng = r * np.where(hit2, f0, np.where(hit1, f1, (1 << A_BITS) - f0 - f1)).view(_u)
-        at = m.lanec + group
-        c = m.cdf.take(at)
-        r = rng >> _u(HI_BITS)
-        low += r * c.view(_u) * miss
-        rng = np.where(miss, r * (m.cdf.take(at + 1) - c).view(_u), rng)
-        bits = LO_BITS.take(group).astype(_u)
-        r = rng >> bits
-        low += r * (x - FIRST.take(group)).astype(_u) * miss
-        rng = np.where(miss, r, rng)
-        m.learn(x, group)
-        for _ in range(2):
-            i = np.flatnonzero(rng < TOP)
-            if not len(i):
-                break
-            v = low[i]
-            flat[row[i] + pos[i]] = v >> _u(40)  # the 17th bit is a carry, settled at the end
-            low[i] = (v & LOW40) << _u(16)
-            rng[i] <<= _u(16)
-            pos[i] += 1
-        full_low[: m.n] = low
-    low = full_low
-    for _ in range(4):
-        flat[row + pos] = low >> _u(40)
-        low = (low & LOW40) << _u(16)
-        pos += 1
-    while (over := out >> np.uint32(16)).any():
-        out &= np.uint32(0xFFFF)
-        out[:, :-1] += over[:, 1:]
-    words = out.astype("<u2")
-    raw = ids.astype("<u4").tobytes()
-    table = np.stack([sizes, pos, [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts, starts[1:])]], axis=1).astype("<u4")
-    return head + table.tobytes() + b"".join(words[i, : pos[i]].tobytes() for i in range(n))
-
-
-def decode(chunk: bytes) -> np.ndarray:
-    """The ids of a chunk; ValueError if it isn't one or a block's checksum differs."""
-    if chunk[:8] != MAGIC:
-        raise ValueError("not a chunk of coded ids")
-    total, n = struct.unpack_from("<QI", chunk, 8)
-    table = np.frombuffer(chunk, "<u4", 3 * n, 20).reshape(n, 3).astype(np.int64)
-    ids = np.zeros(total, np.int32)
-    if not n:
-        return ids
-    sizes, lengths = table[:, 0], table[:, 1]
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    at_word = np.concatenate([[0], np.cumsum(lengths)])
-    words = np.concatenate([np.frombuffer(chunk, "<u2", -1, 20 + 12 * n), np.zeros(8, "<u2")]).astype(_u)
-    if at_word[-1] + 8 > len(words) or starts[-1] != total:
-        raise ValueError("a chunk's table doesn't fit it")
-    pos, steps, m = at_word[:-1].copy(), int(sizes[0]), Model(n)
-    code = np.zeros(n, _u)
-    for i in range(3):
-        code = code << _u(16) | words[pos + i]
-    code = code << _u(8) | words[pos + 3] >> _u(8)  # 56 bits: the last word enters by halves
-    rng = np.full(n, 1 << 56, _u)
-    pos += 3
-    for t in range(steps):
-        if t == steps - 1 and (k := int((sizes == steps).sum())) < n:
-            m.shrink(k)
-            code, rng, pos = code[:k], rng[:k], pos[:k]
-        if t and _due(t):
-            m.rebuild()
-        m.predict()
-        f0, f1 = m.f0, m.f1
-        r = rng >> _u(A_BITS)
-        v = (code // r).view(np.int64)
-        hit2 = v < f0
-        miss = v >= f0 + f1
-        hit1 = ~(hit2 | miss)
-        code = code - r * np.where(hit2, 0, np.where(hit1, f0, f0 + f1)).view(_u)
-        rng = r * np.where(hit2, f0, np.where(hit1, f1, (1 << A_BITS) - f0 - f1)).view(_u)
-        r = rng >> _u(HI_BITS)
-        v = np.minimum((code // r).view(np.int64), (1 << HI_BITS) - 1)
-        group = np.zeros(m.n, np.int64)
-        for step in (256, 128, 64, 32, 16, 8, 4, 2, 1):
-            further = np.minimum(group + step, GROUPS - 1)
-            group = np.where(m.cdf.take(m.lanec + further) <= v, further, group)
-        at = m.lanec + group
-        c = m.cdf.take(at)
-        code = np.where(miss, code - r * c.view(_u), code)
-        rng = np.where(miss, r * (m.cdf.take(at + 1) - c).view(_u), rng)
-        bits = LO_BITS.take(group)
-        r = rng >> bits.astype(_u)
-        lo = np.minimum((code // r).view(np.int64), (1 << bits) - 1)
-        code = np.where(miss, code - r * lo.astype(_u), code)
-        rng = np.where(miss, r, rng)
-        x = np.where(miss, FIRST[group] + lo, np.where(hit2, m.p2, m.p1)).astype(np.int32)
-        m.learn(x, GROUP_OF[x & 0xFFFF])
-        ids[starts[: m.n] + t] = x
-        for _ in range(2):
-            i = np.flatnonzero(rng < TOP)
-            if not len(i):
-                break
-            p = pos[i]
-            code[i] = code[i] << _u(16) | (words[p] & _u(0xFF)) << _u(8) | words[np.minimum(p + 1, len(words) - 1)] >> _u(8)
-            rng[i] <<= _u(16)
-            pos[i] = p + 1
-    raw = ids.astype("<u4").tobytes()
-    for a, b, crc in zip(starts, starts[1:], table[:, 2]):
-        if zlib.crc32(raw[4 * a : 4 * b]) != crc:
-            raise ValueError("a block's checksum differs")
-    return ids
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids of a block: what a damaged byte costs, and what an order has to learn from.
+BLOCK = 1 << 18
+_source = Path(__file__).parent / "jvm" / "RangeCoder.java"
+_classes: dict[str, object] = {}
+
+
+def _loaded(spark: SparkSession):
+    """The coder's class in Spark's JVM; its functions are registered in the session."""
+    app = spark.sparkContext.applicationId
+    session, jvm = spark._jsparkSession, spark.sparkContext._jvm
+    if app not in _classes:
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.cook(_source.read_text())
+        handle, name = tempfile.mkstemp(prefix="scriptloom-", suffix=".jar")
+        os.close(handle)
+        code = compiler.getBytecodes()
+        with zipfile.ZipFile(name, "w") as z:
+            for k in code:
+                z.writestr(k.replace(".", "/") + ".class", bytes(code[k]))
+        _classes[app] = name
+    if not spark.catalog.functionExists("loom_encode"):
+        spark.sql(f"ADD JAR '{Path(_classes[app]).as_uri()}'")
+        load = session.artifactManager().classloader().loadClass
+        none = spark.sparkContext._gateway.new_array
+        for name in ("Encode", "Decode"):
+            f = load(f"scriptloom.RangeCoder${name}").getDeclaredConstructor(none(jvm.java.lang.Class, 0)).newInstance(none(jvm.java.lang.Object, 0))
+            session.udf().register(f"loom_{name.lower()}", f, jvm.org.apache.spark.sql.types.DataType.fromDDL("binary"))
+
+
+def encoded(spark: SparkSession, ids: Column | str, block: int = BLOCK) -> Column:
+    """The chunk of binary `ids` (little-endian 32-bit integers)."""
+    _loaded(spark)
+    return F.call_function("loom_encode", ids, F.lit(block).cast("int"))
+
+
+def decoded(spark: SparkSession, chunk: Column | str) -> Column:
+    """The ids of a chunk, as binary."""
+    _loaded(spark)
+    return F.call_function("loom_decode", chunk)
+
+
+def encode(spark: SparkSession, ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """One chunk, for tests and tools."""
+    df = spark.createDataFrame([(bytearray(np.asarray(ids, "<u4").tobytes()),)], "x binary")
+    return bytes(df.select(encoded(spark, "x", block)).first()[0])
+
+
+def decode(spark: SparkSession, chunk: bytes) -> np.ndarray:
+    df = spark.createDataFrame([(bytearray(chunk),)], "x binary")
+    return np.frombuffer(bytes(df.select(decoded(spark, "x")).first()[0]), "<u4")

@@ -1,23 +1,27 @@
 """Token-id files: documents encoded by a public tokenizer, coded by the context-mixing range coder, and read back.
 
 A file set is a Parquet table of chunks. A chunk holds the ids of consecutive whole documents, in ascending doc_id
-order (then by text), as one `payload` in the coder's format beside the documents' ids and lengths; chunks are ordered
-by (part, chunk). Spark's commit protocol writes it, so a lost executor's chunks are written again and never twice.
+order (then by text), as one `payload` in the coder's format beside the documents' ids, places and lengths; chunks are
+ordered by (part, chunk). Spark's commit protocol writes it, so a lost executor's chunks are written again and never twice.
 
 Every document ends with END. Null texts count as empty and give END alone. Null doc_ids come first; repeated
-rows and ties are kept, next to each other. Very long documents go into a chunk of their own size. Special tokens'
-strings in a text give their ids, as is the tokenizer's rule. An empty table gives an empty file set. Other columns
-are not read. Null columns other than text don't matter.
+rows and ties are kept, next to each other. doc_ids may be of any type that has an order. Very long documents go into a
+chunk of their own size: 13 bytes an id while it is coded. Special tokens' strings in a text give their ids, as is the
+tokenizer's rule. An empty table gives an empty file set. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,12 +30,14 @@ from . import range_coder
 from .base import released, small_batches, table, written
 
 TOKENIZER, END = "word_bpe_49k.json", 2
-#: A chunk closes at this many ids; its coding takes about 80 bytes of memory an id at most.
-CHUNK_IDS = 2_000_000
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 100_000
-_space = re.compile(r"[\x20\x09-\x0D]+")
-_plain = re.compile(r"([^\W\d_]+)([.,;:!?|]*)")
+#: A chunk closes at this many ids.
+CHUNK_IDS = 1 << 20
+#: Texts are encoded together up to this many bytes; a worker keeps the ids of about 2 * KEPT words and 2 * KEPT units.
+TOGETHER, KEPT = 8 << 20, 250_000
+#: Words of signs, digits and Latin letters in composed form; and their units, in lower case.
+_plain = re.compile("[\\x21-\\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+_units = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+_id = attrgetter("id")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -40,13 +46,27 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Units(dict):
+    """Units to their ids as little-endian 32-bit integers, each encoded once by the tokenizer's model."""
+
+    def __init__(self, tokenizer):
+        self.tokenize = tokenizer.model.tokenize
+        letters = [chr(i) for i in range(0xDF, 0x100) if i != 0xF7]
+        self.spelled = {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+
+    def __missing__(self, unit: str) -> bytes:
+        found = self[unit] = array("I", map(_id, self.tokenize(unit if unit.isascii() else unit.translate(self.spelled)))).tobytes()
+        return found
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers.
+    """Ids of texts.
 
-    The tokenizer splits texts into units, runs of letters or of other signs, that never cross white space and whose
-    last token alone carries its word-end mark. So a text's ids are those of its words, a word is encoded once, and the new
-    units of a batch are encoded as one line: the marks tell where a unit's ids end. A word that isn't plainly letters
-    and closing signs, or a line with another number of marks than units, is encoded by itself.
+    A tokenizer that drops white space and splits texts into units, runs of letters or of other signs, gives a text the
+    ids of its words: these are found and numbered by Arrow, looked up once in a batch, and encoded once as long as they
+    are kept. A new word of Latin letters, digits and signs is split into units, which the tokenizer's model encodes; any
+    other word, and what may be a special token, goes through the whole tokenizer. With tokenizers of another kind texts
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -55,46 +75,76 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.units = Tokenizer.from_file(path), {"": b""}, {"": b""}
-        size = self.tokenizer.get_vocab_size()
-        suffix = self.tokenizer.model.end_of_word_suffix
-        self.closes = np.array([bool(suffix) and (self.tokenizer.id_to_token(i) or "").endswith(suffix) for i in range(size)])
-
-    def _alone(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _units(self, units: list[str]) -> None:
-        for i in range(0, len(units), 10_000):
-            part = units[i : i + 10_000]
-            (line,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(line.ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                raw, ends = ids.tobytes(), (4 * ends).tolist()
-                self.units.update(zip(part, (raw[a:b] for a, b in zip([0, *ends], ends))))
-            else:
-                self.units.update(zip(part, self._alone(part)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [_space.split(t) if t else [] for t in texts]
-        new = list(set().union(*pieces).difference(self.known))
-        if new:
-            split = [(w, m.groups()) for w, m in zip(new, map(_plain.fullmatch, new)) if m]
-            self._units(list({u for _, pair in split for u in pair}.difference(self.units)))
-            units, known = self.units, self.known
-            for w, (letters, signs) in split:
-                known[w] = units[letters] + units[signs]
-            whole = [w for w in new if w not in known]
-            known.update(zip(whole, self._alone(whole)))
-        out = [b"".join(map(self.known.__getitem__, ps)) for ps in pieces]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        if len(self.units) > CACHE_WORDS:
-            self.units = {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path) as f:
+            parts = json.load(f)
+        kinds = lambda of, name: [x["type"] for x in (of or {}).get(name, [])]
+        steps = parts["pre_tokenizer"] or {}
+        first = (steps.get("pretokenizers") or [{}])[0]
+        self.by_word = (
+            kinds(parts["normalizer"], "normalizers") == ["NFC", "Replace", "Lowercase"] and kinds(steps, "pretokenizers") == ["Split", "ByteLevel"]
+            and first.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"} and first["invert"]
+        )
+        self.young, self.old, self.units = {"": b""}, {}, Units(self.tokenizer) if self.by_word else {}
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words. Words not asked for in a while are forgotten a generation at a time."""
+        if len(self.young) > KEPT:
+            self.young, self.old = {"": b""}, self.young
+        if len(self.units) > 2 * KEPT:
+            self.units.clear()
+        young, old, unit, whole = self.young, self.old, self.units.__getitem__, []
+        out = list(map(young.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            w = words[i]
+            ids = old.get(w)
+            if ids is None:
+                if w.isalpha() and w.isascii():
+                    ids = unit(w.lower())
+                elif _plain.fullmatch(w) and "<|" not in w:
+                    ids = b"".join(map(unit, _units.findall(w.lower())))
+                else:
+                    whole.append(i)
+                    continue
+            out[i] = young[w] = ids
+        for at in range(0, len(whole), 10_000):
+            part = whole[at : at + 10_000]
+            for i, ids in zip(part, self._alone([words[i] for i in part])):
+                out[i] = young[words[i]] = ids
         return out
 
-
-CHUNK_SCHEMA = "part long, chunk long, doc_ids array<long>, lengths array<long>, n_ids long, payload binary"
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text followed by END, and how many each has with it."""
+        texts = pc.fill_null(texts, "")
+        if self.by_word:
+            words = pc.ascii_split_whitespace(texts)
+            first = words.offsets.to_numpy().astype(np.int64)
+            numbered = words.flatten().dictionary_encode()
+            kinds = [*self._words(numbered.dictionary.to_pylist()), np.array([END], "<u4").tobytes()]
+            first -= first[0]
+            kind = np.insert(numbered.indices.to_numpy(zero_copy_only=False), first[1:], len(kinds) - 1)
+            size = np.fromiter(map(len, kinds), np.int32, len(kinds)) // 4
+            ends = np.cumsum(size[kind], dtype=np.int64)[first[1:] + np.arange(len(texts))]
+            kind = kind[size[kind] > 0]
+            # walk through the words' ids one after the other: a step of 1 inside a word, a jump to the next one's first
+            many, begin = size[kind], (np.cumsum(size) - size).astype(np.int32)[kind]
+            step = np.ones(int(many.sum()), np.int32)
+            step[(np.cumsum(many) - many)[1:]] = begin[1:] - begin[:-1] - many[:-1] + 1
+            step[:1] = begin[:1]
+            ids = np.frombuffer(b"".join(kinds), "<u4").take(np.cumsum(step, dtype=np.int64), mode="clip")
+        else:
+            every = [x + np.array([END], "<u4").tobytes() for x in self._alone(texts.to_pylist())]
+            ids, ends = np.frombuffer(b"".join(every), "<u4"), np.cumsum([len(x) // 4 for x in every], dtype=np.int64)
+        return ids, np.diff(ends, prepend=0)
+
+
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for each worker, whose next task goes on with the words it knows."""
+    return Encoder(path)
 
 
 def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -102,37 +152,45 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     spark = docs.sparkSession
     small_batches(spark)
     path = path or tokenizer_path()
-    end = np.array([END], "<u4").tobytes()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    thin = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
+    thin = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).withColumn("h", F.xxhash64("t"))
     dealt = thin.repartitionByRange(n, "k", "h").sortWithinPartitions("k", "h", "t")
+    kind = docs.schema[key].dataType.simpleString()
+    place = f"array<struct<doc_id:{kind},start:bigint,n:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, chunk = Encoder(path), TaskContext.get().partitionId(), 0
-        keys, lengths, data, held = [], [], [], 0
-
-        def close() -> pa.RecordBatch:
-            payload = range_coder.encode(np.frombuffer(b"".join(data), "<u4").astype(np.int32))
-            return pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "doc_ids": pa.array([keys], pa.list_(pa.int64())),
-                "lengths": pa.array([lengths], pa.list_(pa.int64())), "n_ids": pa.array([held], pa.int64()), "payload": pa.array([payload], pa.binary()),
-            })
-
-        for batch in batches:
-            ks = batch.column(0).to_pylist()
-            for k, ids in zip(ks, encoder.encode(batch.column(1).to_pylist())):
-                size = len(ids) // 4 + 1
-                if held and held + size > CHUNK_IDS:
-                    yield close()
-                    keys, lengths, data, held, chunk = [], [], [], 0, chunk + 1
-                keys.append(k)
-                lengths.append(size)
-                data += (ids, end)
-                held += size
-        if held:
-            yield close()
-
-    return written(dealt.select("k", "t").mapInArrow(released(run), CHUNK_SCHEMA), "tokens")
+        code, part, chunk = encoder(path), TaskContext.get().partitionId(), 0
+        for keys, texts in _together(batches):
+            ids, sizes = code.encode(texts)
+            ends = np.cumsum(sizes)
+            first = 0
+            while first < len(sizes):
+                base = int(ends[first] - sizes[first])
+                last = max(first + 1, int(np.searchsorted(ends, base + CHUNK_IDS, side="right")))
+                size = sizes[first:last]
+                docs_ = pa.StructArray.from_arrays([keys.slice(first, last - first), pa.array(ends[first:last] - size - base), pa.array(size)], names=["doc_id", "start", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int64()), pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(size)], pa.int32()), docs_), pa.array([int(size.sum())], pa.int64()), pa.array([ids[base : int(ends[last - 1])].tobytes()], pa.binary())],
+                    names=["part", "chunk", "docs", "n_ids", "ids"],
+                )
+                first, chunk = last, chunk + 1
+
+    raw = dealt.select("k", "t").mapInArrow(released(run), f"part bigint, chunk bigint, docs {place}, n_ids bigint, ids binary")
+    return written(raw.select("part", "chunk", "docs", "n_ids", range_coder.encoded(spark, "ids").alias("payload")), "tokens")
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Columns of some batches joined, up to TOGETHER bytes or one batch."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > TOGETHER:
+            yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
+            held, size = [], 0
+        if len(b):
+            held.append(b)
+            size += b.nbytes
+    if held:
+        yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
 
 
 def read(chunks: DataFrame) -> DataFrame:
@@ -142,28 +200,11 @@ def read(chunks: DataFrame) -> DataFrame:
     before = per_part.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
     inside = sizes.withColumn("_in", F.sum("n_ids").over(Window.partitionBy("part").orderBy("chunk")) - F.col("n_ids"))
     starts = inside.join(before, "part").select("part", "chunk", (F.col("_before") + F.col("_in")).alias("_start"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                raw = range_coder.decode(row["payload"]).astype("<u4").tobytes()
-                size = np.array(row["lengths"], np.int64)
-                ends = np.cumsum(size)
-                view = memoryview(raw)
-                crc = [zlib.crc32(view[4 * (b - n) : 4 * b]) for b, n in zip(ends.tolist(), size.tolist())]
-                many = len(size)
-                for i in range(0, many, 10_000):
-                    part = slice(i, i + 10_000)
-                    yield pa.RecordBatch.from_pydict({
-                        "part": pa.array([row["part"]] * len(crc[part]), pa.int64()), "chunk": pa.array([row["chunk"]] * len(crc[part]), pa.int64()),
-                        "doc_id": pa.array(row["doc_ids"][part], pa.int64()), "start": pa.array((ends - size)[part], pa.int64()),
-                        "n_tokens": pa.array(size[part], pa.int64()), "ids_crc32": pa.array(crc[part], pa.int64()),
-                    })
-
-    decoded = chunks.select("part", "chunk", "doc_ids", "lengths", "payload").mapInArrow(
-        released(run), "part long, chunk long, doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
-    return decoded.join(starts, ["part", "chunk"]).select("doc_id", (F.col("start") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
+    piece = lambda ids, d: F.substring(ids, (4 * d.start + 1).cast("int"), (4 * d.n).cast("int"))
+    digest = lambda ids: F.transform("docs", lambda d: F.struct(d.doc_id.alias("doc_id"), d.start.alias("start"), d.n.alias("n_tokens"), F.crc32(piece(ids, d)).alias("ids_crc32")))
+    # the outer transform names the decoded ids, so that they are decoded once
+    each = chunks.select("part", "chunk", F.explode(F.element_at(F.transform(F.array(range_coder.decoded(chunks.sparkSession, "payload")), digest), 1)).alias("d"))
+    return each.join(starts, ["part", "chunk"]).select("d.doc_id", (F.col("d.start") + F.col("_start")).alias("start"), "d.n_tokens", "d.ids_crc32")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,16 +173,53 @@ def test_sainte_lague(seats):
 
 
 @pytest.mark.parametrize("n", [0, 1, 4095, 4096, 9001])
-def test_range_coder(n):
+def test_range_coder(spark, n):
     g = np.random.Generator(np.random.PCG64(n))
-    for ids in (g.integers(0, 65536, n), np.minimum(g.zipf(1.3, n), 65535), np.full(n, 65535)):
-        chunk = range_coder.encode(ids.astype(np.int32))
-        assert (range_coder.decode(chunk) == ids).all()
+    for ids in (g.integers(0, 65536, n), np.minimum(g.zipf(1.3, n), 65535), np.full(n, 65535), np.arange(n) % 7):
+        for block in (1000, range_coder.BLOCK):
+            chunk = range_coder.encode(spark, ids, block)
+            assert (range_coder.decode(spark, chunk) == ids).all()
     if n:
-        broken = bytearray(chunk)
-        broken[28] ^= 1
-        with pytest.raises(ValueError):
-            range_coder.decode(bytes(broken))
+        for at in (0, 22, 28, len(chunk) - 9):  # magic, sizes, checksum, a block
+            broken = bytearray(chunk)
+            broken[at] ^= 1
+            with pytest.raises(Exception, match="chunk|checksum"):
+                range_coder.decode(spark, bytes(broken))
+        with pytest.raises(Exception, match="65535"):
+            range_coder.encode(spark, ids + 65536)
+
+
+def test_range_coder_beats_zlib(spark):
+    """Fewer bits an id than zlib on the same blocks and than order 0 alone knows; fewer still in longer blocks."""
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400).select("text").toArrow()["text"].combine_chunks()
+    ids, _ = token_files.Encoder(token_files.tokenizer_path()).encode(texts)
+    share = np.bincount(ids) / len(ids)
+    order0 = -sum(p * math.log2(p) for p in share if p)
+    bits = lambda n: 8 * n / len(ids)
+    coded = []
+    for block in (4096, 32768, range_coder.BLOCK):
+        coded.append(bits(len(range_coder.encode(spark, ids, block))))
+        assert coded[-1] < 0.9 * bits(sum(len(zlib.compress(ids[i : i + block].astype("<u2").tobytes(), 9)) for i in range(0, len(ids), block)))
+    assert coded[0] > coded[1] > coded[2] and coded[2] < order0
+
+
+def test_encoder():
+    """Words looked up one by one give the ids of whole texts, whatever they consist of; old words are forgotten."""
+    texts = [t for t, *_ in [(r[1],) for r in ROWS]] + ["<|endoftext|> a<|endoftext|>b <|x", "I'LL don't it's 12 a1b2 \xa0 \u2003 e\u0301t\u00c9 \u0130x \u00df \u1e9e \ud55c\uae00 \u1112\u1161 --- a.b,c!? caf\u00c9.", "\x00 \x0b\x1c x\x1fy", "x" * 20_000]
+    code = token_files.Encoder(token_files.tokenizer_path())
+    assert code.by_word
+    whole = [e.ids for e in code.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for kept in (token_files.KEPT, 3, 3):
+        old, token_files.KEPT = token_files.KEPT, kept
+        ids, sizes = code.encode(pa.array(texts, pa.string()))
+        token_files.KEPT = old
+        assert ids.tolist() == [i for w in whole for i in (*w, 2)] and sizes.tolist() == [len(w) + 1 for w in whole]
+    import public_tokenizers
+
+    other = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not other.by_word
+    ids, sizes = other.encode(pa.array(["a b", None, ""]))
+    assert ids.tolist() == [*other.tokenizer.encode("a b").ids, 2, 2, 2] and sizes.tolist() == [3, 1, 1]
 
 
 def test_token_files(docs, empty):
@@ -199,6 +237,8 @@ def test_token_files(docs, empty):
         assert r["start"] == at
         at += r["n_tokens"]
     assert [r["doc_id"] for r in got] == [r[0] for r in order] and token_files.read(token_files.write(empty)).count() == 0
+    named = token_files.read(token_files.write(docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text", F.lit(1).alias("k"), F.lit(1).alias("t"), F.lit(1).alias("h")))).collect()
+    assert Counter((r["n_tokens"], r["ids_crc32"]) for r in named) == Counter((n, c) for (_, n, c), k in want.items() for _ in range(k))
 
 
 def sets(text):
