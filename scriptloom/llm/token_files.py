@@ -33,7 +33,7 @@ TOKENIZER, END = "word_bpe_49k.json", 2
 #: A chunk closes at this many ids.
 CHUNK_IDS = 1 << 20
 #: Texts are encoded together up to this many bytes; a worker keeps the ids of about 2 * KEPT words and 2 * KEPT units.
-TOGETHER, KEPT = 8 << 20, 250_000
+TOGETHER, KEPT = 8 << 20, 350_000
 #: Words of signs, digits and Latin letters in composed form; and their units, in lower case.
 _plain = re.compile("[\\x21-\\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 _units = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
@@ -123,7 +123,7 @@ class Encoder:
             words = pc.ascii_split_whitespace(texts)
             first = words.offsets.to_numpy().astype(np.int64)
             numbered = words.flatten().dictionary_encode()
-            kinds = [*self._words(numbered.dictionary.to_pylist()), np.array([END], "<u4").tobytes()]
+            kinds = [*self._words(numbered.dictionary.to_numpy(zero_copy_only=False).tolist()), np.array([END], "<u4").tobytes()]
             first -= first[0]
             kind = np.insert(numbered.indices.to_numpy(zero_copy_only=False), first[1:], len(kinds) - 1)
             size = np.fromiter(map(len, kinds), np.int32, len(kinds)) // 4
