@@ -111,3 +111,28 @@ def running_sum(df: DataFrame, group: str, order: list, bucket, value, out: str,
         .withColumn(out, F.col(before) + F.coalesce(F.sum(v).over(inner), F.lit(0)))
         .drop(b, v, before)
     )
+
+
+#: hub_join broadcasts the values that more than one of HUBS rows has; fewer than HUBS values can.
+HUBS = 1000
+
+
+def hub_join(rows: DataFrame, table: DataFrame, on: str, count: str, spread, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, which has a row per value of the column `on`.
+
+    `count`, a column of table that the result lacks, says how many of rows have the value. The most frequent values
+    come by a broadcast of fewer than HUBS rows; the rest, and rows whose value is null, are dealt by value or by the
+    hash `spread`, so no task gets the rows of a hub. Values that table lacks must not be hubs, unless they are null.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    value, hot, key, salt = (fresh(rows, x) for x in ("_of_table", "_hot", "_cold", "_salt"))
+    packed = table.select(F.col(on).alias(key), F.struct(*(c for c in table.columns if c not in (on, count))).alias(value), (F.col(count) * HUBS > total).alias(hot))
+    hubs = packed.where(hot).drop(hot)
+    rest = packed.where(~F.col(hot)).select(F.col(key).alias(f"{key}_"), F.lit(0).cast("long").alias(f"{salt}_"), F.col(value).alias(f"{value}_"))
+    at = rows.join(F.broadcast(hubs), F.col(on) == F.col(key), "left")  # fewer than HUBS rows
+    passed = F.col(value).isNotNull() | F.col(on).isNull()
+    at = at.withColumn(salt, F.when(passed, spread.bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long")).withColumn(key, F.when(~passed, F.col(on)))
+    at = at.join(rest, (F.col(key) == F.col(f"{key}_")) & (F.col(salt) == F.col(f"{salt}_")), "left")
+    whole = F.coalesce(value, f"{value}_")
+    at = at.where(whole.isNotNull()) if how == "inner" else at
+    return at.select(*rows.columns, whole.alias(value)).select(*rows.columns, *(F.col(f"{value}.{c}").alias(c) for c in table.columns if c not in (on, count)))

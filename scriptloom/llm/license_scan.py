@@ -2,15 +2,19 @@
 
 A file's headers are the sentences of its whole text that speak of a licence; in a licence file (LICENSE, COPYING and
 the like) they speak for its directory. Equal headers are counted first, so that a notice in a third of all files is
-one row from there on. Headers and templates are sparse TF-IDF vectors, a row per term, with document frequencies over
-all headers and templates; cosines are sums over the terms they share. A file takes the licence of its best header of
-cosine LEAST or more; a file without one inherits that of the nearest directory above it (or its own) whose licence
-files give one, by a join of its directories' paths.
+one row from there on. Headers and templates are sparse TF-IDF vectors, with document frequencies over all headers and
+templates. A file takes the licence of its best header of cosine LEAST or more; a file without one inherits that of the
+nearest directory above it (or its own) whose licence files give one, by a join of its directories' paths.
 
 Beside its sentences, a file's header blocks (runs of consecutive lines that speak of a licence: the paragraphs, and
 each whole comment) and, in a licence file, its whole text are vectors too, in a space of their own with the licences'
 full texts and standard headers; these count from cosine LEAST_WHOLE on. The best cosine of all wins.
 
+Texts are read once: what is cut from them, headers and bags of terms, is written. Cosines take two steps. The terms of
+the templates, a bounded table, give each vector its products with all templates and the part of its norm that they
+account for; as no term weighs less than its frequency, that bounds its cosine from above. The few vectors whose bound
+reaches the threshold meet the document frequencies of their other terms by a join, and get their exact cosines.
+
 Null texts have no headers and null paths no directory; neither fails. Ties go to the first template name, and among a
 directory's licence files to the highest cosine, then the first name. Repeated rows are each judged. Very long texts
 are read whole. Empty tables give empty results. Columns of files are carried along; clashing names get underscores.
@@ -20,10 +24,10 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fresh, table, written
+from .base import fresh, hub_join, table, written
 
 LEAST, LEAST_WHOLE = 0.6, 0.8
 #: What a header has to contain, in lower case, and the names of licence files.
@@ -70,8 +74,19 @@ BLANK, COMMENT = r"^[^\p{L}\p{N}]*$", r"^\s*(?:#|//|/?\*|--|;|%|<!--)"
 SENTENCE, TERM = r"\n|[.!?;]\s+|[.!?;]$", r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 
 
-def _terms(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+def _let(x: Column, f) -> Column:
+    """f of x, which is computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def bag(text) -> Column:
+    """The distinct terms of a text with their frequencies, as an array of (term, tf)."""
+    terms = F.array_sort(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    firsts = lambda t: F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+    ends = lambda t, f: F.concat(F.slice(f, F.lit(2), F.size(f)), F.array(F.size(t)))
+    pair = lambda t: lambda i, j: F.struct(F.get(t, i).alias("term"), (j - i).cast("long").alias("tf"))
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return _let(terms, lambda t: F.when(F.size(t) == 0, none).otherwise(_let(firsts(t), lambda f: F.zip_with(f, ends(t, f), pair(t)))))
 
 
 def headers(text):
@@ -85,15 +100,16 @@ def blocks(text):
     """The header blocks of a text: paragraphs and whole comments that speak of a licence."""
     cue = lambda s: F.reduce(F.array(*(F.contains(F.lower(s), F.lit(c)) for c in CUES)), F.lit(False), lambda a, b: a | b)
     some = F.translate(F.coalesce(text, F.lit("")), "\u0001", " ")
-    lines = F.split(some, r"\r?\n")
     paragraph = lambda s: s.rlike(BLANK)
     comment = lambda s: F.when(s.rlike(COMMENT), 1).when(s.rlike(BLANK), 0).otherwise(2)
 
-    def runs(kind):
-        marked = F.zip_with(F.concat(F.array(F.lit("")), F.slice(lines, F.lit(1), F.size(lines) - 1)), lines, lambda p, s: F.when(kind(p) != kind(s), F.concat(F.lit("\u0001"), s)).otherwise(s))
-        return F.filter(F.split(F.array_join(marked, "\n"), "\n?\u0001"), cue)
+    def runs(lines, kind):
+        kinds = F.transform(lines, lambda s: F.struct(s.alias("s"), kind(s).alias("k")))
+        marked = lambda x: F.transform(x, lambda e, i: F.when((i > 0) & (F.get(x, i - 1).k != e.k), F.concat(F.lit("\u0001"), e.s)).otherwise(e.s))
+        return F.filter(F.split(F.array_join(_let(kinds, marked), "\n"), "\n?\u0001"), cue)
 
-    return F.when(cue(some), F.array_distinct(F.concat(runs(paragraph), runs(comment)))).otherwise(F.array().cast("array<string>"))
+    of = lambda lines: F.array_distinct(F.concat(runs(lines, paragraph), runs(lines, comment)))
+    return F.when(cue(some), _let(F.split(some, r"\r?\n"), of)).otherwise(F.array().cast("array<string>"))
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -101,62 +117,91 @@ def full_texts() -> list[tuple[str, str]]:
     return [*((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))), *HEADERS]
 
 
-def matched(notices: DataFrame, known: tuple | list = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """(header, license, score) of the best template of each header; notices: header, n (how often it occurs), and text
-    if header is only a key of it."""
-    spark = notices.sparkSession
-    templates = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(known)], "template int, license string, text string")
-    terms = lambda df, key, text, *more: df.select(key, *more, F.explode(_terms(text)).alias("term")).groupBy(key, *more, "term").agg(F.count("*").alias("tf"))
-    of_headers, of_templates = terms(notices, "header", F.col("text" if "text" in notices.columns else "header"), "n"), terms(templates, "template", F.col("text"), "license")
-    if "text" in notices.columns:  # long ones: their terms are counted once
-        of_headers = written(of_headers, "terms")
-    df = of_headers.select("term", "n").unionByName(of_templates.select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
-    total = notices.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    idf = df.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("total") + len(known)) / (1 + F.col("df"))) + 1).alias("idf"))  # total: one row
-    weigh = lambda t: t.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    h, t = weigh(of_headers).select("header", "term", "w"), weigh(of_templates).select("template", "license", "term", F.col("w").alias("tw"))
-    h_norm = h.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("hn"))
-    t_norm = t.groupBy("template").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
-    dot = h.join(F.broadcast(t), "term").groupBy("header", "template", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # t: the terms of the templates
-    cosine = dot.join(h_norm, "header").join(F.broadcast(t_norm), "template").withColumn("score", F.round(F.col("dot") / (F.col("hn") * F.col("tn")), 6))
-    best = cosine.where(F.col("score") >= least).groupBy("header").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    return best.select("header", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
-
-
-def licenses(files: DataFrame, path: str = "path", text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """files with license, score, origin (own, inherited or null) and from_path; and those columns' names."""
+def matched(bags: DataFrame, known: tuple | list = TEMPLATES, least: float = LEAST) -> DataFrame:
+    """(header, license, score) of the best template of each header.
+
+    bags, a written table: id (unique), header (a key: of the same key, the same bag), n (how often it occurs), bag.
+    """
+    spark = bags.sparkSession
+    rows = [(i, name, text) for i, (name, text) in enumerate(known)]
+    templates = spark.createDataFrame(rows, "template int, license string, text string").select("template", F.explode(bag("text")).alias("b")).select("template", "b.*")
+    total = (bags.agg(F.sum("n")).first()[0] or 0) + len(known)
+    each = bags.select("id", "n", F.explode("bag").alias("b")).select("id", "n", "b.*")
+    seen = each.groupBy("term").agg(F.sum("n").alias("df")).unionByName(templates.groupBy("term").agg(F.count("*").alias("df")))
+    df = written(seen.groupBy("term").agg(F.sum("df").alias("df")), "frequencies")
+    idf = F.log(F.lit(float(1 + total)) / (1 + F.col("df"))) + 1
+    # a row per term of the templates: its square, and its weight in each template
+    ours = templates.groupBy("term").pivot("template", [r[0] for r in rows]).agg(F.sum("tf")).join(df, "term").select(
+        F.col("term").alias("ours"), (idf * idf).alias("square"), *((F.coalesce(F.col(f"`{i}`"), F.lit(0)) * idf * idf).alias(f"t{i}") for i, *_ in rows)
+    )
+    ours = written(ours, "template_terms")
+    norms = templates.join(df, "term").groupBy("template").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf") * idf * idf)).alias("tn"))
+    norm = {r["template"]: r["tn"] for r in norms.collect()}  # a row per template
+    met = each.join(F.broadcast(ours), F.col("term") == F.col("ours"), "left")  # ours: the terms of the templates
+    tf, foreign = F.col("tf"), F.col("ours").isNull()
+    sums = met.groupBy("id").agg(
+        F.sum(F.when(foreign, 0).otherwise(tf * tf * F.col("square"))).alias("own"), F.sum(F.when(foreign, tf * tf).otherwise(0)).alias("rest"),
+        *(F.sum(tf * F.coalesce(F.col(f"t{i}"), F.lit(0.0))).alias(f"t{i}") for i, *_ in rows),
+    )
+    names = {name: F.greatest(*(F.col(f"t{i}") / F.lit(norm.get(i, 1.0)) for i, of, _ in rows if of == name), F.lit(0.0)) for name in sorted({r[1] for r in rows})}
+    dots = F.array(*(F.struct(dot.alias("dot"), F.lit(name).alias("license")) for name, dot in names.items()))
+    highest = F.array_max(F.transform("dots", lambda d: d.dot))
+    near = sums.select("id", "own", "rest", dots.alias("dots")).where((highest > 0) & (highest >= F.lit(least - 1e-5) * F.sqrt(F.col("own") + F.col("rest"))))
+    near = written(near.join(bags.select("id", "header", "bag"), "id").groupBy("header").agg(F.first(F.struct("own", "dots", "bag")).alias("f")).select("header", "f.*"), "near")
+    more = near.select("header", F.explode("bag").alias("b")).select("header", "b.term", "b.tf").join(F.broadcast(ours.select("ours")), F.col("term") == F.col("ours"), "left_anti")
+    counted = more.groupBy("term").agg(F.count("*").alias("rows")).join(df, "term")
+    rest = hub_join(more, counted, "term", "rows", F.xxhash64("header")).groupBy("header").agg(F.sum(F.col("tf") * F.col("tf") * idf * idf).alias("more"))
+    score = lambda d: F.round(d.dot / F.sqrt(F.col("own") + F.coalesce("more", F.lit(0.0))), 6)
+    best = F.array_min(F.transform("dots", lambda d: F.struct((-score(d)).alias("s"), d.license.alias("license"))))
+    out = near.join(rest, "header", "left").select("header", best.alias("b")).select("header", "b.license", (-F.col("b.s")).alias("score"))
+    return written(out.where(F.col("score") >= least), "matched")
+
+
+def licenses(files: DataFrame, path: str = "path", text: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """keep (all columns of files) with license, score, origin (own, inherited or null) and from_path; and those columns' names."""
+    keep = files.columns if keep is None else keep
     names, wide = {}, files
-    for name in ("license", "score", "origin", "from_path", "_row", "_found", "_dirs", "_long"):
+    for name in ("license", "score", "origin", "from_path"):
         names[name] = fresh(wide, name)
         wide = wide.withColumn(names[name], F.lit(None))
-    found, dirs, long = names["_found"], names["_dirs"], names["_long"]
     p = F.col(path)
     of_licence = F.coalesce(F.element_at(F.split(p, "/"), -1).rlike(LICENSE_FILE), F.lit(False))
     whole = F.when(of_licence & F.col(text).isNotNull(), F.array(F.col(text))).otherwise(F.array().cast("array<string>"))
     key = lambda x: F.concat(F.lit("\u0001"), F.sha2(x, 256))
-    at = files.withColumn(found, F.array_distinct(headers(F.col(text)))).withColumn(long, F.array_distinct(F.concat(whole, blocks(F.col(text)))))
-    notices = at.select(F.explode(found).alias("header")).groupBy("header").agg(F.count("*").alias("n"))
-    texts = at.select(F.explode(long).alias("text")).groupBy(key(F.col("text")).alias("header")).agg(F.count("*").alias("n"), F.first("text").alias("text"))
-    known = matched(notices).unionByName(matched(texts, full_texts(), LEAST_WHOLE))
-    at = at.withColumn(found, F.concat(found, F.transform(long, key))).drop(long)
-    # a file's licence follows from its headers and a directory's from its licence files: both are small tables
-    sets = at.where(F.size(found) > 0).select(found).distinct().withColumn("header", F.explode(found)).join(known, "header")
-    own = sets.groupBy(found).agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b")).select(F.col(found).alias("_set"), F.col("b.license").alias("_own"), (-F.col("b.s")).alias("_own_score"))
-    declared = at.where(of_licence & (F.size(found) > 0)).join(own, F.col(found) == F.col("_set"))
+    long = F.transform(F.array_distinct(F.concat(whole, blocks(F.col(text)))), lambda x: F.struct(key(x).alias("header"), bag(x).alias("bag")))
     parent = F.regexp_extract(p, "^(.*)/[^/]*$", 1)
-    by_dir = declared.groupBy(parent.alias("_dir")).agg(F.min(F.struct((-F.col("_own_score")).alias("s"), "_own", p.alias("f"))).alias("b"))
-    by_dir = by_dir.select("_dir", F.col("b._own").alias("_given"), (-F.col("b.s")).alias("_given_score"), F.col("b.f").alias("_from"))
+    # under neutral names from here on, whatever the columns of files are called
+    at = written(files.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), p.alias("path"), of_licence.alias("declares"), parent.alias("dir"), F.array_distinct(headers(F.col(text))).alias("found"), long.alias("long")), "files")
+    notices = at.select(F.explode("found").alias("header")).groupBy("header").agg(F.count("*").alias("n"))
+    number = F.monotonically_increasing_id().alias("id")  # the tables are written at once
+    short = written(notices.select(number, "header", "n", bag("header").alias("bag")), "notices")
+    texts = written(at.select(F.explode("long").alias("l")).select(number, "l.header", F.lit(1).cast("long").alias("n"), "l.bag"), "texts")
+    known = matched(short).unionByName(matched(texts, full_texts(), LEAST_WHOLE))
+    # a file's licence follows from its set of headers and a directory's from its licence files: both are small tables
+    at = at.withColumn("found", F.concat("found", F.transform("long", lambda x: x.header))).drop("long")
+    at = at.withColumn("set", F.when(F.size("found") > 0, F.sha2(F.to_json("found"), 256)))
+    sets = at.where("set IS NOT NULL").groupBy("set").agg(F.count("*").alias("rows"), F.first("found").alias("found"))
+    told = sets.select("set", "rows", F.explode("found").alias("header"))
+    counted = told.groupBy("header").agg(F.count("*").alias("uses")).join(known, "header", "left")
+    own = hub_join(told, counted, "header", "uses", F.xxhash64("set")).groupBy("set").agg(F.first("rows").alias("rows"), F.min(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), "license"))).alias("b"))
+    own = written(own.select("set", "rows", F.col("b.license").alias("own"), (-F.col("b.s")).alias("own_score")), "sets")
+    at = hub_join(at.drop("found"), own, "set", "rows", F.xxhash64("path"), "left")
+    by_dir = at.where("declares AND own IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("own_score")).alias("s"), "own", F.col("path").alias("f"))).alias("b"))
+    by_dir = by_dir.select(F.col("dir").alias("above"), F.col("b.own").alias("given"), (-F.col("b.s")).alias("given_score"), F.col("b.f").alias("given_by"))
     # the nearest directory of each distinct parent: its ancestors meet the directories that give a licence
-    steps = F.split(F.col("_parent"), "/")
-    up = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("dir")))
-    parents = at.select(parent.alias("_parent")).where("_parent IS NOT NULL").distinct()
-    near = parents.select("_parent", F.explode(up).alias("u")).select("_parent", "u.depth", F.col("u.dir").alias("_dir")).join(by_dir, "_dir")
-    near = near.groupBy("_parent").agg(F.max_by(F.struct("_given", "_given_score", "_from"), "depth").alias("_near"))
-    out = at.withColumn(dirs, parent).join(own, F.col(found) == F.col("_set"), "left").join(near, F.col(dirs) == F.col("_parent"), "left")
-    mine = F.col("_own").isNotNull()
+    steps = F.split("dir", "/")
+    up = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(steps, F.lit(1), n), "/").alias("above")))
+    parents = at.where("dir IS NOT NULL").groupBy("dir").agg(F.count("*").alias("rows"))
+    lines = parents.select("dir", "rows", F.explode(up).alias("u")).select("dir", "rows", "u.depth", "u.above")
+    shared = written(lines.groupBy("above").agg(F.count("*").alias("uses")).join(by_dir, "above", "left"), "directories")
+    near = hub_join(lines, shared, "above", "uses", F.xxhash64("dir"))
+    given = F.when(F.col("given").isNotNull(), F.struct("given", "given_score", "given_by"))
+    near = written(near.groupBy("dir").agg(F.first("rows").alias("rows"), F.max_by(given, F.when(given.isNotNull(), F.col("depth"))).alias("near")), "nearest")
+    out = hub_join(at, near, "dir", "rows", F.xxhash64("path"), "left")
+    mine = F.col("own").isNotNull()
     return out.select(
-        *files.columns, F.coalesce("_own", "_near._given").alias(names["license"]), F.coalesce("_own_score", "_near._given_score").alias(names["score"]),
-        F.when(mine, "own").when(F.col("_near").isNotNull(), "inherited").alias(names["origin"]), F.when(mine, p).otherwise(F.col("_near._from")).alias(names["from_path"]),
+        *(F.col(f"row.`{c}`").alias(c) for c in keep), F.coalesce("own", "near.given").alias(names["license"]), F.coalesce("own_score", "near.given_score").alias(names["score"]),
+        F.when(mine, "own").when(F.col("near").isNotNull(), "inherited").alias(names["origin"]), F.when(mine, F.col("path")).otherwise(F.col("near.given_by")).alias(names["from_path"]),
     ), names
 
 
@@ -170,7 +215,7 @@ def as_files(docs: DataFrame) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, n = licenses(as_files(table(spark, sf_dir, "documents")))
+    out, n = licenses(as_files(table(spark, sf_dir, "documents")), keep=["doc_id", "path"])
     return out.select("doc_id", "path", *(F.col(n[c]).alias(c) for c in ("license", "score", "origin", "from_path")))
 
 
