@@ -56,10 +56,12 @@ def released(run):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share; a temporary one in local mode if none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="scriptloom-"))
     return "file://" + _own_dir[0]
@@ -117,22 +119,29 @@ def running_sum(df: DataFrame, group: str, order: list, bucket, value, out: str,
 HUBS = 1000
 
 
-def hub_join(rows: DataFrame, table: DataFrame, on: str, count: str, spread, how: str = "inner") -> DataFrame:
+def hub_join(rows: DataFrame, table: DataFrame, on: str, count: str, spread, how: str = "inner", total: int | None = None, small: bool = False) -> DataFrame:
     """rows joined (inner or left) with table, which has a row per value of the column `on`.
 
-    `count`, a column of table that the result lacks, says how many of rows have the value. The most frequent values
-    come by a broadcast of fewer than HUBS rows; the rest, and rows whose value is null, are dealt by value or by the
-    hash `spread`, so no task gets the rows of a hub. Values that table lacks must not be hubs, unless they are null.
+    `count`, a column of table that the result lacks, says how many of rows (all of them: `total`) have the value. The
+    most frequent values come by a broadcast of fewer than HUBS rows; the rest, and rows whose value is null, are dealt
+    by value or by the hash `spread`, so no task gets the rows of a hub. Values that table lacks must not be hubs, unless
+    they are null. small: table's size is known to be bounded, and all of it is broadcast.
     """
-    total = table.agg(F.sum(count)).first()[0] or 0
     value, hot, key, salt = (fresh(rows, x) for x in ("_of_table", "_hot", "_cold", "_salt"))
-    packed = table.select(F.col(on).alias(key), F.struct(*(c for c in table.columns if c not in (on, count))).alias(value), (F.col(count) * HUBS > total).alias(hot))
+    more = [c for c in table.columns if c not in (on, count)]
+    if small:
+        bounded = table.select(F.col(on).alias(key), F.struct(*more).alias(value))
+        return rows.join(F.broadcast(bounded), F.col(on) == F.col(key), how).select(*rows.columns, *(F.col(f"{value}.{c}").alias(c) for c in more))
+    total = table.agg(F.sum(count)).first()[0] or 0 if total is None else total
+    packed = table.select(F.col(on).alias(key), F.struct(*more).alias(value), (F.col(count) * HUBS > total).alias(hot))
     hubs = packed.where(hot).drop(hot)
-    rest = packed.where(~F.col(hot)).select(F.col(key).alias(f"{key}_"), F.lit(0).cast("long").alias(f"{salt}_"), F.col(value).alias(f"{value}_"))
+    # one structure as key: a null value in it is hashed with the salt beside it
+    dealt = lambda v, n: F.struct(v.alias("v"), n.cast("long").alias("n"))
+    rest = packed.where(~F.col(hot)).select(dealt(F.col(key), F.lit(0)).alias(f"{key}_"), F.col(value).alias(f"{value}_"))
     at = rows.join(F.broadcast(hubs), F.col(on) == F.col(key), "left")  # fewer than HUBS rows
     passed = F.col(value).isNotNull() | F.col(on).isNull()
-    at = at.withColumn(salt, F.when(passed, spread.bitwiseOR(F.lit(1))).otherwise(F.lit(0)).cast("long")).withColumn(key, F.when(~passed, F.col(on)))
-    at = at.join(rest, (F.col(key) == F.col(f"{key}_")) & (F.col(salt) == F.col(f"{salt}_")), "left")
+    at = at.withColumn(salt, dealt(F.when(~passed, F.col(on)), F.when(passed, spread.bitwiseOR(F.lit(1))).otherwise(F.lit(0))))
+    at = at.join(rest, F.col(salt) == F.col(f"{key}_"), "left")
     whole = F.coalesce(value, f"{value}_")
     at = at.where(whole.isNotNull()) if how == "inner" else at
-    return at.select(*rows.columns, whole.alias(value)).select(*rows.columns, *(F.col(f"{value}.{c}").alias(c) for c in table.columns if c not in (on, count)))
+    return at.select(*rows.columns, whole.alias(value)).select(*rows.columns, *(F.col(f"{value}.{c}").alias(c) for c in more))

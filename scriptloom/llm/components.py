@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import written
+from .base import hub_join, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """Each node sends its larger (large star) or smaller (small star) neighbours to the least node it knows of.
 
-    The minimum is pre-aggregated before the shuffle, so that a hub's edges never meet in one task for it.
+    The minimum is pre-aggregated before the shuffle, and comes to a hub's edges by broadcast, so they never meet in one
+    task. n: number of edges.
     """
     if large:
         edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        moved = edges.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        moved = hub_join(edges, least, "a", "n", F.xxhash64("b"), total=2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.where("a <> b").distinct()
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = hub_join(edges, least, "a", "n", F.xxhash64("b"), total=n).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -36,4 +37,5 @@ def connected(edges: DataFrame) -> DataFrame:
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
             ).distinct()
         mark = state
-        edges = written(_star(_star(edges, True), False), "edges")
+        larger = written(_star(edges, True, state[0]), "edges")
+        edges = written(_star(larger, False, larger.count()), "edges")

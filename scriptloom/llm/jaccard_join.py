@@ -8,11 +8,13 @@ are the connected components of the links.
    ROWS values; texts that share a key are candidates. A pair at the threshold shares none with a chance of about 6e-5,
    at 0.85 of 1e-7.
 2. Texts that share keys, by chains, form a block of candidates; nothing but these stars of (key, text) is shuffled.
-3. A block is compared in tasks of some hundred texts: a large block is cut into pieces, and every two pieces meet in a
-   task of their own, so its links are found whole and no task grows with it. In a task, candidate pairs have their MinHash
-   values compared incrementally, STEP at a time; a pair leaves once the posterior probability of reaching the
-   threshold (uniform prior) is below TOLERANCE. The remaining pairs are verified exactly on their shingle sets.
-4. A task returns numbers of links and a representative per text, never pairs.
+3. A block's texts are signed once more and their shingle sets kept. A large block is cut into pieces, and every two
+   pieces meet in a task of their own, so no task grows with the block. First the signatures meet: candidate pairs have
+   their MinHash values compared incrementally, STEP at a time; a pair leaves once the posterior probability of reaching
+   the threshold (uniform prior) is below TOLERANCE. A text that is left with no pair in a task goes no further there.
+4. Then the shingle sets of the texts that are left meet likewise, and the remaining pairs are verified exactly. A task
+   returns numbers of links and a representative per text, never pairs. No text is copied for this, and a set only to
+   where a near copy of it may be.
 
 A row without words (null, empty, blank) has no shingles: it has no links and is a class of its own. Repeated rows are
 copies. class_id is the least doc_id in the class; it is null only if all are. Empty tables give empty results; very
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import released, small_batches, table, written
+from .base import fresh, hub_join, released, small_batches, table, written
 from .components import connected
 from .decontaminate import _mix, gram_hashes_rows
 
@@ -37,7 +39,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 6, 16, 1e-6
 HASHES = BANDS * ROWS
 #: Texts and words of a piece of a large block; two pieces meet in a task.
-PIECE_TEXTS, PIECE_WORDS = 256, 300_000
+PIECE_TEXTS, PIECE_WORDS = 512, 600_000
 #: Rows of the table of candidate texts, at about 100 bytes, up to which it is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -160,15 +162,12 @@ def verified(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: fl
     return shared >= threshold * (size[i] + size[j] - shared) - 1e-9
 
 
-def links(texts: list[str], copies: np.ndarray, side: np.ndarray | None, known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts with words: the linked documents of each (without its own copies), and the least linked text by chains."""
-    shingles, begin, _ = shingle_hashes(texts, known)
-    sets = [np.unique(shingles[a:b]) for a, b in zip(begin, begin[1:])]
-    sig = signatures(shingles, begin[:-1])
+def links(sets: list[np.ndarray], sig: np.ndarray, copies: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The linked documents of each text (without its own copies), and the least linked text by chains."""
     i, j = survivors(sig, band_keys(sig), side)
     ok = verified(sets, i, j)
     i, j = i[ok], j[ok]
-    n, label = np.zeros(len(texts), np.int64), np.arange(len(texts))
+    n, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
     np.add.at(n, i, copies[j])
     np.add.at(n, j, copies[i])
     while len(i):
@@ -181,6 +180,55 @@ def links(texts: list[str], copies: np.ndarray, side: np.ndarray | None, known:
     return n, label
 
 
+def signed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (node, t): each text's signature and its sorted distinct shingle hashes."""
+    known = WordHashes()
+    for batch in batches:
+        if len(batch):
+            shingles, begin, _ = shingle_hashes(batch.column(1).to_pylist(), known)
+            sig = [x.tobytes() for x in np.ascontiguousarray(signatures(shingles, begin[:-1]))]
+            sets = [np.unique(shingles[a:b]).tobytes() for a, b in zip(begin, begin[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.array(sets, pa.binary())], names=["node", "sig", "shingles"])
+
+
+def _blocks(group: pa.Table) -> Iterator[tuple[list[int], np.ndarray, np.ndarray | None]]:
+    """The rows of each block in a task, by node; their signatures; and their pieces, if two pieces meet."""
+    node, comp, piece, g = (group[c].to_pylist() for c in ("node", "component", "piece", "g"))
+    sig = group["sig"].to_pylist()
+    by: dict[bytes, list[int]] = {}
+    for at in sorted(range(len(node)), key=node.__getitem__):
+        by.setdefault(comp[at], []).append(at)
+    for rows in by.values():
+        meet = g[rows[0]]
+        side = np.array([piece[at] for at in rows]) if meet["c"] and meet["i"] != meet["j"] else None
+        yield rows, np.frombuffer(b"".join(sig[at] for at in rows), np.uint32).reshape(-1, HASHES), side
+
+
+def _prune(group: pa.Table) -> pa.Table:
+    """The texts of a task that are left with a pair."""
+    left: list[int] = []
+    for rows, sig, side in _blocks(group):
+        i, j = survivors(sig, band_keys(sig), side)
+        left += [rows[x] for x in np.union1d(i, j)]
+    meet = pa.struct([("c", pa.string()), ("i", pa.int32()), ("j", pa.int32())])
+    out = group.select(["node", "g"]).take(pa.array(left, pa.int64()))
+    return pa.table({"node": out["node"], "g": out["g"].cast(meet)})
+
+
+def _verify(group: pa.Table) -> pa.Table:
+    node, copies, sets, g = (group[c].to_pylist() for c in ("node", "copies", "shingles", "g"))
+    out: list[tuple] = []
+    for rows, sig, side in _blocks(group):
+        n, label = links([np.frombuffer(sets[at], np.uint64) for at in rows], sig, np.array([copies[at] for at in rows], np.int64), side)
+        out += [(node[at], int(k), node[rows[head]], not g[at]["c"]) for at, k, head in zip(rows, n, label) if k]
+    return pa.table({"node": pa.array([r[0] for r in out], pa.binary()), "n": pa.array([r[1] for r in out], pa.int64()), "head": pa.array([r[2] for r in out], pa.binary()), "last": pa.array([r[3] for r in out], pa.bool_())})
+
+
+def _node(text: str):
+    """A text's node; null without words."""
+    return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(F.col(text).cast("binary"))))
+
+
 def nodes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(doc_id, node, n_words, keys) of each row, written; node is null without words."""
     small_batches(docs.sparkSession)
@@ -197,7 +245,7 @@ def nodes_of(docs: DataFrame, key: str, text: str) -> DataFrame:
             node = [x if y else None for x, y in zip(batch.column(1).to_pylist(), has)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n_words", "keys"])
 
-    thin = docs.select(F.col(key).alias("doc_id"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("node"), F.col(text).alias("t"))
+    thin = docs.select(F.col(key).alias("doc_id"), _node(text).alias("node"), F.col(text).alias("t"))
     kind = docs.schema[key].dataType.simpleString()
     return written(thin.mapInArrow(released(run), f"doc_id {kind}, node binary, n_words long, keys array<long>"), "signed")
 
@@ -217,32 +265,20 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     members = written(in_block.join(size.select("component", pieces.alias("pieces"), "w"), "component"), "members")
     n, words = members.agg(F.count("*"), F.sum(F.when(F.col("pieces") == 1, F.col("n_words")))).first()
     bins = 1 + (words or 0) // PIECE_WORDS
-    small = members.select("node", "component", "pieces", "copies", F.col("first").alias("f"))
-    texts = docs.select(F.col(key).alias("d"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("node"), F.col(text).alias("t"))
-    held = texts.join(F.broadcast(small) if n <= BROADCAST_ROWS else small, "node").where("d <=> f")
+    texts = docs.select(F.col(key).alias("d"), _node(text).alias("node"), F.col(text).alias("t"))
+    first = hub_join(texts, members.select("node", "copies", F.col("first").alias("f")), "node", "copies", F.xxhash64("d"), small=n <= BROADCAST_ROWS).where("d <=> f")
+    # of one text, rows may also share the doc_id
+    sets = written(first.select("node", "t").mapInArrow(released(signed_sets), "node binary, sig binary, shingles binary"), "sets").groupBy("node").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles"))
     piece = F.pmod(F.xxhash64("node"), "pieces").cast("int")
+    held = written(sets.join(members.select("node", "component", "copies", "pieces", piece.alias("piece")), "node"), "held")
     meets = F.when(
         F.col("pieces") > 1,
-        F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.hex("component").alias("c"), F.least(piece, o).alias("i"), F.greatest(piece, o).alias("j"))),
+        F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda o: F.struct(F.hex("component").alias("c"), F.least("piece", o).alias("i"), F.greatest("piece", o).alias("j"))),
     ).otherwise(F.array(F.struct(F.lit("").alias("c"), F.pmod(F.xxhash64("component"), F.lit(bins)).cast("int").alias("i"), F.lit(0).alias("j"))))
-    tasks = held.select("node", "component", "copies", "t", piece.alias("piece"), F.explode(meets).alias("g"))
-
-    def run(group: pa.Table) -> pa.Table:
-        known, g = WordHashes(), group["g"][0].as_py()
-        row = {}
-        for node, comp, count, t, p in zip(*(group[c].to_pylist() for c in ("node", "component", "copies", "t", "piece"))):
-            row[node] = (comp, count, t, p)
-        by: dict[bytes, list[bytes]] = {}
-        for node in sorted(row):
-            by.setdefault(row[node][0], []).append(node)
-        out: list[tuple] = []
-        for nodes in by.values():
-            side = np.array([row[x][3] for x in nodes]) if g["c"] and g["i"] != g["j"] else None
-            n, label = links([row[x][2] for x in nodes], np.array([row[x][1] for x in nodes], np.int64), side, known)
-            out += [(x, int(k), nodes[at], not g["c"]) for x, k, at in zip(nodes, n, label) if k]
-        return pa.table({"node": pa.array([r[0] for r in out], pa.binary()), "n": pa.array([r[1] for r in out], pa.int64()), "head": pa.array([r[2] for r in out], pa.binary()), "last": pa.array([r[3] for r in out], pa.bool_())})
-
-    found = written(tasks.groupBy("g").applyInArrow(run, "node binary, n long, head binary, last boolean"), "links")
+    tasks = held.select("node", "component", "piece", "sig", F.explode(meets).alias("g"))
+    left = written(tasks.groupBy("g").applyInArrow(_prune, "node binary, g struct<c:string,i:int,j:int>"), "left")
+    tasks = left.join(held.drop("pieces"), "node")
+    found = written(tasks.groupBy("g").applyInArrow(_verify, "node binary, n long, head binary, last boolean"), "links")
     number = found.groupBy("node").agg(F.sum("n").alias("links"))
     heads = found.where("last").select("node", "head")
     across = found.where("NOT last AND node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
@@ -262,8 +298,8 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """A row per row of docs: doc_id, class_id, n_links (other rows of similarity THRESHOLD or more, copies included)."""
     signed, nodes = classes(docs, key, text)
     ids = nodes.groupBy("head").agg(F.min("first").alias("class_id"))
-    info = nodes.join(ids, "head").select("node", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "node").join(info, "node", "left").select(
+    info = written(nodes.join(ids, "head").select("node", "copies", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links")), "info")
+    return hub_join(signed.select("doc_id", "node"), info, "node", "copies", F.xxhash64("doc_id"), "left").select(
         "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
@@ -274,12 +310,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Only rows of texts with copies or links meet the (small) table of such texts; the others pass by.
     """
     _, nodes = classes(docs, key, text)
-    node, first, head = "_loom_node", "_loom_first", "_loom_head"
-    marked = nodes.where("copies > 1 OR links > 0").select(F.col("node").alias(node), F.col("first").alias(first), (F.col("head") == F.col("node")).alias(head), F.col("copies").alias("_loom_copies"))
-    with_node = docs.withColumn(node, F.unhex(F.md5(F.col(text).cast("binary"))))
-    n = marked.count()
-    at = with_node.join(F.broadcast(marked) if n <= BROADCAST_ROWS else marked, node, "left")
-    alone = at.where(F.col(head).isNull())
-    chosen = at.where(F.col(head) & F.col(key).eqNullSafe(F.col(first)))
-    once = chosen.where("_loom_copies = 1").unionByName(chosen.where("_loom_copies > 1").dropDuplicates([node]))
-    return alone.unionByName(once).select(*docs.columns)
+    node, mark = fresh(docs, "_node"), fresh(docs, "_mark")
+    marked = nodes.where("copies > 1 OR links > 0").select(F.col("node").alias(node), "copies", F.struct("first", (F.col("head") == F.col("node")).alias("head"), F.col("copies").alias("n")).alias(mark))
+    at = hub_join(docs.withColumn(node, _node(text)), marked, node, "copies", F.xxhash64(F.col(key)), "left", small=marked.count() <= BROADCAST_ROWS)
+    alone = at.where(F.col(mark).isNull())
+    chosen = at.where(F.col(f"{mark}.head") & F.col(key).eqNullSafe(F.col(f"{mark}.first")))
+    once = chosen.where(F.col(f"{mark}.n") == 1).unionByName(chosen.where(F.col(f"{mark}.n") > 1).dropDuplicates([node]))
+    return alone.unionByName(once).select(*(F.col(f"`{c}`") for c in docs.columns))
