@@ -3,14 +3,17 @@
 Targets: sources share SHARE of all words by weight, none beyond CAP times its own words; what a capped source
 leaves is shared again by weight among the others until none is above. The mix consists of blocks of equal words.
 Blocks go to sources by highest quotients target / (2k + 1), so each shard of the mix has integer quotas per source:
-shard j holds the blocks of ranks between its bounds in the one order of quotients, which is house-monotone. A
-source's documents stand in a seeded order, cut into blocks as one stream of words; its quota takes whole passes of
-the stream and, for the rest, the blocks that follow a seeded start, around the end to the beginning. So no block is
-taken more than CAP times, and how many words of a document are taken follows from its place in the stream alone.
+shard j holds the blocks of ranks between its bounds in the one order of quotients, which is house-monotone.
+
+A source's documents stand in a seeded order, cut into blocks as one stream of words (the last may be short). Its blocks
+are selected in a seeded order, pick after pick, each once before any is picked again and none more than CAP times: the first
+shard's quota takes the first picks, the next shard's the following ones. How many words of a document are taken, and
+for which shards, follows from its place in the stream alone.
 
 Null texts and texts without words have size 0 and are taken 0 times. A null source is a source of its own, last in
-order. Repeated rows stand in the stream one by one. An empty table, or one without words, gives targets of 0. Only a
-row per source is on the driver.
+order. Repeated rows stand in the stream one by one. An empty table, or one without words, gives targets of 0. A source's
+taken words differ from its target by less than two blocks. A row of numbers per source is on the driver, where plans are made
+in numpy. Columns of docs are carried along; clashing names get underscores.
 """
 
 from __future__ import annotations
@@ -18,57 +21,62 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WORD, buckets, fresh, running_sum, table
+from .base import WORD, buckets, fresh, running_sum, table, written
 
 WEIGHTS, SHARE, CAP, SEED, SHARDS = (5, 2, 1), 1.5, 2, 20240611, 40
-#: A block is at most this long, and short enough for the least non-zero target to have a hundred blocks.
-BLOCK, LEAST_BLOCKS = 4096, 100
+#: A block is at most this long. It is shorter where the least target would have under LEAST_BLOCKS of them, or the whole
+#: mix under MOST_BLOCKS.
+BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 4096, 100, 50_000
+#: Sources up to which their plan is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: float = CAP) -> list[float]:
     """Words to take of each source."""
-    out, open_, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes)], share * sum(sizes)
-    while open_:
-        total = sum(weights[i] for i in open_)
-        above = [i for i in open_ if left * weights[i] / total > cap * sizes[i]]
-        if not above:
-            for i in open_:
-                out[i] = left * weights[i] / total
+    size, weight = np.asarray(sizes, np.float64), np.asarray(weights, np.float64)
+    out, open_, left = np.zeros(len(size)), np.ones(len(size), bool), share * math.fsum(sizes)
+    while open_.any():
+        part = left * weight / weight[open_].sum()
+        above = open_ & (part > cap * size)
+        if not above.any():
+            out[open_] = part[open_]
             break
-        for i in above:
-            out[i] = float(cap * sizes[i])
-        left -= sum(out[i] for i in above)
-        open_ = [i for i in open_ if i not in set(above)]
-    return out
+        out[above] = cap * size[above]
+        left -= math.fsum(out[above])
+        open_ &= ~above
+    return out.tolist()
 
 
 def quotas(goal: list[float], seats: int) -> list[int]:
-    """Sainte-Lague: the seats that the `seats` highest quotients goal / (2k + 1) give; ties go to the first."""
-    total = sum(goal)
-    if not total or seats <= 0:
-        return [0] * len(goal)
-    won = [max(0, math.floor(seats * g / total) - 1) for g in goal]  # surely among the highest
-    quotient = lambda i: goal[i] / (2 * won[i] + 1)
-    while sum(won) > seats:  # rounding can't leave it here for long
-        i = max((i for i in range(len(goal)) if won[i]), key=lambda i: (-goal[i] / (2 * won[i] - 1), i))
-        won[i] -= 1
-    # the least quotient won may lie below a quotient not won yet: exchange until the highest have won
-    heap = [(-quotient(i), i) for i in range(len(goal)) if goal[i]]
+    """Sainte-Lague: the seats that the `seats` highest quotients goal / (2k + 1) give; ties go to the first.
+
+    The lowest quotient that wins is enclosed by halving; what lies above is counted, the few in between are ranked.
+    """
+    g = np.asarray(goal, np.float64)
+    if seats <= 0 or not g.any():
+        return [0] * len(g)
+
+    def above(limit: float) -> np.ndarray:
+        """How many quotients of each source are limit or more."""
+        n = np.maximum(0, np.floor((g / limit + 1) / 2))
+        n += g / (2 * n + 1) >= limit  # the quotients as they are rounded decide
+        return (n - ((n > 0) & (g / np.maximum(1, 2 * n - 1) < limit))).astype(np.int64)
+
+    low, high = g.sum() / (4.0 * seats + 4.0 * len(g)), g.max() * 2
+    while (middle := (low + high) / 2) not in (low, high):
+        low, high = (middle, high) if above(middle).sum() > seats else (low, middle)
+    won = above(high)
+    heap = [(-g[i] / (2 * won[i] + 1), i) for i in np.flatnonzero(above(low) > won).tolist()]
     heapq.heapify(heap)
-    for _ in range(seats - sum(won)):
+    for _ in range(seats - int(won.sum())):
         _, i = heapq.heappop(heap)
         won[i] += 1
-        heapq.heappush(heap, (-quotient(i), i))
-    while True:
-        i = max((i for i in range(len(goal)) if goal[i]), key=lambda i: (quotient(i), -i))
-        j = min((j for j in range(len(goal)) if won[j]), key=lambda j: (goal[j] / (2 * won[j] - 1), -j))
-        if (quotient(i), -i) <= (goal[j] / (2 * won[j] - 1), -j):
-            return won
-        won[i] += 1
-        won[j] -= 1
+        heapq.heappush(heap, (-g[i] / (2 * won[i] + 1), i))
+    return won.tolist()
 
 
 def shard_quotas(goal: list[float], seats: int, shards: int) -> list[list[int]]:
@@ -83,7 +91,7 @@ def plan(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SH
     words = [n for _, n in order]
     goal = targets(words, [weights[i % len(weights)] for i in range(len(words))], share, cap)
     least = min((g for g in goal if g > 0), default=1.0)
-    length = max(1, min(block, int(least / LEAST_BLOCKS)))
+    length = max(1, min(block, max(int(least / LEAST_BLOCKS), int(sum(goal) / MOST_BLOCKS))))
     by_shard = shard_quotas(goal, round(sum(goal) / length), shards)
     return [
         {"rank": i, "source": s, "words": n, "target": goal[i], "block": length, "quota": sum(q[i] for q in by_shard), "shards": [q[i] for q in by_shard]}
@@ -91,74 +99,91 @@ def plan(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SH
     ]
 
 
+def order_of(blocks: int, rank: int, seed: int) -> tuple[int, int]:
+    """A seeded order of a source's blocks: block b is pick number (factor * b + shift) mod blocks."""
+    rng = np.random.Generator(np.random.PCG64([seed, rank]))
+    shift = int(rng.integers(0, max(1, blocks)))
+    while math.gcd(factor := int(rng.integers(1, 1 << 20)), blocks) > 1:
+        pass
+    return factor, shift
+
+
 def n_words(text: str):
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int = SEED, by: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, dict[str, str]]:
-    """docs with size, source_size, target, taken, passes, and the taken ranges first/last and again_first/again_last
-    of its words beyond the whole passes; and those columns' names. `by` and a hash of the text fix the seeded order."""
-    spark = docs.sparkSession
+def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int = SEED, by: tuple[str, ...] = ("doc_id",), keep: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """keep (all columns of docs) with size, source_size, target, taken, and the pieces taken: pass (0 the first time a
+    block is picked), first and last word, shard; and those columns' names. `by` and a hash of the text fix the seeded order."""
+    spark, keep = docs.sparkSession, docs.columns if keep is None else keep
     names, wide = {}, docs
-    for name in ("size", "source_size", "target", "taken", "passes", "from_word", "to_word", "again_from", "again_to", "_rank", "_before", "_key", "_tie"):
+    for name in ("size", "source_size", "target", "taken", "pieces"):
         names[name] = fresh(wide, name)
         wide = wide.withColumn(names[name], F.lit(None))
-    n = names
-    sized = docs.withColumn(n["size"], n_words(text)).withColumn(n["_tie"], F.xxhash64(text))
-    per_source = sized.groupBy(source).agg(F.sum(n["size"]).alias("n"), F.count("*").alias("rows")).collect()
+    # under neutral names from here on; words are counted once
+    thin = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(source).alias("of"), n_words(text).alias("size"), F.struct(*by, F.xxhash64(text)).alias("tie"))
+    sized = written(thin.withColumn("key", F.xxhash64(F.lit(seed), "tie")), "sized")
+    per_source = sized.groupBy("of").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     rows = plan([(r[0], r[1]) for r in per_source])
     n_rows = sum(r["rows"] for r in per_source)
-    small = spark.createDataFrame(
-        [(r["source"], r["rank"], r["words"], r["target"], r["block"], r["quota"]) for r in rows],
-        "_source string, _r int, _words long, _target double, _block long, _quota long",
-    )
-    at = sized.join(F.broadcast(small) if len(rows) <= 100_000 else small, F.col(source).eqNullSafe(F.col("_source")))
-    at = at.withColumn(n["_rank"], F.col("_r")).withColumn(n["_key"], F.xxhash64(F.lit(seed), *by, n["_tie"]))
-    order = [n["_key"], *by, n["_tie"]]
-    at = running_sum(at, n["_rank"], order, F.shiftright(n["_key"], 64 - max(6, (buckets(n_rows) - 1).bit_length())), F.col(n["size"]), n["_before"])
-    blocks = F.ceil(F.col("_words") / F.col("_block"))
-    whole = F.when(blocks > 0, F.least(F.floor(F.col("_quota") / blocks), F.lit(CAP))).otherwise(0)
-    rest = F.when(whole < CAP, F.col("_quota") - whole * blocks).otherwise(0)
-    begin = F.pmod(F.xxhash64(F.lit(seed + 1), "_r"), F.greatest(blocks, F.lit(1)))
-    a, b = F.col(n["_before"]), F.col(n["_before"]) + F.col(n["size"])
-    lo, hi = begin * F.col("_block"), F.least((begin + rest) * F.col("_block"), F.col("_words"))
-    again = F.greatest(F.lit(0), (begin + rest - blocks) * F.col("_block"))
-    clip = lambda x, first, last: F.greatest(F.least(x, last), first)
-    at = at.withColumns({
-        n["source_size"]: F.col("_words"), n["target"]: F.col("_target"), n["passes"]: whole.cast("long"),
-        n["from_word"]: (clip(lo, a, b) - a).cast("long"), n["to_word"]: (clip(F.greatest(hi, lo), a, b) - a).cast("long"),
-        n["again_from"]: F.lit(0).cast("long"), n["again_to"]: (clip(again, a, b) - a).cast("long"),
-    })
-    at = at.withColumn(n["taken"], F.col(n["passes"]) * F.col(n["size"]) + F.col(n["to_word"]) - F.col(n["from_word"]) + F.col(n["again_to"]))
-    public = ("size", "source_size", "target", "taken", "passes", "from_word", "to_word", "again_from", "again_to")
-    return at.select(*docs.columns, *(n[c] for c in public)), n
+    planned = []
+    for r in rows:
+        blocks = -(-r["words"] // r["block"])
+        ends = np.minimum(np.cumsum(r["shards"]), CAP * blocks).tolist()
+        planned.append((r["source"], r["rank"], r["words"], r["target"], r["block"], blocks, ends[-1], ends, *order_of(blocks, r["rank"], seed)))
+    small = spark.createDataFrame(planned, "source string, rank int, words long, target double, block long, blocks long, quota long, ends array<long>, factor long, shift long")
+    at = sized.join(F.broadcast(small) if len(rows) <= BROADCAST_SOURCES else small, F.col("of").eqNullSafe(F.col("source")))
+    at = running_sum(at, "rank", ["key", "tie"], F.shiftright("key", 64 - max(6, (buckets(n_rows) - 1).bit_length())), F.col("size"), "before")
+    first, end, block, blocks = F.col("before"), F.col("before") + F.col("size"), F.col("block"), F.col("blocks")
+    whole = lambda x, y: F.floor(x / y).cast("long")
+
+    def taken(b):
+        """The picks of block b, as pieces of this document."""
+        pick = F.pmod(F.col("factor") * b + F.col("shift"), blocks)
+        passes = F.filter(F.sequence(F.lit(0), F.lit(CAP - 1)), lambda p: pick + p * blocks < F.col("quota"))
+        shard = lambda p: F.size(F.filter("ends", lambda e: e <= pick + p * blocks))
+        return F.transform(passes, lambda p: F.struct(
+            p.alias("pass"), (F.greatest(b * block, first) - first).alias("first"), (F.least((b + 1) * block, end) - first).alias("last"), shard(p).alias("shard")
+        ))
+
+    none = F.array().cast("array<struct<pass:int,first:bigint,last:bigint,shard:int>>")
+    pieces = F.when(F.col("size") > 0, F.flatten(F.transform(F.sequence(whole(first, block), whole(end - 1, block)), taken))).otherwise(none)
+    at = at.withColumn("pieces", pieces)
+    total = F.aggregate("pieces", F.lit(0).cast("long"), lambda acc, x: acc + x.last - x.first)
+    return at.select(
+        *(F.col(f"row.`{c}`").alias(c) for c in keep), F.col("size").alias(names["size"]), F.col("words").alias(names["source_size"]),
+        F.col("target").alias(names["target"]), total.alias(names["taken"]), F.col("pieces").alias(names["pieces"]),
+    ), names
 
 
 def mixed_rows(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each whole pass, and one for each range of words taken
-    beyond; the text of a range runs from its first word's start to its last word's end, and n_chars follows it."""
+    """The mix itself, with the columns of docs: a row for each run of words that a pass takes, whatever their shards; the text of a
+    run runs from its first word's start to its last word's end, and n_chars follows it."""
     at, n = mix(docs, source, text)
-    spots = F.col(n["size"])
     part = fresh(at, "_part")
-    ranges = F.filter(
-        F.concat(
-            F.transform(F.sequence(F.lit(1), F.lit(CAP)), lambda i: F.struct(F.when(i <= F.col(n["passes"]), F.lit(0)).cast("long").alias("a"), spots.alias("b"))),
-            F.array(F.struct(F.col(n["from_word"]).alias("a"), F.col(n["to_word"]).alias("b")), F.struct(F.col(n["again_from"]).alias("a"), F.col(n["again_to"]).alias("b"))),
-        ),
-        lambda r: r.a.isNotNull() & (r.a < r.b),
-    )
-    pieces = at.withColumn(part, F.explode(ranges))
-    first, last = F.col(f"{part}.a"), F.col(f"{part}.b")
+
+    def runs(p):
+        """Pieces of pass p that follow each other directly, joined."""
+        of = F.filter(n["pieces"], lambda x: x["pass"] == p)
+        return F.element_at(F.transform(F.array(of), lambda f: F.zip_with(
+            F.filter(f, lambda x, i: (i == 0) | (F.get(f, i - 1)["last"] != x["first"])), F.filter(f, lambda x, i: (i == F.size(f) - 1) | (F.get(f, i + 1)["first"] != x["last"])),
+            lambda x, y: F.struct(x["first"].alias("first"), y["last"].alias("last")),
+        )), 1)
+
+    pieces = at.withColumn(part, F.explode(F.concat(*(runs(p) for p in range(CAP)))))
+    first, last = F.col(f"{part}.first"), F.col(f"{part}.last")
     gap = r"[\x20\x09-\x0D]+"
-    cut = F.when((first == 0) & (last == spots), F.col(text)).otherwise(
+    cut = F.when((first == 0) & (last == F.col(n["size"])), F.col(text)).otherwise(
         F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(f"{WORD}(?:{gap})?"), F.lit(0)), (first + 1).cast("int"), (last - first).cast("int")), "")
     )
     out = pieces.withColumn(text, cut)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, n = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", *(F.col(n[c]).alias(c) for c in ("size", "source_size", "target", "taken")))
+    """Beside the columns agreed on: the shards of the mix that take words of the document, and how many words each takes."""
+    out, n = mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    by_shard = F.transform(n["pieces"], lambda x: F.struct(x["shard"].alias("shard"), (x["last"] - x["first"]).alias("words")))
+    return out.select("doc_id", *(F.col(n[c]).alias(c) for c in ("size", "source_size", "target", "taken")), by_shard.alias("shards"))

@@ -144,9 +144,35 @@ def test_shards(docs, empty, clash):
     assert m.sum(axis=1).tolist() == [5, 0, 9, 26] and sorted(m.sum(axis=0)) == [13, 13, 14]
 
 
+def mixed(rows):
+    """taken and pieces by definition: streams of words in the seeded order, cut into blocks, picked by shard quotas."""
+    by_source = {}
+    for r in rows:
+        by_source.setdefault(r["source"], []).append(r)
+    out = Counter()
+    for entry in mixing.plan([(k, sum(r["size"] for r in v)) for k, v in by_source.items()]):
+        length, words = entry["block"], entry["words"]
+        blocks = -(-words // length)
+        factor, shift = mixing.order_of(blocks, entry["rank"], mixing.SEED)
+        by_pick = {(factor * b + shift) % blocks: b for b in range(blocks)}
+        assert len(by_pick) == blocks
+        stream = []  # the document of each word
+        for i, r in enumerate(sorted(by_source[entry["source"]], key=lambda r: r["key"])):
+            stream += [(i, r["doc_id"], w) for w in range(r["size"])]
+        taken, t = Counter(), 0
+        for shard, quota in enumerate(entry["shards"]):
+            for t in range(t, t + quota):
+                if t < 2 * blocks:
+                    b = by_pick[t % blocks]
+                    taken.update((i, d, shard) for i, d, _ in stream[b * length : (b + 1) * length])
+            t += quota > 0
+        out.update((entry["source"], d, shard, n) for (_, d, shard), n in taken.items())
+    return out
+
+
 def test_mixing(docs, empty):
     out, n = mixing.mix(docs)
-    rows = out.collect()
+    rows = out.withColumn("key", F.xxhash64(F.lit(mixing.SEED), F.struct("doc_id", F.xxhash64("text")))).collect()
     sizes = {}
     for r in rows:
         assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) and 0 <= r["taken"] <= 2 * r["size"]
@@ -155,9 +181,28 @@ def test_mixing(docs, empty):
         s[1] += r["taken"]
     assert all(a == d and abs(t - goal) <= 0.02 * goal + 2 for a, t, goal, d in sizes.values())
     assert math.isclose(sum(v[2] for v in sizes.values()), min(1.5, 2) * sum(v[0] for v in sizes.values()))
+    got = Counter()
+    for r in rows:
+        per = Counter()
+        for x in r["pieces"]:
+            per[x["shard"]] += x["last"] - x["first"]
+        assert sum(per.values()) == r["taken"] and all(0 <= x["first"] < x["last"] <= r["size"] for x in r["pieces"])
+        got.update((r["source"], r["doc_id"], shard, k) for shard, k in per.items())
+    assert got == mixed(rows)
     assert sorted(repr(r["taken"]) for r in rows) == sorted(repr(r["taken"]) for r in mixing.mix(docs.repartition(4))[0].collect())
-    mixed = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in mixing.mixed_rows(docs).collect())
-    assert mixed == sum(r["taken"] for r in rows) and mixing.mix(empty)[0].count() == 0
+    pieces = mixing.mixed_rows(docs).collect()
+    assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in pieces) == sum(r["taken"] for r in rows) and mixing.mix(empty)[0].count() == 0
+    texts = {(i, t) for i, t, *_ in ROWS if t}
+    assert all(any(i == r["doc_id"] and r["text"].strip() in t for i, t in texts) and r["n_chars"] == len(r["text"]) for r in pieces)
+
+
+def test_mixing_blocks():
+    """A tiny source doesn't set the blocks of a large mix, and every shard's quotas are those of its share of all seats."""
+    entries = mixing.plan([("big", 10_000_000), ("tiny", 1), (None, 3_000_000)])
+    assert entries[0]["block"] >= 300 and [e["source"] for e in entries] == ["big", "tiny", None]
+    seats = sum(e["quota"] for e in entries)
+    assert all(abs(sum(e["shards"][j] for e in entries) - seats / mixing.SHARDS) <= 1 for j in range(mixing.SHARDS))
+    assert all(abs(e["quota"] * e["block"] - e["target"]) <= e["block"] for e in entries)
 
 
 @pytest.mark.parametrize("seats", [0, 1, 7, 40, 1001])
