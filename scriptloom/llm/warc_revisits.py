@@ -6,22 +6,28 @@ order of preference; then the revisit's permitted headers replace the response's
 
 The as-of join is a running maximum, not a join of pairs: responses and revisits of a URL stand in order of time, cut
 into time buckets, so that a URL with a third of all records is many small sorts; what a bucket inherits from earlier
-ones comes from a small table of each bucket's last response. Payloads take no part; they are reached by record id.
+ones comes from a small table of each bucket's last response. Buckets end at quantiles of all records' times, so stray times don't
+fill one bucket; records of one and the same time share a bucket. Payloads take no part; they are reached by record id.
 
 Records with null URL or time are never matched: such a revisit has outcome no_response. Several responses at the same
-latest time: the one of greatest record_id. A null header map counts as empty. Repeated rows are resolved one by one.
+latest time: the one of greatest record_id, with null ids behind all others. A null header map counts as empty. Header names are compared
+without case and come out in lower case; of several spellings of a name in one record the last one's value counts. Repeated rows are resolved one by one.
 Empty tables give empty results; columns beyond RECORD are not read.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import fresh, table
 
 RECORD = ("record_id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers")
-BUCKETS = 512
+#: Buckets hold about this many records; there are at most MOST_BUCKETS, found to this part of a bucket.
+BUCKET_ROWS, MOST_BUCKETS, EXACTNESS = 50_000, 10_000, 0.1
 #: Headers that a not-modified reply must not replace (connection-bound, or bound to the stored payload).
 NOT_MERGED = (
     "connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate",
@@ -42,13 +48,28 @@ def canonical_url(url):
     return F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
+def lower_names(headers):
+    """A header map with names in lower case; of several spellings the last one's value."""
+    entries = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(e.key).alias("key"), e.value.alias("value")))
+    later = lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x.key == e.key))
+    return F.map_from_entries(F.element_at(F.transform(F.array(entries), later), 1))
+
+
+def time_bounds(known: DataFrame) -> list[int]:
+    """Where buckets of about BUCKET_ROWS records end, found to EXACTNESS of a bucket; one bound at least."""
+    n = known.count()
+    many = min(MOST_BUCKETS, max(2, -(-n // BUCKET_ROWS)))
+    at = known.select(F.percentile_approx("ts", [i / many for i in range(1, many)], int(many / EXACTNESS))).first()[0]
+    return sorted(set(at or [0]))
+
+
 def resolve(records: DataFrame) -> DataFrame:
     """A row per revisit: record_id, url_key, ts, outcome, base_id, base_ts, headers (the response's, merged if resolved)."""
     r = records.select(*RECORD).withColumn("url_key", canonical_url(F.col("url")))
     known = r.where("url_key IS NOT NULL AND ts IS NOT NULL AND kind IN ('response', 'revisit')")
-    low, high = known.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, ((high or 0) - (low or 0)) // BUCKETS + 1)
-    known = known.withColumn("bucket", F.floor((F.col("ts") - F.lit(low or 0)) / F.lit(width)))
+    edges = sorted({float(x) for x in time_bounds(known)})
+    by_time = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="at", outputCol="bucket")
+    known = by_time.transform(known.withColumn("at", F.col("ts").cast("double"))).drop("at")
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
     rank = F.when(F.col("kind") == "response", F.struct("ts", "record_id"))
     lasts = known.where("kind = 'response'").groupBy("url_key", "bucket").agg(F.max_by(full, rank).alias("last"))
@@ -74,11 +95,8 @@ def resolve(records: DataFrame) -> DataFrame:
         .when(both("last_modified"), F.col("last_modified") == F.col("base.last_modified"))
     )
     outcome = F.when(F.col("base").isNull(), "no_response").when(agrees.isNull(), "no_validator").when(agrees, "resolved").otherwise("validator_mismatch")
-    none = F.create_map().cast("map<string,string>")
-    own = F.map_filter(F.coalesce("headers", none), lambda k, v: ~F.lower(k).isin(*NOT_MERGED))
-    own = F.transform_keys(own, lambda k, v: F.lower(k))
-    base = F.transform_keys(F.coalesce(F.col("base.headers"), none), lambda k, v: F.lower(k))
-    rest = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(own), k))
+    own = F.map_filter(lower_names(F.col("headers")), lambda k, v: ~k.isin(*NOT_MERGED))
+    rest = F.map_filter(lower_names(F.col("base.headers")), lambda k, v: ~F.array_contains(F.map_keys(own), k))
     return every.withColumn("outcome", outcome).select(
         "record_id", "url_key", "ts", "outcome", F.col("base.record_id").alias("base_id"), F.col("base.ts").alias("base_ts"),
         F.when(F.col("outcome") == "resolved", F.map_concat(rest, own)).alias("headers"),
