@@ -101,12 +101,9 @@ def running_sum(df: DataFrame, group: str, order: list, bucket, value, out: str,
     """
     b, v, before = fresh(df, f"{out}_bucket"), fresh(df, f"{out}_value"), fresh(df, f"{out}_so_far")
     df = df.withColumn(b, bucket).withColumn(v, value.cast("long"))
-    sums = df.groupBy(group, b).agg(F.sum(v).alias("_s"))
+    sums = df.groupBy(group, b).agg(F.sum(v).alias(v))
     w = Window.partitionBy(group).orderBy(b)
-    sums = sums.select(
-        group, b, (F.sum("_s").over(w) - F.col("_s")).alias(before),
-        *([F.sum("_s").over(Window.partitionBy(group)).alias(total)] if total else []),
-    )
+    sums = sums.select(group, b, (F.sum(v).over(w) - F.col(v)).alias(before), *([F.sum(v).over(Window.partitionBy(group)).alias(total)] if total else []))
     inner = Window.partitionBy(group, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         df.join(sums, [group, b])

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .base import fresh, small_batches, table, written
+from .base import fresh, hub_join, small_batches, table, written
 
 WINDOW, GRAM = 13, 8
 #: Words of benchmark text that are broadcast at a time: about 60 MB in a Python worker.
@@ -107,13 +107,12 @@ class Block:
             whole = gram_hashes_rows(ids)
             order = np.argsort(whole, kind="stable")
             ids, whole, grams, items_of = ids[order], whole[order], grams[order], [items_of[i] for i in order]
-            if len(np.unique(whole)) < len(whole):
-                raise ValueError("two windows have one hash")
-            self.classes.append((n, k, w, np.unique(grams.min(axis=1)), whole, ids, items_of))
+            alike = int(np.unique(whole, return_counts=True)[1].max())  # windows of one hash stand next to each other
+            self.classes.append((n, k, w, np.unique(grams.min(axis=1)), whole, alike, ids, items_of))
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, list]]:
         """(starts, window numbers, window length, items by window) of the occurrences in ids, 0 being no known word."""
-        for n, k, w, prints, whole, known, items_of in self.classes:
+        for n, k, w, prints, whole, alike, known, items_of in self.classes:
             h = gram_hashes(ids, k)
             at = winnow(h, w)
             at = at[_in_sorted(h[at], prints)]  # the join of fingerprints
@@ -123,9 +122,10 @@ class Block:
                 continue
             rows = ids[starts[:, None] + np.arange(n)[None, :]]
             hashes = gram_hashes_rows(rows)
-            j = np.minimum(np.searchsorted(whole, hashes), len(whole) - 1)
-            ok = (known[j] == rows).all(axis=1)  # the hit extended to the whole window
-            yield starts[ok], j[ok], n, items_of
+            first = np.searchsorted(whole, hashes)
+            for j in (np.minimum(first + o, len(whole) - 1) for o in range(alike)):
+                ok = (known[j] == rows).all(axis=1)  # the hit extended to the whole window
+                yield starts[ok], j[ok], n, items_of
 
 
 def gram_hashes_rows(rows: np.ndarray) -> np.ndarray:
@@ -243,10 +243,12 @@ def decontaminate(
         lambda acc, x: F.struct((acc.n + F.greatest(F.lit(0), x.b - F.greatest(x.a, acc.end))).alias("n"), F.greatest(acc.end, x.b).alias("end")),
     ).n
     n_words = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")).cast("long")
-    out = keyed.join(spans.select(F.col("k").alias(key), n_hit.alias("_n"), F.col("i").alias("_i")), key, "left").drop()
-    hit, found = F.coalesce("_n", F.lit(0)).cast("long"), F.coalesce("_i", F.array().cast("array<string>"))
+    met, rows = fresh(keyed, "_met"), fresh(keyed, "_rows")
+    per_text = keyed.groupBy(key).agg(F.count("*").alias(rows)).join(spans.select(F.col("k").alias(key), F.struct(n_hit.alias("n"), "i").alias(met)), key, "left")
+    out = hub_join(keyed, per_text, key, rows, F.xxhash64(key), "left")
+    hit, found = F.coalesce(f"{met}.n", F.lit(0)).cast("long"), F.coalesce(f"{met}.i", F.array().cast("array<string>"))
     return out.select(
-        *docs.columns, n_words.alias(names["n_words"]), hit.alias(names["n_hit"]), found.alias(names["items"]),
+        *(F.col(f"`{c}`") for c in docs.columns), n_words.alias(names["n_words"]), hit.alias(names["n_hit"]), found.alias(names["items"]),
         F.size(found).cast("long").alias(names["n_items"]), F.sha2(F.array_join(found, ","), 256).alias(names["items_sha256"]),
         ((hit > 0) & (20 * hit >= n_words)).alias(names["contaminated"]),
     ), names

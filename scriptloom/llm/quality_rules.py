@@ -126,7 +126,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ORACLE = r"""
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the full policy rejects, alone and with others, over all documents' ledger."""
+    led, n = ledger(table(spark, sf_dir, "documents").select("text"))
+    return ablations(led.select(n["failed_rules"]), "full-1", n["failed_rules"])
+
+
+_LEDGER = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
 e AS (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w WHERE len(ws) > 0),
@@ -143,6 +149,12 @@ m AS (SELECT w.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars
 f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (word_chars < 2 * n_words)::BIGINT
   + 8 * (word_chars > 20 * n_words)::BIGINT + 16 * (10 * n_symbols > 3 * n_words)::BIGINT
   + 32 * (2 * n_dup_lines > n_lines)::BIGINT + 64 * (10 * n_letter_words < 5 * n_words)::BIGINT AS failed_rules FROM m)
+"""
+ORACLE = _LEDGER + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failed_rules & 3) <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM f
 """
+ABLATIONS_ORACLE = _LEDGER + f"""
+SELECT rule, count(*) FILTER (failed_rules & bit <> 0) AS failed, count(*) FILTER (failed_rules = bit) AS only_this, coalesce(bit_or(failed_rules) FILTER (failed_rules & bit <> 0), 0) AS fails_with
+FROM (VALUES {", ".join(f"('{r}', {b}::BIGINT)" for r, b in BIT.items())}) AS r(rule, bit) LEFT JOIN f ON true GROUP BY rule
+"""

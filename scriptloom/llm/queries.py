@@ -9,10 +9,10 @@ QUERIES = {
     for f in (
         decontaminate.op1_decontaminate, lm_scoring.op2_lm_scoring, warc_revisits.op3_warc_revisits, token_files.op4_token_files,
         jaccard_join.op5_jaccard_join, mixing.op6_mixing, secret_scan.op7_secret_scan, license_scan.op8_license_scan,
-        quality_rules.op9_quality_rules, shards.op10_sharding,
+        quality_rules.op9_quality_rules, shards.op10_sharding, quality_rules.quality_ablations,
     )
 }
 ORACLE = {
     "op1_decontaminate": decontaminate.ORACLE, "op3_warc_revisits": warc_revisits.ORACLE, "op8_license_scan": license_scan.ORACLE,
-    "op9_quality_rules": quality_rules.ORACLE,
+    "op9_quality_rules": quality_rules.ORACLE, "quality_ablations": quality_rules.ABLATIONS_ORACLE,
 }

@@ -4,7 +4,7 @@ Candidate strings are maximal runs of the characters that keys are made of. With
 each character class's own run (hexadecimal, base64); symbol counts are updated by one character in and one out, and
 the entropy follows from the running sum of c*log2(c), so a candidate costs its length, whatever the window. Windows
 above the class's threshold that touch nothing on the allow list (UUIDs, digests named as such, documented example
-keys) merge into spans. Runs of letters or of digits alone are no candidates. Pattern spans are never suppressed.
+keys) merge into spans. Runs of letters have a threshold of their own, above words and names; digits alone are no candidates. Pattern spans are never suppressed.
 
 Null texts count as empty: no spans. Very long texts are scanned whole. Repeated rows are scanned each on its own;
 ties (spans of one start) are ordered by kind. An empty table gives an empty result; other columns are not read.
@@ -26,7 +26,7 @@ from .base import small_batches, table
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_letters")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Class -> characters, window, bits a character that a window must reach. A run shorter than the window, but of SHORTEST
@@ -35,6 +35,8 @@ CLASSES = {
     "entropy_hex": (re.compile(r"[0-9a-fA-F]+"), 20, 2.9),
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_-]+=*"), 24, 3.9),
 }
+#: For candidates without a digit.
+LETTERS = {"entropy_letters": (re.compile(r"[A-Za-z]+"), 24, 4.0)}
 SHORTEST = 20
 #: What looks random but is no secret.
 ALLOW = (
@@ -67,18 +69,17 @@ def window_entropies(s: str, window: int) -> list[float]:
 
 
 def _mixed(s: str) -> bool:
-    """Keys mix digits with letters; words, paths and identifiers in one case don't."""
+    """Letters and digits: the alphabets that the classes' thresholds go by."""
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
 def entropy_spans(text: str) -> list[tuple[int, int, str]]:
     runs = []
     for candidate in CANDIDATE.finditer(text):
-        if not _mixed(candidate[0]):
-            continue
-        for kind, (run, window, least) in CLASSES.items():
+        mixed = _mixed(candidate[0])
+        for kind, (run, window, least) in (CLASSES if mixed else LETTERS).items():
             for m in run.finditer(candidate[0]):
-                if len(m[0]) < SHORTEST or not _mixed(m[0]):
+                if len(m[0]) < SHORTEST or mixed and not _mixed(m[0]):
                     continue
                 w = min(window, len(m[0]))
                 limit = least if w == window else least * math.log2(w) / math.log2(window)

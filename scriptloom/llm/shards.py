@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import buckets, fresh, running_sum, table
+from .base import buckets, fresh, running_sum, table, written
 
 SHARDS, SEED = 40, 20240607
 PARTITION_ROWS, LEAST_PARTITIONS = 1_000_000, 256
@@ -46,25 +46,25 @@ def _by_places(rng: np.random.Generator, room: np.ndarray, k: int) -> np.ndarray
 def shuffle(rows: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """rows with `shard` and `slot` (gapless from 0 in each shard); names get underscores where taken."""
     part, rank, key = fresh(rows, "_part"), fresh(rows, "_rank"), fresh(rows, "_key")
-    shard, slot = fresh(rows, "shard"), fresh(rows, "slot")
+    shard, slot, ends_ = fresh(rows, "shard"), fresh(rows, "slot"), fresh(rows, "_ends")
     spark, cols = rows.sparkSession, [F.col(f"`{c}`") for c in rows.columns]
     n = rows.count()
     parts = buckets(n, PARTITION_ROWS, LEAST_PARTITIONS)
     dealt = rows.withColumn(part, F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(parts)).cast("int"))
     counts = {r[0]: r[1] for r in dealt.groupBy(part).count().collect()}
     drawn = matrix([counts.get(p, 0) for p in range(parts)], shards, seed)
-    ends = spark.createDataFrame([(p, c.tolist()) for p, c in enumerate(np.cumsum(drawn, axis=1))], f"{part} int, _ends array<long>")
+    ends = spark.createDataFrame([(p, c.tolist()) for p, c in enumerate(np.cumsum(drawn, axis=1))], f"{part} int, {ends_} array<long>")
     local = Window.partitionBy(part).orderBy(F.xxhash64(F.lit(seed + 1), *cols), *cols)
     sent = (
         dealt.withColumn(rank, F.row_number().over(local).cast("long") - 1)
         .join(ends, part)
-        .withColumn(shard, F.size(F.filter("_ends", lambda e: e <= F.col(rank))))
+        .withColumn(shard, F.size(F.filter(ends_, lambda e: e <= F.col(rank))))
         .withColumn(key, F.xxhash64(F.lit(seed + 2), part, rank))
-        .drop("_ends")
+        .drop(ends_)
     )
     per_shard = buckets(n // shards, 50_000, 8)
     out = running_sum(sent, shard, [key, part, rank], F.pmod(F.shiftrightunsigned(key, 33), F.lit(per_shard)), F.lit(1), slot)
-    return out.drop(part, rank, key)
+    return out.select(*cols, shard, slot)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     thin = table(spark, sf_dir, "documents").select(
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")
     )
-    return shuffle(thin).select(
+    return shuffle(written(thin, "thin")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

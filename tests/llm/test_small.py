@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptloom.llm import attention_lm, components, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, quality_rules, range_coder, secret_scan, shards, token_files, warc_revisits
+from scriptloom.llm import attention_lm, base, components, decontaminate, jaccard_join, license_scan, lm_scoring, mixing, quality_rules, range_coder, secret_scan, shards, token_files, warc_revisits
 from scriptloom.llm.base import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -72,6 +73,12 @@ def test_decontaminate(spark, docs, empty, clash):
         out, n = decontaminate.decontaminate(docs, bench, block_words=block)
         got = [tuple(r) for r in out.select("doc_id", *(n[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want))
+    with pytest.MonkeyPatch.context() as patch:  # windows whose hashes clash
+        mix = decontaminate._mix
+        patch.setattr(decontaminate, "_mix", lambda x: mix(x) & np.uint64(7))
+        texts = [r[1] for r in ROWS]
+        block = decontaminate.Block([("" if i is None else str(i), decontaminate.words(t)) for i, t in items])
+        assert [(n, int(h.sum()), len(found)) for n, h, found in decontaminate._judge([block], texts)] == [w[1:4] for w in want]
     out, n = decontaminate.decontaminate(clash, bench)
     assert n["n_words"] != "n_words" and out.where("n_words = 'mine'").count() == len(ROWS)
     assert decontaminate.decontaminate(empty, bench)[0].count() == 0 and decontaminate.decontaminate(docs, bench.limit(0))[0].where("contaminated").count() == 0
@@ -130,6 +137,97 @@ def test_key_beside_an_allowed_value():
     assert not secret_scan.entropy_spans(uuid)
 
 
+def spans_by_hand(text):
+    """Base spans, character by character."""
+    out, low, n = [], re.sub("[A-Z]", lambda m: m[0].lower(), text), len(text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < n:
+        for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            j = i + len(word)
+            if low[i:j] != word:
+                continue
+            j += text[j : j + 1] in ('"', "'") and j < n
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] not in (":", "=") or j >= n:
+                continue
+            j += 1
+            while text[j : j + 1] == " ":
+                j += 1
+            j += text[j : j + 1] in ('"', "'") and j < n
+            k = j
+            while k < n and text[k] in value:
+                k += 1
+            if k > j:
+                if k - j >= 12:
+                    out.append((i, k, "assign"))
+                i = k - 1
+                break
+        i += 1
+    for first, rest, least, kind in (("AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18, "access"), ("", set("0123456789abcdef"), 16, "hex")):
+        i = 0
+        while i < n:
+            j = i + len(first)
+            while j < n and text[j] in rest:
+                j += 1
+            if text.startswith(first, i) and j > i + len(first):
+                if j - i >= least:
+                    out.append((i, j, kind))
+                i = j
+            else:
+                i += 1
+    return sorted(out, key=lambda s: (s[0], ["assign", "access", "hex"].index(s[2])))
+
+
+def test_base_spans_by_hand(spark):
+    g = random.Random(11)
+    bits = ["password", "PASSWD", "Secret", "token", "api_key", "apikey", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIAQWERTYUIOPASDF", "0123456789abcdef", "deadbeef", "A1", "z9+/_.=-", "é", "\n", "\u0130", "key", "ſecret", "x" * 13]
+    texts = [None, "", *("".join(g.choices(bits, k=g.randrange(1, 40))) for _ in range(3000)), "0a" * 40_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secret_scan.secrets(rows).collect()}
+    for i, t in enumerate(texts):
+        want = spans_by_hand(t or "")
+        joined = ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+        count = Counter(k for *_, k in want)
+        r = got[i]
+        assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == (count["assign"], count["access"], count["hex"], hashlib.sha256(joined.encode()).hexdigest()), repr(t)
+        every = r["spans"].split(",") if r["spans"] else []
+        assert set(filter(None, joined.split(","))) <= set(every) and every == sorted(every, key=lambda s: (int(s.split(":")[1]), secret_scan.KINDS.index(s.split(":")[0])))
+
+
+def test_keys_of_letters():
+    g = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(g.choices(letters, k=30)) for _ in range(200)]
+    assert sum(any(k == "entropy_letters" for *_, k in secret_scan.entropy_spans(f"x {k} y")) for k in keys) > 150
+    for word in ("incomprehensibilitiesareuncharacteristically", "getApplicationContextFactoryBeanInitializer", "some/long/path/to/another/directory", "12345678901234567890123"):
+        assert not secret_scan.entropy_spans(word)
+
+
+def test_draws_follow_the_law():
+    """Both ways of drawing a partition's counts: exact sums, and means of the hypergeometric law."""
+    room = np.array([50, 0, 30, 20], np.int64)
+    for draw in (shards._by_places, lambda rng, room, k: rng.multivariate_hypergeometric(room, k, method="marginals")):
+        rng = np.random.Generator(np.random.PCG64(1))
+        drawn = np.array([draw(rng, room, 40) for _ in range(2000)])
+        assert (drawn.sum(axis=1) == 40).all() and (drawn <= room).all()
+        n, k, share = 100, 40, room / 100
+        sd = np.sqrt(k * share * (1 - share) * (n - k) / (n - 1))
+        assert (abs(drawn.mean(axis=0) - k * share) <= 5 * sd / 2000**0.5 + 1e-9).all() and (abs(drawn.std(axis=0) - sd) <= 0.15 * sd + 1e-9).all()
+
+
+def test_sharding_query(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = shards.op10_sharding(spark, "/root/testdata/sf0.001").collect()
+    for r in rows:
+        raw = (texts[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+    by = Counter(r["shard"] for r in rows)
+    assert len(rows) == len(texts) and set(by) == set(range(40)) and max(by.values()) - min(by.values()) <= 1
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, i) for s in range(40) for i in range(by[s])]
+
+
 def test_shards(docs, empty, clash):
     thin = docs.select("doc_id", "n_chars")
     out = shards.shuffle(thin, 7)
@@ -291,6 +389,62 @@ def sets(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def test_clashing_names(spark, docs):
+    """Extra columns that bear any name an operator uses inside change nothing, and stay as they are."""
+    names = set()
+    for f in Path(base.__file__).parent.glob("*.py"):
+        names |= set(re.findall(r"""["'](_*[a-z][a-z0-9_]*)["']""", f.read_text()))
+    names -= {"doc_id", "text", "lang", "source", "n_chars"}
+    wide = docs.withColumns({n: F.lit("mine") for n in names})
+    assert len(names) > 150 and {"_ends", "key", "tie", "node", "bucket"} <= names
+    bench = spark.createDataFrame([(1, " ".join(A.split()[20:50])), (2, "two words")], "item_id long, text string")
+
+    def ledger(d):
+        led, n = quality_rules.ledger(d)
+        return led.select("doc_id", *(F.col(n[c]).alias(c) for c in (*quality_rules.MEASURES, "failed_rules")))
+
+    def judged(words):
+        def run(d):
+            out, n = decontaminate.decontaminate(d, bench, block_words=words)
+            return out.select("doc_id", *(F.col(x).alias(c) for c, x in n.items()))
+
+        return run
+
+    def picked(d):
+        out, n = mixing.mix(d)
+        return out.select("doc_id", *(F.col(x).alias(c) for c, x in n.items()))
+
+    def scanned(d):
+        out, n = license_scan.licenses(d.withColumn("path", F.concat(F.coalesce("source", F.lit("z")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("LICENSE")))))
+        return out.select("doc_id", *(F.col(x).alias(c) for c, x in n.items()))
+
+    runs = {
+        "ledger": ledger, "decontaminate": judged(decontaminate.BLOCK_WORDS), "decontaminate in blocks": judged(25), "mix": picked, "licenses": scanned, "lm": lm_scoring.lm_scores, "similar": jaccard_join.similar,
+        "secrets": secret_scan.secrets, "tokens": lambda d: token_files.read(token_files.write(d)),
+    }
+    for name, run in runs.items():
+        assert sorted(map(repr, run(docs).collect())) == sorted(map(repr, run(wide).collect())), name
+    spread = shards.shuffle(wide)
+    assert spread.count() == len(ROWS) and spread.columns[: len(wide.columns)] == wide.columns
+    for name, stage in corpus_pipeline.STAGES:
+        plain, clashing = (written(stage(spark, d, "/root/testdata/sf0.001"), "stage") for d in (docs, wide))
+        assert sorted(map(repr, plain.collect())) == sorted(map(repr, clashing.select(plain.columns).collect())), name
+        if name != "token_output":
+            assert clashing.columns == wide.columns and clashing.where("node <> 'mine' OR _ends <> 'mine'").count() == 0
+
+
+def test_hub_join(spark, monkeypatch):
+    """Hubs, other values, nulls and values that the table lacks, broadcast or dealt."""
+    monkeypatch.setattr(base, "HUBS", 3)
+    rows = [(i, k) for i, k in enumerate(["hot"] * 50 + ["b", "c", "c", None, None, "lacking"])]
+    df, want = spark.createDataFrame(rows, "i long, k string"), {"hot": 1, "b": 2, "c": None}
+    table = spark.createDataFrame([(k, v, sum(x == k for _, x in rows)) for k, v in want.items()], "k string, v int, n long")
+    for small in (False, True):
+        got = [(r["i"], r["k"], r["v"]) for r in base.hub_join(df, table, "k", "n", F.xxhash64("i"), "left", small=small).collect()]
+        assert sorted(got) == [(i, k, want.get(k)) for i, k in rows]
+        assert base.hub_join(df, table, "k", "n", F.xxhash64("i"), small=small).count() == 53
+
+
 def test_jaccard(spark, empty, monkeypatch):
     base = [prose(120) for _ in range(4)]
     texts = [*TEXTS[:11], "a b", "A b"]
