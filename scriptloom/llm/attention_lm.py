@@ -18,13 +18,16 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .base import walked
 
 VOCABULARY, VOCAB = "byte_bpe_multi_50k.tiktoken", 2048
 END = VOCAB - 1
 #: Choices at each step, and where each step's logits begin.
 STEPS, EDGES = (16, 16, 8), (0, 16, 32, 40)
 CONTEXT, STRIDE, WIDTH = 32, 16, 16
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Causal mask of the last STRIDE queries over CONTEXT keys.
 MASK = np.where(np.arange(CONTEXT)[None, :] <= (np.arange(STRIDE) + CONTEXT - STRIDE)[:, None], 0, -1e9).astype(np.float32)
 #: 1 where a logit belongs to a step.
@@ -56,15 +59,32 @@ class Speller(dict):
         ids = self[word] = array("H", self._piece(b" " + word)).tobytes()
         return ids
 
-    def spell(self, words: list[list[bytes]]) -> list[np.ndarray]:
+    def spell(self, words: "Words") -> list[np.ndarray]:
+        """The subwords of each text."""
         if len(self) > 300_000:
             self.clear()
-        get, end = self.__getitem__, np.array([END], "<u2").tobytes()
-        return [np.frombuffer(b"".join(map(get, ws)) + end, "<u2") for ws in words]
-
-
-def words_of(text: str | bytes | None) -> list[bytes]:
-    return (text.encode() if isinstance(text, str) else text).translate(LOWER).split() if text else []
+        kinds = [*map(self.__getitem__, words.kinds[:-1]), np.array([END], "<u2").tobytes()]
+        size = np.fromiter(map(len, kinds), np.int32, len(kinds)) // 2
+        flat = walked(np.frombuffer(b"".join(kinds), "<u2"), size, words.kind)
+        return np.split(flat, np.cumsum(size[words.kind], dtype=np.int64)[words.ends - 1][:-1]) if len(words.ends) else []
+
+
+class Words:
+    """The words of texts, each text followed by the end: distinct ones (kinds, the end last, as b""), the number of each
+    word among them (kind), and where each text ends (ends)."""
+
+    def __init__(self, texts: pa.Array):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        first = split.offsets.to_numpy().astype(np.int64)
+        numbered = split.flatten().dictionary_encode()
+        self.kinds = [*numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), b""]
+        kind = np.insert(numbered.indices.to_numpy(zero_copy_only=False), first[1:] - first[0], len(self.kinds) - 1)
+        ends = first[1:] - first[0] + np.arange(1, len(texts) + 1)
+        blank = self.kinds.index(b"")  # before and behind white space
+        if blank < len(self.kinds) - 1:
+            real = kind != blank
+            kind, ends = kind[real], np.cumsum(real)[ends - 1]
+        self.kind, self.ends = kind, ends
 
 
 def windows(docs: list[np.ndarray], every: int = 1, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -177,7 +197,9 @@ def forward(w: dict, table: tuple, inputs: np.ndarray, wanted: np.ndarray):
     n = len(inputs)
     x = w["token"][inputs] + w["place"]
     last = np.ascontiguousarray(x[:, CONTEXT - STRIDE :])
-    q, k, v = (last.reshape(-1, WIDTH) @ (w["q"] * WIDTH**-0.5)).reshape(n, STRIDE, WIDTH), x @ w["k"], x @ w["v"]
+    q = (last.reshape(-1, WIDTH) @ (w["q"] * np.float32(WIDTH**-0.5))).reshape(n, STRIDE, WIDTH)
+    kv = (x.reshape(-1, WIDTH) @ np.concatenate([w["k"], w["v"]], axis=1)).reshape(n, CONTEXT, 2 * WIDTH)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
     a = q @ k.transpose(0, 2, 1)
     a += MASK
     a, total = _softmax(a)
@@ -252,18 +274,22 @@ def gradient(w: dict, inputs: np.ndarray, kept: tuple) -> dict[str, np.ndarray]:
     flat = lambda y: y.reshape(-1, y.shape[-1])
     out = {"choice": h.T @ d, "out": flat(c).T @ dh}
     dc = (dh @ w["out"].T).reshape(n, STRIDE, WIDTH)
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    s = WIDTH**-0.5
-    out |= {"q": flat(last).T @ flat(dq) * s, "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, CONTEXT - STRIDE :] += dh.reshape(n, STRIDE, WIDTH) + dq @ w["q"].T * np.float32(s)
+    ds = dc @ v.transpose(0, 2, 1)
+    ds -= (dc.reshape(-1, WIDTH) * c.reshape(-1, WIDTH)).sum(axis=1).reshape(n, STRIDE, 1)  # the mean of ds under a
+    ds *= a
+    dq, dkv = ds @ k, np.empty((n, CONTEXT, 2 * WIDTH), np.float32)
+    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+    np.matmul(a.transpose(0, 2, 1), dc, out=dkv[:, :, WIDTH:])
+    s = np.float32(WIDTH**-0.5)
+    both = flat(x).T @ flat(dkv)
+    out |= {"q": flat(last).T @ flat(dq) * s, "k": both[:, :WIDTH], "v": both[:, WIDTH:]}
+    dx = (flat(dkv) @ np.concatenate([w["k"], w["v"]], axis=1).T).reshape(n, CONTEXT, WIDTH)
+    dx[:, CONTEXT - STRIDE :] += (dh + flat(dq) @ (w["q"].T * s)).reshape(n, STRIDE, WIDTH)
     out["place"] = dx.sum(axis=0)
     token = np.zeros(SHAPES["token"], np.float32)
-    order = np.argsort(inputs, axis=None, kind="stable")
-    ids = inputs.ravel()[order]
+    flat_ids = inputs.astype(np.uint16).ravel()  # 16-bit numbers are sorted by their digits
+    order = np.argsort(flat_ids, kind="stable")
+    ids = flat_ids[order]
     edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     token[ids[edge]] = np.add.reduceat(flat(dx)[order], edge, axis=0)
     return out | {"token": token}

@@ -9,6 +9,8 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,31 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def together(batches, size: int):
+    """Batches joined, up to `size` bytes or one batch."""
+    held, n = [], 0
+    for b in batches:
+        if held and n + b.nbytes > size:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([x.column(i) for x in held]) for i in range(len(held[0].columns))], schema=held[0].schema)
+            held, n = [], 0
+        if len(b):
+            held.append(b)
+            n += b.nbytes
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([x.column(i) for x in held]) for i in range(len(held[0].columns))], schema=held[0].schema)
+
+
+def walked(pool: np.ndarray, size: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The runs of pool that the numbers `kind` name, one after the other; size: of each run, which stand in order."""
+    kind = kind[size[kind] > 0]
+    # a step of 1 inside a run, a jump to the next one's first
+    many, begin = size[kind], (np.cumsum(size) - size).astype(np.int32)[kind]
+    step = np.ones(int(many.sum()), np.int32)
+    step[(np.cumsum(many) - many)[1:]] = begin[1:] - begin[:-1] - many[:-1] + 1
+    step[:1] = begin[:1]
+    return pool.take(np.cumsum(step, dtype=np.int64), mode="clip") if len(step) else pool[:0]
+
+
 def released(run):
     """A worker's function over batches that hands freed memory back when it ends: idle workers would keep it."""
 

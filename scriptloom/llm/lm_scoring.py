@@ -2,9 +2,10 @@
 
 Held-out documents are those whose crc32(doc_id as text) mod 5 is 1; the others are training documents. One pass over
 the training documents gathers, from each whole text, word counts, subword bigram counts, and every window of subwords
-(TRAIN_EVERY 1), so that all of it grows with the corpus. The attention weights are fitted on these
+so that all of it grows with the corpus. The attention weights are fitted on these
 windows in ROUNDS: each partition trains on its own share of the round's windows from common weights, and the results
-are averaged by number of windows through a tree of tasks. A second pass scores every document whole.
+are averaged by number of windows through a tree of tasks. So scores depend on how the table is split, a little (they
+differ by what training on other shares does); on one split, reruns agree. A second pass scores every document whole.
 
 The unigram base needs the corpus-wide count of every word. The HEAD most frequent words are broadcast, a bounded
 table; the rarer words of each document are joined to their counts by a shuffle, so none is left out.
@@ -20,8 +21,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import compress, repeat
-from operator import not_
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention_lm as lm
-from .base import released, small_batches, table, written
+from .base import released, small_batches, table, together, written
 
 FOLDS, HELD_OUT = 5, 1
-TRAIN_EVERY, ROUNDS, RATE = 1, 2, 0.02
+ROUNDS, RATE = 2, 0.02
+#: Texts are read together up to this many bytes.
+TOGETHER = 4 << 20
 HEAD = 300_000
 #: Distinct words that a worker counts before it hands them on.
 COUNTED = 400_000
@@ -54,16 +56,14 @@ def gather(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller, count, pairs, seen = lm.Speller(path), Counter(), lm.Bigrams(), 0
-        for batch in batches:
-            words = [lm.words_of(t) for t in batch.column(0).to_pylist()]
-            for ws in words:
-                count.update(ws)
-            count[b""] += len(words)  # the end token
-            ids = speller.spell(words)
-            if not ids:
+        for batch in together(batches, TOGETHER):
+            words = lm.Words(batch.column(0))
+            count.update(dict(zip(words.kinds, np.bincount(words.kind, minlength=len(words.kinds)).tolist())))
+            if not count[b""]:
                 continue
+            ids = speller.spell(words)
             pairs.add(ids)
-            inputs, wanted, _, n = lm.windows(ids, TRAIN_EVERY, -seen % TRAIN_EVERY)
+            inputs, wanted, _, n = lm.windows(ids)
             seen += n
             both = np.concatenate([inputs, wanted], axis=1).astype("<u2")
             if len(both):
@@ -77,7 +77,7 @@ def gather(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         if seen:
             yield row(1, [None], [seen], [_sparse(pairs.settle())])
 
-    return written(docs.select(F.col(text).cast("binary")).mapInArrow(released(run), GATHERED), "gathered")
+    return written(docs.select(F.col(text).cast("string")).mapInArrow(released(run), GATHERED), "gathered")
 
 
 def _parts(count: Counter, size: int = 20_000) -> Iterator[list]:
@@ -157,7 +157,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
     total = n_train + 0.5 * (vocabulary + 1)
     most = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()
     shared = spark.sparkContext.broadcast((most["word"].to_pylist(), most["c"].to_pylist(), *fit(gathered)))
-    thin = docs.select(F.col(key), held_out(key).alias("held_out"), F.col(text).cast("binary"))
+    thin = docs.select(F.col(key), held_out(key).alias("held_out"), F.col(text).cast("string"))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_row long, {key} {kind}, held_out boolean, n_tokens long, known long, base double, score double, words array<binary>"
 
@@ -165,21 +165,21 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
         (head, times, weights, tables), speller = shared.value, lm.Speller(path)
         log_of, nothing = {w: math.log10((c + 0.5) / total) for w, c in zip(head, times)}.get, repeat(0.0)  # no logarithm is 0
         at = TaskContext.get().partitionId() << 36
-        for batch in batches:
-            words = [lm.words_of(t) for t in batch.column(2).to_pylist()]
-            rows = []
-            for ws in words:
-                ws = [*ws, b""]
-                each = list(map(log_of, ws, nothing))
-                rare = list(compress(ws, map(not_, each)))
-                rows.append((len(ws), len(ws) - len(rare), sum(each), rare))
-            score = lm.score(weights, tables, speller.spell(words)) if words else np.zeros(0)
-            col = lambda i, t: pa.array([r[i] for r in rows], t)  # noqa: B023,E731
+        for batch in together(batches, TOGETHER):
+            words, n = lm.Words(batch.column(2)), len(batch)
+            each = np.fromiter(map(log_of, words.kinds, nothing), np.float64, len(words.kinds))[words.kind]
+            first = np.concatenate([[0], words.ends[:-1]])
+            rare = each == 0
+            n_rare = np.add.reduceat(rare, first, dtype=np.int64)
+            rare_words = pa.array(words.kinds, pa.binary()).take(pa.array(words.kind[rare]))
+            rare_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), rare_words)
+            tokens = words.ends - first
+            score = lm.score(weights, tables, speller.spell(words))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(at, at + len(rows)), pa.int64()), batch.column(0), batch.column(1), col(0, pa.int64()), col(1, pa.int64()), col(2, pa.float64()), pa.array(score, pa.float64()), col(3, pa.list_(pa.binary()))],
+                [pa.array(np.arange(at, at + n)), batch.column(0), batch.column(1), pa.array(tokens), pa.array(tokens - n_rare), pa.array(np.add.reduceat(each, first)), pa.array(score), rare_lists],
                 names=["_row", key, "held_out", "n_tokens", "known", "base", "score", "words"],
             )
-            at += len(rows)
+            at += n
 
     scored = written(thin.mapInArrow(released(run), schema), "scored")
     rare = scored.select("_row", F.explode("words").alias("word"), F.lit(1).alias("n"))

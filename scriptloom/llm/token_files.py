@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .base import released, small_batches, table, written
+from .base import released, small_batches, table, together, walked, written
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 #: A chunk closes at this many ids.
@@ -128,13 +128,7 @@ class Encoder:
             kind = np.insert(numbered.indices.to_numpy(zero_copy_only=False), first[1:], len(kinds) - 1)
             size = np.fromiter(map(len, kinds), np.int32, len(kinds)) // 4
             ends = np.cumsum(size[kind], dtype=np.int64)[first[1:] + np.arange(len(texts))]
-            kind = kind[size[kind] > 0]
-            # walk through the words' ids one after the other: a step of 1 inside a word, a jump to the next one's first
-            many, begin = size[kind], (np.cumsum(size) - size).astype(np.int32)[kind]
-            step = np.ones(int(many.sum()), np.int32)
-            step[(np.cumsum(many) - many)[1:]] = begin[1:] - begin[:-1] - many[:-1] + 1
-            step[:1] = begin[:1]
-            ids = np.frombuffer(b"".join(kinds), "<u4").take(np.cumsum(step, dtype=np.int64), mode="clip")
+            ids = walked(np.frombuffer(b"".join(kinds), "<u4"), size, kind)
         else:
             every = [x + np.array([END], "<u4").tobytes() for x in self._alone(texts.to_pylist())]
             ids, ends = np.frombuffer(b"".join(every), "<u4"), np.cumsum([len(x) // 4 for x in every], dtype=np.int64)
@@ -160,8 +154,9 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, chunk = encoder(path), TaskContext.get().partitionId(), 0
-        for keys, texts in _together(batches):
-            ids, sizes = code.encode(texts)
+        for batch in together(batches, TOGETHER):
+            keys = batch.column(0)
+            ids, sizes = code.encode(batch.column(1))
             ends = np.cumsum(sizes)
             first = 0
             while first < len(sizes):
@@ -179,20 +174,6 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     return written(raw.select("part", "chunk", "docs", "n_ids", range_coder.encoded(spark, "ids").alias("payload")), "tokens")
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Columns of some batches joined, up to TOGETHER bytes or one batch."""
-    held, size = [], 0
-    for b in batches:
-        if held and size + b.nbytes > TOGETHER:
-            yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
-            held, size = [], 0
-        if len(b):
-            held.append(b)
-            size += b.nbytes
-    if held:
-        yield tuple(pa.concat_arrays([x.column(i) for x in held]) for i in (0, 1))
-
-
 def read(chunks: DataFrame) -> DataFrame:
     """From the chunks alone: doc_id, start (ids of all documents before), n_tokens, ids_crc32 of each document."""
     sizes = chunks.select("part", "chunk", "n_ids")

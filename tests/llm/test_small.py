@@ -499,14 +499,14 @@ def test_lm_trains_on_every_window(spark, docs):
     width = attention_lm.CONTEXT + attention_lm.STRIDE
     got = Counter(w.tobytes() for r in rows for w in np.frombuffer(zlib.decompress(r["data"]), "<u2").reshape(-1, width))
     texts = [t for i, t, *_ in ROWS if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1]
-    inputs, wanted, *_ = attention_lm.windows(attention_lm.Speller(path).spell([attention_lm.words_of(t) for t in texts]))
+    inputs, wanted, *_ = attention_lm.windows(attention_lm.Speller(path).spell(attention_lm.Words(pa.array(texts, pa.string()))))
     assert got == Counter(w.tobytes() for w in np.concatenate([inputs, wanted], axis=1).astype("<u2"))
 
 
 def test_attention_is_causal_normalized_and_learns():
     speller = attention_lm.Speller(attention_lm.vocabulary_path())
-    train = speller.spell([attention_lm.words_of(prose(400)) for _ in range(60)])
-    held = speller.spell([attention_lm.words_of(prose(400)) for _ in range(5)])
+    train = speller.spell(attention_lm.Words(pa.array([prose(400) for _ in range(60)])))
+    held = speller.spell(attention_lm.Words(pa.array([prose(400) for _ in range(5)])))
     counts = attention_lm.Bigrams()
     counts.add(train)
     tables = attention_lm.tables(counts.settle())
