@@ -33,9 +33,8 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
-            ).distinct()
+            roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)  # all are stars now
         mark = state
         larger = written(_star(edges, True, state[0]), "edges")
         edges = written(_star(larger, False, larger.count()), "edges")
