@@ -9,6 +9,10 @@ class ConfigurationError(ScriptloomError):
     """Settings or inputs that can't work."""
 
 
+class MediaError(ScriptloomError):
+    """Sources without anything to analyze."""
+
+
 class ExternalToolError(ScriptloomError):
     """A decoder failed."""
 

@@ -49,6 +49,14 @@ def compact(value: object, limit: int) -> str:
     return ((whole if space else head).rstrip(" ,;:-") or head) + "…"
 
 
+def with_translation(said: str, other: str, separator: str) -> str:
+    """A transcript, and its translation where that says something else."""
+    lines = [said] if said else []
+    if other and said.casefold() != other.casefold():
+        lines.append(f"Translation: {other}" if said else other)
+    return separator.join(lines)
+
+
 def joined(records: list[dict], field: str) -> str:
     """The non-blank values of a field, stripped, in one line."""
     values = (str(r.get(field) or "").strip() for r in records)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.tokens import compact
+from ..functions.tokens import compact, with_translation
 
 LIMIT, OPENING, RECENT, SUMMARY, ACTION, SETTING = 1600, 240, 360, 180, 220, 100
 ITEMS, ITEM, LOOK_BACK, SPOKEN_BACK = 5, 60, 3, 2
@@ -48,18 +48,12 @@ def with_continuity(chunks: DataFrame, by: str = "media_id", order: str = "index
     return df.withColumn("continuity", record).drop("_said", "_opening", "_recent", "_summary", "_shots", "_setting", "_objects", "_nth")
 
 
-def spoken(audio: dict | None) -> str:
-    said, other = compact((audio or {}).get("transcript"), 1200), compact((audio or {}).get("translation"), 1200)
-    if not other or other.casefold() == said.casefold():
-        return said
-    return f"{said} Translation: {other}" if said else other
-
-
 def continuity(previous: list[dict]) -> str:
     """The record in plain Python, for the visual fold, where each window waits for the ones before."""
     if not previous:
         return ""
-    speech = [spoken(c.get("audio")) for c in previous]
+    heard = [c.get("audio") or {} for c in previous]
+    speech = [with_translation(compact(a.get("transcript"), 1200), compact(a.get("translation"), 1200), " ") for a in heard]
     opening = next(filter(None, speech), "")
     visual = previous[-1].get("visual") or {}
     shots = [s for s in visual.get("shots") or [] if isinstance(s, dict)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -73,17 +73,24 @@ seam AS (SELECT doc_id, lang, idx, prev, cur, coalesce(list_max(list_filter(rang
 """
 
 
-def doc_windows(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id, lang, index, words: each document in windows of SIZE words that share SHARED."""
+def _cut_docs(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
     docs = table(spark, d, "documents").select("doc_id", "lang", T.words(F.col("text")).alias("ws")).where("size(ws) > 0")
     n = F.when(F.size("ws") <= SIZE, 1).otherwise(F.ceil((F.size("ws") - SIZE) / F.lit(SIZE - SHARED)).cast("int") + 1)
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("ws", i * (SIZE - SHARED) + 1, F.lit(SIZE)))
+    return docs, cut
+
+
+def doc_windows(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, lang, index, words: each document in windows of SIZE words that share SHARED."""
+    docs, cut = _cut_docs(spark, d)
     return docs.select("doc_id", "lang", F.posexplode(cut).alias("index", "words"))
 
 
 def window_pairs(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("index")
-    return doc_windows(spark, d).withColumn("previous", F.lag("words").over(w)).where("previous IS NOT NULL")
+    """doc_id, lang, index, previous, words: each window but the first beside the one before, paired inside the row."""
+    docs, cut = _cut_docs(spark, d)
+    pairs = F.transform(F.array(cut), lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c)), lambda a, b: F.struct(a.alias("previous"), b.alias("words"))))
+    return docs.select("doc_id", "lang", F.posexplode(F.element_at(pairs, 1)).alias("at", "p")).select("doc_id", "lang", (F.col("at") + 1).alias("index"), "p.previous", "p.words")
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
@@ -165,11 +172,11 @@ def bounded_strings(spark, d):
     return table(spark, d, "pages").select("page_id", T.bounded(F.col("html"), 160).alias("bounded"), T.safe_stem(F.col("url")).alias("stem"))
 
 
-@query(f"""SELECT conv_id, turn, array_to_string(regexp_extract_all(text, '\\S+')[1:len(regexp_extract_all(text, '\\S+')) - 3], ' ') AS head, array_to_string(regexp_extract_all(text, '\\S+')[4:], ' ') AS tail
-FROM conversations WHERE len({_words('text')}) = len(regexp_extract_all(text, '\\S+')) AND len(regexp_extract_all(text, '\\S+')) > 3""")
+@query(f"""WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '\\S+') AS p FROM conversations), w AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: len({_words('p[i]')}) > 0) AS ix FROM p)
+SELECT conv_id, turn, CASE WHEN len(ix) > 3 THEN array_to_string(p[1:ix[len(ix) - 2] - 1], ' ') ELSE '' END AS head, CASE WHEN len(ix) > 3 THEN array_to_string(p[ix[4]:], ' ') ELSE '' END AS tail FROM w""")
 def trimmed_turns(spark, d):
-    c = turns(spark, d).withColumn("ws", T.words(F.col("text"))).where(F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))) == F.size("ws")).where("size(ws) > 3")
-    return c.select("conv_id", "turn", T.squeeze(T.trim_suffix(F.col("text"), F.lit(3))).alias("head"), T.squeeze(T.trim_prefix(F.col("text"), F.lit(3))).alias("tail"))
+    """All turns, those with signs that stand alone too: they are no tokens, and go or stay with their neighbours."""
+    return turns(spark, d).select("conv_id", "turn", T.squeeze(T.trim_suffix(F.col("text"), F.lit(3))).alias("head"), T.squeeze(T.trim_prefix(F.col("text"), F.lit(3))).alias("tail"))
 
 
 # Numbers, time, JSON.

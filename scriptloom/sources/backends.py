@@ -178,7 +178,7 @@ class ChatServer(_Server):
 
 
 class GenerateServer(_Server):
-    """An Ollama server: media in `images`, no second try."""
+    """An Ollama server: whole windows in `images`, no second try."""
 
     name, suffix, health = "ollama", "/api", "/api/tags"
 
@@ -198,8 +198,8 @@ class GenerateServer(_Server):
         return audio_record(self._ask(self._messages(prompts.audio_prompt(language, translate_to, seconds), [audio]), AUDIO_SCHEMA), start, seconds)
 
     def describe(self, video: str, *, start: float, seconds: float, frames: list[str] = [], transcript: str | None = None, continuity: str | None = None, user_context: str | None = None) -> dict:
-        prompt = prompts.visual_prompt(seconds, len(frames) or None, transcript=transcript, continuity=continuity, user_context=user_context)
-        return visual_record(self._ask(self._messages(prompt, frames or [video]), VISUAL_SCHEMA), start, seconds)
+        prompt = prompts.visual_prompt(seconds, None, transcript=transcript, continuity=continuity, user_context=user_context)
+        return visual_record(self._ask(self._messages(prompt, [video]), VISUAL_SCHEMA), start, seconds)
 
 
 class LocalModel:

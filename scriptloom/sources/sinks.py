@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from ..errors import ConfigurationError
+from ..shipping import ship
 
-def write_json(path: str | Path, value: object) -> None:
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written once, in the folder that spark.checkpoint.dir names, and opened again: it cuts the lineage, survives
+    lost executors, and costly steps before it run once. In local mode a temporary folder will do."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ConfigurationError("on a cluster spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="scriptloom-")
+        atexit.register(shutil.rmtree, folder, True)
+        folder = f"file://{folder}"
+    path = f"{folder.rstrip('/')}/scriptloom-staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def write_text(path: str | Path, text: str) -> None:
     at = Path(path)
     at.parent.mkdir(parents=True, exist_ok=True)
-    part = at.with_name(at.name + ".partial")
-    part.write_text(json.dumps(value, indent=2, ensure_ascii=False), encoding="utf-8")
+    part = at.with_name(f"{at.name}.{uuid.uuid4().hex}.partial")
+    part.write_text(text, encoding="utf-8")
     part.replace(at)
 
 
-def read_json(path: str | Path) -> object:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+def write_json(path: str | Path, value: object) -> None:
+    write_text(path, json.dumps(value, indent=2, ensure_ascii=False))
+
+
+def write_reports(reports: DataFrame, folder: str) -> None:
+    """A file of each kind per source, named after it: reports has source, markdown and json. folder is shared by all executors."""
 
+    def each(rows) -> None:
+        for r in rows:
+            name = Path(folder, Path(r["source"]).stem)
+            write_text(f"{name}.analysis.md", r["markdown"])
+            write_json(f"{name}.analysis.json", json.loads(r["json"]))
 
-def write_texts(texts: DataFrame, column: str, path: str) -> None:
-    """A text table, a value per row."""
-    texts.select(column).write.mode("overwrite").option("lineSep", "\n").text(path)
+    ship(reports.sparkSession)
+    reports.select("source", "markdown", "json").foreachPartition(each)
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    documents.write.mode("overwrite").parquet(path)
+def read_json(path: str | Path) -> object:
+    return json.loads(Path(path).read_text(encoding="utf-8"))

@@ -1,5 +1,6 @@
 """Continuity, caches, reports, streams of lines, servers, media and the whole analysis."""
 
+import base64
 import io
 import json
 import os
@@ -10,13 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptloom import cli
-from scriptloom.errors import BackendError, ConfigurationError, ModelOutputError
+from scriptloom.errors import BackendError, ConfigurationError, ExternalToolError, ModelOutputError
 from scriptloom.functions import numbers as N
 from scriptloom.operators import continuity as K
 from scriptloom.operators import memo, render
-from scriptloom.plans import analysis, catalog
+from scriptloom.plans import analysis, catalog, windows
 from scriptloom.schema import CHUNK
-from scriptloom.sources import backends, media, prompts
+from scriptloom.sources import backends, media, prompts, sinks
 from scriptloom.streaming import responses
 
 SF = "/root/testdata/sf0.001"
@@ -229,3 +230,91 @@ def test_command_line_offers_no_backend_that_is_not_there():
         assert config_of(parser().parse_args(["analyze", "x", "--backend", name, "--model", "m"])).analyzer()
     with pytest.raises(SystemExit):
         parser().parse_args(["analyze", "x", "--backend", "transformers"])
+
+
+def test_media_files_end_to_end(spark, tmp_path):
+    """Probing, decoding and pictures with a stand-in for the external tools."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    reply = json.dumps({"streams": [{"index": 0, "codec_type": "video", "width": 4, "height": 2, "disposition": {"attached_pic": 0}}, {"index": 1, "codec_type": "audio"}], "format": {"duration": "40.5"}})
+
+    def fake(command):
+        (calls / uuid.uuid4().hex).write_text(json.dumps(command))
+        if command[0] == "ffprobe":
+            return reply
+        target = command[-1]
+        for name in [target.replace("%06d", f"{i:06d}") for i in (2, 1)] if "%06d" in target else [target]:
+            with open(name, "w") as f:
+                f.write("x")
+        return ""
+
+    source = tmp_path / "talk one.mp4"
+    source.write_text("x")
+    files = media.media_files(spark, str(source)).withColumns({"media_id": F.lit("m"), "source": F.lit(str(source))})
+    info = media.probed(media.probe_files(files, run=fake))
+    row = info.first()
+    assert (row["duration_seconds"], row["width"], row["has_audio"], row["has_video"], row["error"]) == (40.5, 4, True, True, None)
+    plan = windows.plan_chunks(info.drop("modified"), chunk=30.0, overlap=2.0)
+    out = media.decode_chunks(plan, str(tmp_path / "chunks"), run=fake).orderBy("index").collect()
+    assert [os.path.basename(r["audio_path"]) for r in out] == ["chunk-000000.wav", "chunk-000001.wav"] and [len(r["frame_paths"]) for r in out] == [2, 2]
+    assert out[0]["frame_paths"] == sorted(out[0]["frame_paths"]) and all(media.complete(p) for r in out for p in (r["audio_path"], r["video_path"], *r["frame_paths"]))
+    asked = [json.loads(p.read_text()) for p in calls.iterdir()]
+    sound = [c for c in asked if c[-1].endswith(".wav")]
+    assert len(sound) == 2 and sorted(c[c.index("-ss") + 1] for c in sound) == ["0.000000", "28.000000"] and all("16000" in c for c in sound)
+    n = len(asked)
+    media.decode_chunks(plan, str(tmp_path / "chunks"), run=fake).collect()
+    again = [json.loads(p.read_text())[0] for p in calls.iterdir()]
+    assert again.count("ffmpeg") == sum(c[0] == "ffmpeg" for c in asked) and len(again) >= n  # finished files are used again
+    told = media.manifest(media.decode_chunks(plan, str(tmp_path / "chunks"), run=fake), ["source", "size"], ["duration_seconds", "has_video"], ["start_seconds", "video_path"]).first()
+    made = json.loads(told["manifest"])
+    assert made["preparation"] == {"source": str(source), "size": 1} and [c["start_seconds"] for c in made["chunks"]] == [0.0, 28.0]
+
+    def broken(command):
+        return "" if "%06d" in command[-1] else fake(command)
+
+    with pytest.raises(Exception, match="no usable pictures"):
+        media.decode_chunks(plan, str(tmp_path / "other"), run=broken).collect()
+    with pytest.raises(ExternalToolError, match="false failed"):
+        media.run_tool(["false"])
+
+
+def test_urls(spark):
+    df = spark.createDataFrame([("/r/a b/c?.jpg", bytearray(b"x" * 60)), (None, None)], "path string, content binary")
+    rows = df.select(media.image_url("file-url", F.col("path"), F.col("content"), "/r").alias("u"), media.image_url("base64", F.col("path"), F.col("content"), None).alias("b")).collect()
+    assert rows[0]["u"] == "file://a%20b/c%3F.jpg" and rows[0]["b"] == "data:image/jpeg;base64," + base64.b64encode(b"x" * 60).decode() and rows[1]["u"] is None
+    with pytest.raises(Exception, match="outside the media root"):
+        df.select(media.file_url(F.col("path"), "/elsewhere")).collect()
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("/x/one.mp4", "# One\n", '{"a": 1}'), ("/x/two.wav", "# Two\n", '{"a": 2}')], "source string, markdown string, json string")
+    sinks.write_reports(rows, str(tmp_path / "out"))
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["one.analysis.json", "one.analysis.md", "two.analysis.json", "two.analysis.md"]
+    assert sinks.read_json(tmp_path / "out" / "two.analysis.json") == {"a": 2} and (tmp_path / "out" / "one.analysis.md").read_text() == "# One\n"
+    with pytest.raises(ConfigurationError):
+        sinks.staged(type("F", (), {"sparkSession": type("S", (), {"conf": {"x": 1}, "sparkContext": type("C", (), {"master": "yarn"})})})())
+
+
+def test_command_line_end_to_end(spark, tmp_path, monkeypatch, capsys):
+    """Bad media end with code 2; good ones give their files, and documents tell their settings."""
+    source = tmp_path / "talk.wav"
+    source.write_text("x")
+    replies = {"good": '{"streams": [{"codec_type": "audio"}], "format": {"duration": "40"}}', "bad": '{"streams": [], "format": {}}'}
+    monkeypatch.setattr(media, "require", lambda tool: tool)
+
+    class Fake:
+        def transcribe(self, audio, *, start, seconds, language, translate_to):
+            return {"transcript": "gamma delta" if start else "alpha beta", "segments": []}
+
+    decode = lambda plan, folder, fps, edge: plan.withColumns({"video_path": F.lit(None).cast("string"), "audio_path": F.lit("a.wav"), "frame_paths": F.array().cast("array<string>")})
+    monkeypatch.setattr(media, "decode_chunks", decode)
+    monkeypatch.setattr(analysis.Config, "analyzer", lambda self: Fake())
+    for kind, code in (("bad", 2), ("good", 0)):
+        monkeypatch.setattr(media, "probe_files", lambda files, kind=kind: files.withColumn("probe", F.lit(replies[kind])))
+        assert cli.main(["analyze", str(source), "-o", str(tmp_path / "out"), "--context", " my  talk "]) == code
+        assert ("no audio or video stream" in capsys.readouterr().err) == (kind == "bad")
+    made = json.loads((tmp_path / "out" / "talk.analysis.json").read_text())
+    settings = json.loads(made["settings"]) if isinstance(made["settings"], str) else made["settings"]
+    assert made["transcript"] == "alpha beta gamma delta" and settings["user_context"] == "my talk" and {"audio_segment_version", "audio_timestamp_version", "visual_context_version"} <= set(settings)
+    assert "gamma delta" in (tmp_path / "out" / "talk.analysis.md").read_text()
+    assert cli.said("a\n  File x\nscriptloom.errors.BackendError: no answer\n") == "no answer" and cli.said("first\nsecond") == "first"
