@@ -70,14 +70,20 @@ def walked(pool: np.ndarray, size: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return pool.take(np.cumsum(step, dtype=np.int64), mode="clip") if len(step) else pool[:0]
 
 
+def hand_back() -> None:
+    """Hands freed memory back to the system: idle workers would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(run):
-    """A worker's function over batches that hands freed memory back when it ends: idle workers would keep it."""
+    """A worker's function over batches that hands freed memory back when it ends."""
 
     def go(batches):
         yield from run(batches)
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        hand_back()
 
     return go
 

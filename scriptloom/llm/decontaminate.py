@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .base import fresh, hub_join, small_batches, table, written
+from .base import fresh, hub_join, released, small_batches, table, written
 
 WINDOW, GRAM = 13, 8
 #: Words of benchmark text that are broadcast at a time: about 60 MB in a Python worker.
@@ -216,7 +216,7 @@ def decontaminate(
                 cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.string(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=schema.names)
 
-        return docs.mapInArrow(judge, schema), names
+        return docs.mapInArrow(released(judge), schema), names
 
     key = fresh(docs, "_text_key")
     keyed = docs.withColumn(key, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
@@ -233,7 +233,7 @@ def decontaminate(
                         out.append((k, np.flatnonzero(edge > 0).tolist(), np.flatnonzero(edge < 0).tolist(), items))
                 yield pa.RecordBatch.from_pydict({"k": pa.array([r[0] for r in out], pa.string()), "a": pa.array([r[1] for r in out], pa.list_(pa.int64())), "b": pa.array([r[2] for r in out], pa.list_(pa.int64())), "i": pa.array([r[3] for r in out], pa.list_(pa.string()))})
 
-        part = written(keyed.select(key, text).mapInArrow(find, "k string, a array<long>, b array<long>, i array<string>").dropDuplicates(["k"]), "hits")
+        part = written(keyed.select(key, text).mapInArrow(released(find), "k string, a array<long>, b array<long>, i array<string>").dropDuplicates(["k"]), "hits")
         shared.unpersist()
         partial = part if partial is None else partial.unionByName(part)
     # one row per text and block: intervals and items of a text join

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fresh, hub_join, released, small_batches, table, written
+from .base import fresh, hand_back, hub_join, released, small_batches, table, written
 from .components import connected
 from .decontaminate import _mix, gram_hashes_rows
 
@@ -39,7 +39,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 6, 16, 1e-6
 HASHES = BANDS * ROWS
 #: Texts and words of a piece of a large block; two pieces meet in a task.
-PIECE_TEXTS, PIECE_WORDS = 512, 600_000
+PIECE_TEXTS, PIECE_WORDS = 256, 300_000
 #: Rows of the table of candidate texts, at about 100 bytes, up to which it is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -210,6 +210,7 @@ def _prune(group: pa.Table) -> pa.Table:
     for rows, sig, side in _blocks(group):
         i, j = survivors(sig, band_keys(sig), side)
         left += [rows[x] for x in np.union1d(i, j)]
+    hand_back()
     meet = pa.struct([("c", pa.string()), ("i", pa.int32()), ("j", pa.int32())])
     out = group.select(["node", "g"]).take(pa.array(left, pa.int64()))
     return pa.table({"node": out["node"], "g": out["g"].cast(meet)})
@@ -221,6 +222,7 @@ def _verify(group: pa.Table) -> pa.Table:
     for rows, sig, side in _blocks(group):
         n, label = links([np.frombuffer(sets[at], np.uint64) for at in rows], sig, np.array([copies[at] for at in rows], np.int64), side)
         out += [(node[at], int(k), node[rows[head]], not g[at]["c"]) for at, k, head in zip(rows, n, label) if k]
+    hand_back()
     return pa.table({"node": pa.array([r[0] for r in out], pa.binary()), "n": pa.array([r[1] for r in out], pa.int64()), "head": pa.array([r[2] for r in out], pa.binary()), "last": pa.array([r[3] for r in out], pa.bool_())})
 
 

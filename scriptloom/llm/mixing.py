@@ -120,9 +120,10 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int =
     for name in ("size", "source_size", "target", "taken", "pieces"):
         names[name] = fresh(wide, name)
         wide = wide.withColumn(names[name], F.lit(None))
-    # under neutral names from here on; words are counted once
+    # under neutral names from here on; words are counted once, unless that would write the texts again
     thin = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(source).alias("of"), n_words(text).alias("size"), F.struct(*by, F.xxhash64(text)).alias("tie"))
-    sized = written(thin.withColumn("key", F.xxhash64(F.lit(seed), "tie")), "sized")
+    sized = thin.withColumn("key", F.xxhash64(F.lit(seed), "tie"))
+    sized = sized if text in keep else written(sized, "sized")
     per_source = sized.groupBy("of").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
     rows = plan([(r[0], r[1]) for r in per_source])
     n_rows = sum(r["rows"] for r in per_source)

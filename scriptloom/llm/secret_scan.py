@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .base import small_batches, table
+from .base import released, small_batches, table
 
 #: Kinds in their order, with pattern and the part that has to have a least length.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -144,7 +144,7 @@ def secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 names=[key, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
             )
 
-    return thin.mapInArrow(run, schema)
+    return thin.mapInArrow(released(run), schema)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,8 @@ from .base import released, small_batches, table, together, walked, written
 TOKENIZER, END = "word_bpe_49k.json", 2
 #: A chunk closes at this many ids.
 CHUNK_IDS = 1 << 20
-#: Texts are encoded together up to this many bytes; a worker keeps the ids of about 2 * KEPT words and 2 * KEPT units.
+#: Texts are encoded together up to this many bytes. In a task, a worker keeps the ids of about 2 * KEPT words and KEPT
+#: units; between tasks, those of about KEPT words.
 TOGETHER, KEPT = 8 << 20, 350_000
 #: Words of signs, digits and Latin letters in composed form; and their units, in lower case.
 _plain = re.compile("[\\x21-\\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
@@ -94,7 +95,7 @@ class Encoder:
         """The ids of distinct words. Words not asked for in a while are forgotten a generation at a time."""
         if len(self.young) > KEPT:
             self.young, self.old = {"": b""}, self.young
-        if len(self.units) > 2 * KEPT:
+        if len(self.units) > KEPT:
             self.units.clear()
         young, old, unit, whole = self.young, self.old, self.units.__getitem__, []
         out = list(map(young.get, words))
@@ -116,6 +117,10 @@ class Encoder:
                 out[i] = young[words[i]] = ids
         return out
 
+    def rest(self) -> None:
+        """Forgets what is too much to keep between tasks."""
+        self.old = {}
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each text followed by END, and how many each has with it."""
         texts = pc.fill_null(texts, "")
@@ -169,6 +174,7 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                     names=["part", "chunk", "docs", "n_ids", "ids"],
                 )
                 first, chunk = last, chunk + 1
+        code.rest()
 
     raw = dealt.select("k", "t").mapInArrow(released(run), f"part bigint, chunk bigint, docs {place}, n_ids bigint, ids binary")
     return written(raw.select("part", "chunk", "docs", "n_ids", range_coder.encoded(spark, "ids").alias("payload")), "tokens")
