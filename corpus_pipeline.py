@@ -38,8 +38,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: token files, written and read back."""
-    return token_files.read(token_files.write(docs))
+    """Operator 4: token files, written and read back. Executors still hold what earlier stages left: less is kept here."""
+    return token_files.read(token_files.write(docs, kept=100_000, at_once=4 << 20))
 
 
 STAGES = [

@@ -70,9 +70,11 @@ class Encoder:
     are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         import os
 
+        self.kept = kept
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -93,9 +95,9 @@ class Encoder:
 
     def _words(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words. Words not asked for in a while are forgotten a generation at a time."""
-        if len(self.young) > KEPT:
+        if len(self.young) > self.kept:
             self.young, self.old = {"": b""}, self.young
-        if len(self.units) > KEPT:
+        if len(self.units) > self.kept:
             self.units.clear()
         young, old, unit, whole = self.young, self.old, self.units.__getitem__, []
         out = list(map(young.get, words))
@@ -141,13 +143,14 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int) -> Encoder:
     """One for each worker, whose next task goes on with the words it knows."""
-    return Encoder(path)
+    return Encoder(path, kept)
 
 
-def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
-    """The chunks of docs, written to the shared folder and opened again. path: of the tokenizer's file."""
+def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, kept: int = KEPT, at_once: int = TOGETHER) -> DataFrame:
+    """The chunks of docs, written to the shared folder and opened again. path: of the tokenizer's file. kept and at_once
+    bound a worker's memory: about 200 bytes for each of 3 * kept words and units, and 20 for each byte of text at once."""
     spark = docs.sparkSession
     small_batches(spark)
     path = path or tokenizer_path()
@@ -158,8 +161,8 @@ def write(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     place = f"array<struct<doc_id:{kind},start:bigint,n:bigint>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, chunk = encoder(path), TaskContext.get().partitionId(), 0
-        for batch in together(batches, TOGETHER):
+        code, part, chunk = encoder(path, kept), TaskContext.get().partitionId(), 0
+        for batch in together(batches, at_once):
             keys = batch.column(0)
             ids, sizes = code.encode(batch.column(1))
             ends = np.cumsum(sizes)

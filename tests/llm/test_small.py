@@ -353,9 +353,8 @@ def test_encoder():
     assert code.by_word
     whole = [e.ids for e in code.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     for kept in (token_files.KEPT, 3, 3):
-        old, token_files.KEPT = token_files.KEPT, kept
+        code.kept = kept
         ids, sizes = code.encode(pa.array(texts, pa.string()))
-        token_files.KEPT = old
         assert ids.tolist() == [i for w in whole for i in (*w, 2)] and sizes.tolist() == [len(w) + 1 for w in whole]
     import public_tokenizers
 
