@@ -61,7 +61,7 @@ class Speller(dict):
 
     def spell(self, words: "Words") -> list[np.ndarray]:
         """The subwords of each text."""
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         kinds = [*map(self.__getitem__, words.kinds[:-1]), np.array([END], "<u2").tobytes()]
         size = np.fromiter(map(len, kinds), np.int32, len(kinds)) // 2

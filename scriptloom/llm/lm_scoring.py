@@ -35,10 +35,10 @@ from .base import released, small_batches, table, together, written
 FOLDS, HELD_OUT = 5, 1
 ROUNDS, RATE = 2, 0.02
 #: Texts are read together up to this many bytes.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 20
 HEAD = 300_000
 #: Distinct words that a worker counts before it hands them on.
-COUNTED = 400_000
+COUNTED = 300_000
 
 
 def held_out(key: str):
