@@ -243,13 +243,18 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     # a chunk's postings meet their language's tiles: both sides are dealt by chunk, so no task has a whole language
     dealt = meeting.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<int>")))
     schema = "lang string, source string, part string, item string, value long"
-    found = dealt.join(packed, ["lang", "chunk"]).mapInArrow(released(_audit), schema)
+    found = written(dealt.join(packed, ["lang", "chunk"]).mapInArrow(released(_audit), schema), "distances")
     none = meeting.select("lang", F.explode("a").alias("a"), "b").select("lang", F.col("a.source").alias("source"), F.explode("b.source").alias("item"))
     none = none.where("source <> item").select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value"))
-    # an item of part "term" comes from one chunk
-    summed = found.unionByName(none).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    w = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
-    return summed.withColumn("rank", F.row_number().over(w)).where((F.col("part") == "pair") | (F.col("rank") <= TOP))
+    pairs = found.where("part = 'pair'").unionByName(none).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # each chunk gives its TOP terms of a group; they are ranked in about as many buckets as there are chunks in a bucket
+    best = [F.desc("value"), "item"]
+    buckets = F.pmod(F.xxhash64("item"), F.lit(max(1, int(n_chunks**0.5))))
+    few = found.where("part = 'term'").withColumn("bucket", buckets)
+    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "bucket").orderBy(*best))).where(F.col("rank") <= TOP)
+    w = Window.partitionBy("lang", "source", "part").orderBy(*best)
+    ranked = pairs.unionByName(few.drop("bucket", "rank")).withColumn("rank", F.row_number().over(w))
+    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= TOP))
 
 
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
