@@ -80,16 +80,21 @@ def tokenizers(byte_path: str, piece_path: str) -> Tokenizers:
     return Tokenizers(byte_path, piece_path)
 
 
+#: While tables are written, their shuffles' files go as soon as they are; and rows that are dealt by unit stay there when
+#: they are joined by unit and end.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
 @contextmanager
-def _cleaned(spark: SparkSession):
-    """While tables are written, their shuffles' files go as soon as they are."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _set(spark: SparkSession):
+    before = {k: spark.conf.get(k) for k in SETTINGS}
     try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def in_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -152,7 +157,11 @@ def encoded(distinct: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """From u and the tokens a and b of units: u, n_a, n_b, n_groups, groups, links (arrays of an A and a B id)."""
+    """From u and the tokens a and b of units: u, n_a, n_b, n_groups, groups, links (arrays of an A and a B id).
+
+    Units are dealt once, with their tokens in arrays; all that follows is by unit and stays in its partition.
+    """
+    tokens = tokens.repartition("u")
 
     def ends(side: str) -> DataFrame:
         each = tokens.select("u", F.posexplode(side).alias("pos", "t"))
@@ -263,7 +272,7 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_path: s
 
     spark = docs.sparkSession
     small_batches(spark)
-    with _cleaned(spark):
+    with _set(spark):
         blocks = written(in_blocks(docs, key, text), "unit-blocks")
         of, rows = blocks.where("of IS NOT NULL").select("block", "key", "of"), blocks.where("unit <> ''").select(F.col("block").alias("in_block"), "n", "unit")
         tokens = encoded(rows.select("unit").distinct(), byte_path or own.path(BYTES), piece_path or own.path(PIECES))
