@@ -41,7 +41,7 @@ from .base import hub_join, released, small_batches, table, together, walked, wr
 
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts in a block, and of those split at once; (document, pair) numbers sorted at once.
-BLOCK, TOGETHER, AT_ONCE = 32 << 20, 4 << 20, 1 << 23
+BLOCK, TOGETHER, AT_ONCE = 16 << 20, 4 << 20, 1 << 20
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -173,16 +173,17 @@ def aligned(tokens: DataFrame) -> DataFrame:
     back = Window.partitionBy("u").orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
     cut = F.col("a").isNotNull() & F.col("b").isNotNull()
     rows = both.select(
-        "u", "end", "a", "b", F.sum(cut.cast("int")).over(back).alias("group"),
+        "u", "end", "a", "b", cut.alias("cut"), F.sum(cut.cast("int")).over(back).alias("group"),
         F.struct(F.last("a", True).over(back).alias("a"), F.last("b", True).over(back).alias("b")).alias("link"),
     )
-    ids = lambda side: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side)))), lambda x: x[side].cast("string")), ",")
-    groups = rows.groupBy("u", "group").agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("ids"), F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.collect_list("link").alias("links"))
-    return groups.groupBy("u").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("group")).alias("g"), "ids"))), lambda x: x.ids), ";").alias("groups"),
-        F.flatten(F.collect_list("links")).alias("links"),
+    each = rows.groupBy("u").agg(
+        F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.max("group").cast("long").alias("n_groups"),
+        F.array_sort(F.collect_list(F.struct("end", "a", "b", "cut", "link"))).alias("ends"),
     )
+    # a cut ends a group on both sides
+    ids = lambda side: F.split(F.array_join(F.transform(F.filter("ends", lambda e: e[side].isNotNull()), lambda e: F.concat(e[side].cast("string"), F.when(e.cut, ";").otherwise(","))), ""), ";")
+    pairs = F.zip_with(ids("a"), ids("b"), lambda a, b: F.concat(a, F.lit("|"), b))
+    return each.select("u", "n_a", "n_b", "n_groups", F.array_join(F.slice(pairs, F.lit(1), F.col("n_groups").cast("int")), ";").alias("groups"), F.col("ends.link").alias("links"))
 
 
 def _pairs_of_documents(docs: pa.Table, rows: pa.Table) -> pa.Table:
