@@ -14,7 +14,7 @@ over the corpus's distinct units:
    in the block before the shuffle; a pair is best if no other pair of its A id is in more documents;
 4. units get the sums over their links, meet their blocks once more, and documents add up what their units have.
 
-Hot units are rows once a block, hot pairs come by a broadcast of fewer than HUBS rows. A block's task holds its documents'
+Hot units are rows once a block; a pair of very many units is a skewed join key that Spark splits. A block's task holds its documents'
 numbers (4 bytes a unit) and its units' rows; one very long document is a block of its own. A unit without spaces, however
 long, is one row, its tokens are rows of a window of their own.
 
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import units
-from .base import hub_join, released, small_batches, table, together, walked, written
+from .base import released, small_batches, table, together, walked, written
 
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts in a block, and of those split at once; (document, pair) numbers sorted at once.
@@ -288,9 +288,9 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_path: s
         pairs = counted.withColumn("best", F.col("docs") == F.max("docs").over(Window.partitionBy(a)))
         # units' links meet the counts of their pairs
         links = known.select("u", F.explode("links").alias("pair"))
-        often = links.groupBy("pair").agg(F.count("*").alias("rows"))
-        met = hub_join(links, pairs.join(often, "pair"), "pair", "rows", F.xxhash64("u"))
+        met = links.join(pairs, "pair")  # a pair of many units: Spark splits its partition
         sums = met.groupBy("u").agg(F.sum("docs").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best"), F.count("*").alias("n_links"))
+        sums = written(sums, "unit-sums")
         whole = known.select("u", "unit", "good", "n_a", "n_b", "n_groups", "groups").join(sums, "u", "left").drop("u")
         kind = docs.schema[key].dataType.simpleString()
         dictionary = rows.join(whole, "unit").drop("unit")
