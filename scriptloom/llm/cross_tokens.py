@@ -37,11 +37,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import units
-from .base import released, small_batches, table, together, walked, written
+from .base import _remove, released, small_batches, table, together, walked, written
 
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts in a block, and of those split at once; (document, pair) numbers sorted at once.
-BLOCK, TOGETHER, AT_ONCE = 16 << 20, 4 << 20, 1 << 20
+BLOCK, TOGETHER, AT_ONCE = 24 << 20, 4 << 20, 1 << 20
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -97,6 +97,12 @@ def _set(spark: SparkSession):
             spark.conf.set(k, v)
 
 
+def _forget(table: DataFrame) -> None:
+    """Removes a written() table that nothing reads any more."""
+    for file in table.inputFiles()[:1]:
+        _remove(table.sparkSession, file.rpartition("/")[0])
+
+
 def in_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows of documents (block, key, of: the numbers of its units) and rows of units (block, n, unit)."""
     kind = docs.schema[key].dataType.simpleString()
@@ -281,6 +287,7 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_path: s
         pair = lambda x: F.shiftleft(x.a.cast("long"), 32) + x.b
         made = aligned(tokens.where("a IS NOT NULL").select("u", "a", "b")).withColumn("links", F.transform("links", pair))
         known = written(tokens.select("u", "unit").join(made, "u", "left").withColumn("good", F.col("n_a").isNotNull()), "unit-groups")
+        _forget(tokens)
         dictionary = rows.join(known.select("unit", "good", F.array_distinct("links").alias("pairs")), "unit").drop("unit")
         found = of.select("block", "of").groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(_pairs_of_documents, "pair long, docs long")
         counted = written(found.groupBy("pair").agg(F.sum("docs").alias("docs")), "pair-counts")
@@ -290,8 +297,8 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_path: s
         links = known.select("u", F.explode("links").alias("pair"))
         met = links.join(pairs, "pair")  # a pair of many units: Spark splits its partition
         sums = met.groupBy("u").agg(F.sum("docs").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best"), F.count("*").alias("n_links"))
-        sums = written(sums, "unit-sums")
-        whole = known.select("u", "unit", "good", "n_a", "n_b", "n_groups", "groups").join(sums, "u", "left").drop("u")
+        whole = written(known.select("u", "unit", "good", "n_a", "n_b", "n_groups", "groups").join(sums, "u", "left").drop("u"), "unit-sums")
+        _forget(known)
         kind = docs.schema[key].dataType.simpleString()
         dictionary = rows.join(whole, "unit").drop("unit")
         sums_ = ", ".join(f"{x} long" for x in SUMS)
