@@ -45,12 +45,6 @@ def normalize_intervals(df: DataFrame, chunk: list[str], position: str, start: s
     }).drop("_s", "_e", "_k")
 
 
-def relative(start: Column, end: Column, origin: Column) -> tuple[Column, Column]:
-    """Seconds from origin; the end isn't before the start."""
-    a = F.greatest(F.lit(0.0), clean_time(start, origin) - origin)
-    return a, F.greatest(a, clean_time(end, origin + a) - origin)
-
-
 def midpoint(shot: Column, seam: Column) -> Column:
     s = F.coalesce(shot["start"], seam)
     return (s + F.coalesce(shot["end"], s)) / 2

@@ -84,10 +84,13 @@ def _token_at(x: Column, number: Column) -> Column:
     return F.get(F.filter(places, lambda i: i.isNotNull()), number)
 
 
-def trim_suffix(x: Column, n: Column) -> Column:
-    """Without its last n tokens and what follows them."""
-    cut = _token_at(x, F.size(words(x)) - n)
-    return F.when(n <= 0, x).when(n >= F.size(words(x)), F.when(x.isNotNull(), "")).otherwise(rstrip(F.array_join(F.slice(parts(x), F.lit(1), cut), "")))
+def trim_suffix(x: Column, n: Column, total: Column | None = None) -> Column:
+    """Without its last n tokens and what follows them. total: how many tokens it has, where that is known."""
+    total = F.size(words(x)) if total is None else total
+    pieces = parts(x)
+    # where every part is a token, the parts need not be looked at
+    cut = F.when(F.size(pieces) == total, total - n).otherwise(_token_at(x, total - n))
+    return F.when(n <= 0, x).when(n >= total, F.when(x.isNotNull(), "")).otherwise(rstrip(F.array_join(F.slice(pieces, F.lit(1), cut), "")))
 
 
 def trim_prefix(x: Column, n: Column) -> Column:
@@ -152,11 +155,6 @@ def joined(values: Column, separator: str = ", ") -> Column:
     return F.coalesce(F.array_join(F.filter(F.transform(values, lambda v: strip(v)), lambda v: v != ""), separator), F.lit(""))
 
 
-def joined_texts(segments: Column) -> Column:
-    """Segment texts in one line; blank ones leave their space inside."""
-    return strip(F.array_join(F.transform(segments, lambda s: F.coalesce(strip(s["text"]), F.lit(""))), " "))
-
-
 def user_context(x: Column) -> Column:
     return F.nullif(squeeze(x), F.lit(""))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import replies
 from ..functions import text as T
+from ..operators import chronology as chrono
 from ..operators import continuity, memo, reconcile, render, seams
 from ..schema import CHUNK
 from ..sources import media, prompts
@@ -330,13 +331,35 @@ def shot_partition(spark, d):
     return reconcile.split_shots(chunks).select(F.col("media_id").alias("user_id"), "index", F.size("visual.shots").cast("long").alias("kept"))
 
 
-@query()
+_SPEECH = """n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) - 1 AS i FROM events),
+s AS (SELECT user_id, i, i * 14.0::DOUBLE AS at, i * 14.0::DOUBLE + 30 AS stop, list_transform([3, 7, 11], lambda k: i * 14.0::DOUBLE + (event_id * k) % 29) AS starts FROM n),
+f AS (SELECT *, starts[1] AS first, starts[3] AS last, greatest(0.0, starts[2] - starts[1], starts[3] - starts[1]) AS reach FROM s)"""
+
+
+@query(f"""WITH RECURSIVE {_SPEECH},
+r AS (
+    SELECT user_id, i, NULL::DOUBLE AS bound, last AS left_at FROM f WHERE i = 0
+    UNION ALL
+    SELECT user_id, i, CASE WHEN first < bound THEN bound END, CASE WHEN first < bound THEN least(stop, bound + reach * ((stop - bound) / (stop - first))) ELSE last END
+    FROM (SELECT f.*, least(f.stop, r.left_at + 0.001) AS bound FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.i + 1)
+)
+SELECT user_id, i::INTEGER AS index, round(bound + 3.1e-8, 6) AS minimum, round(coalesce(bound, starts[1]) + 3.1e-8, 6) AS first_start, round(left_at + 3.1e-8, 6) AS last_start FROM r JOIN f USING (user_id, i)""")
 def chronology(spark, d):
-    """Turns as speech whose windows overlap by more and more, made monotone."""
-    c = conversation_chunks(spark, d).withColumn("start_seconds", F.col("index") * 14.0)
-    c = c.withColumn("audio", F.col("audio").withField("segments", F.transform("audio.segments", lambda s: s.withField("start", F.col("index") * 14.0 + F.pmod(F.length(s["text"]), F.lit(25))).withField("end", F.col("index") * 14.0 + 30.0))))
-    out = reconcile.reconciled(c, 16.0)
-    return out.select("media_id", "index", F.round(F.get("audio.segments.start", F.lit(0)), 6).alias("first_start"), F.round("audio.timestamp_reconciliation.minimum_start", 6).alias("minimum"))
+    """A user's events as speech, three segments each, in windows that overlap by 16 s and run into each other."""
+    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp")), "event_id")
+    e = table(spark, d, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).alias("index"))
+    at, kinds = F.col("index") * F.lit(14.0), spark.createDataFrame([], CHUNK).schema
+    none = lambda k: F.lit(None).cast(kinds["audio"].dataType[k].dataType).alias(k)
+    none_of = lambda k: F.lit(None).cast(k)
+    start = lambda k: at + F.pmod(F.col("event_id") * k, F.lit(29))
+    segments = F.array(*(F.struct(start(k).alias("start"), (start(k) + 1).alias("end"), none_of("string").alias("speaker"), F.lit("said").alias("text"), none_of("string").alias("translation"), none_of("boolean").alias("inferred_timestamp")) for k in (3, 7, 11)))
+    audio = F.struct(*(segments.alias(k) if k == "segments" else none(k) for k in kinds["audio"].dataType.names))
+    chunks = e.select(F.col("user_id").cast("string").alias("media_id"), "index", at.alias("start_seconds"), F.lit(30.0).alias("duration_seconds"), audio.alias("audio"), F.lit(None).cast(kinds["visual"].dataType).alias("visual"))
+    said, near = F.col("audio.segments.start"), lambda x: F.round(x + 3.1e-8, 6)  # no half of a last digit
+    return chrono.in_order(chunks).select(
+        F.col("media_id").cast(e.schema["user_id"].dataType).alias("user_id"), "index", near(F.col("audio.timestamp_reconciliation.minimum_start")).alias("minimum"),
+        near(F.get(said, F.lit(0))).alias("first_start"), near(F.element_at(said, -1)).alias("last_start"),
+    )
 
 
 # Running context.
