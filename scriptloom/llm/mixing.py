@@ -1,19 +1,20 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-word blocks.
 
 Targets: sources share SHARE of all words by weight, none beyond CAP times its own words; what a capped source
-leaves is shared again by weight among the others until none is above. The mix consists of blocks of equal words.
-Blocks go to sources by highest quotients target / (2k + 1), so each shard of the mix has integer quotas per source:
-shard j holds the blocks of ranks between its bounds in the one order of quotients, which is house-monotone.
+leaves is shared again by weight among the others until none is above.
 
-A source's documents stand in a seeded order, cut into blocks as one stream of words (the last may be short). Its blocks
-are selected in a seeded order, pick after pick, each once before any is picked again and none more than CAP times: the first
-shard's quota takes the first picks, the next shard's the following ones. How many words of a document are taken, and
-for which shards, follows from its place in the stream alone.
+A source's documents stand in a seeded order, cut into blocks of BLOCK words as one stream (the last may be short). Its blocks
+are picked in a seeded order, each once before any is picked again, until the target is reached, to the word: the last
+pick is cut there. So a source takes its target's words however small it is, and no block's length depends on any source.
+Picks go to shards by highest quotients target / (2k + 1), a source leaving when it has its picks: shard j holds the picks
+of ranks between its bounds in this one order, which gives it integer quotas per source. The first shard's quota takes a
+source's first picks, the next shard's the following ones. How many words of a document are taken, and for which shards, follows
+from its place in the stream alone.
 
 Null texts and texts without words have size 0 and are taken 0 times. A null source is a source of its own, last in
 order. Repeated rows stand in the stream one by one. An empty table, or one without words, gives targets of 0. A source's
-taken words differ from its target by less than two blocks. A row of numbers per source is on the driver, where plans are made
-in numpy. Columns of docs are carried along; clashing names get underscores.
+taken words are its target, rounded. A row of numbers per source is on the driver, where plans are made in numpy, and comes
+back by a join that spreads large sources. Columns of docs are carried along; clashing names get underscores.
 """
 
 from __future__ import annotations
@@ -25,14 +26,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import WORD, buckets, fresh, running_sum, table, written
+from .base import WORD, buckets, fresh, hub_join, running_sum, table, written
 
 WEIGHTS, SHARE, CAP, SEED, SHARDS = (5, 2, 1), 1.5, 2, 20240611, 40
-#: A block is at most this long. It is shorter where the least target would have under LEAST_BLOCKS of them, or the whole
-#: mix under MOST_BLOCKS.
-BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 4096, 100, 50_000
-#: Sources up to which their plan is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_SOURCES = 100_000
+#: Words in a block.
+BLOCK = 4096
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -51,22 +49,26 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, cap: f
     return out.tolist()
 
 
-def quotas(goal: list[float], seats: int) -> list[int]:
-    """Sainte-Lague: the seats that the `seats` highest quotients goal / (2k + 1) give; ties go to the first.
+def quotas(goal: list[float], seats: int, most: list[int]) -> np.ndarray:
+    """Sainte-Lague: the seats that the `seats` highest quotients goal / (2k + 1) give, none more than `most` of its own; ties go to
+    the first.
 
     The lowest quotient that wins is enclosed by halving; what lies above is counted, the few in between are ranked.
     """
-    g = np.asarray(goal, np.float64)
-    if seats <= 0 or not g.any():
-        return [0] * len(g)
+    g, most = np.asarray(goal, np.float64), np.asarray(most, np.int64)
+    if seats >= most.sum():
+        return most
+    if seats <= 0:
+        return np.zeros(len(g), np.int64)
 
     def above(limit: float) -> np.ndarray:
         """How many quotients of each source are limit or more."""
         n = np.maximum(0, np.floor((g / limit + 1) / 2))
         n += g / (2 * n + 1) >= limit  # the quotients as they are rounded decide
-        return (n - ((n > 0) & (g / np.maximum(1, 2 * n - 1) < limit))).astype(np.int64)
+        return np.minimum(most, (n - ((n > 0) & (g / np.maximum(1, 2 * n - 1) < limit))).astype(np.int64))
 
-    low, high = g.sum() / (4.0 * seats + 4.0 * len(g)), g.max() * 2
+    some = most > 0
+    low, high = float((g[some] / (2 * most[some])).min()) / 2, float(g.max()) * 2
     while (middle := (low + high) / 2) not in (low, high):
         low, high = (middle, high) if above(middle).sum() > seats else (low, middle)
     won = above(high)
@@ -75,28 +77,9 @@ def quotas(goal: list[float], seats: int) -> list[int]:
     for _ in range(seats - int(won.sum())):
         _, i = heapq.heappop(heap)
         won[i] += 1
-        heapq.heappush(heap, (-g[i] / (2 * won[i] + 1), i))
-    return won.tolist()
-
-
-def shard_quotas(goal: list[float], seats: int, shards: int) -> list[list[int]]:
-    """Blocks of each source in each shard: differences of the apportionment at the shards' bounds."""
-    marks = [quotas(goal, seats * j // shards) for j in range(shards + 1)]
-    return [[b - a for a, b in zip(x, y)] for x, y in zip(marks, marks[1:])]
-
-
-def plan(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shards: int = SHARDS) -> list[dict]:
-    """A row per source, by code point with null last: its target, block length and quotas by shard."""
-    order = sorted(sizes, key=lambda s: (s[0] is None, (s[0] or "").encode()))
-    words = [n for _, n in order]
-    goal = targets(words, [weights[i % len(weights)] for i in range(len(words))], share, cap)
-    least = min((g for g in goal if g > 0), default=1.0)
-    length = max(1, min(block, max(int(least / LEAST_BLOCKS), int(sum(goal) / MOST_BLOCKS))))
-    by_shard = shard_quotas(goal, round(sum(goal) / length), shards)
-    return [
-        {"rank": i, "source": s, "words": n, "target": goal[i], "block": length, "quota": sum(q[i] for q in by_shard), "shards": [q[i] for q in by_shard]}
-        for i, (s, n) in enumerate(order)
-    ]
+        if won[i] < most[i]:
+            heapq.heappush(heap, (-g[i] / (2 * won[i] + 1), i))
+    return won
 
 
 def order_of(blocks: int, rank: int, seed: int) -> tuple[int, int]:
@@ -108,6 +91,39 @@ def order_of(blocks: int, rank: int, seed: int) -> tuple[int, int]:
     return factor, shift
 
 
+def picks(words: int, take: int, block: int, factor: int, shift: int) -> tuple[int, int]:
+    """How many picks reach `take` words, and how many words the last of them gives."""
+    if not take:
+        return 0, 0
+    blocks = -(-words // block)
+    short = blocks * block - words  # words that the last block lacks
+    passes, rest = divmod(take - 1, words)
+    rest += 1
+    at = (factor * (blocks - 1) + shift) % blocks
+    n = -(-rest // block)
+    if at < n:
+        n = -(-(rest + short) // block)
+    return passes * blocks + n, rest - ((n - 1) * block - (short if at < n - 1 else 0))
+
+
+def plan(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: float = SHARE, cap: int = CAP, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> list[dict]:
+    """A row per source, by code point with null last: its target, its picks and how many of them come before each shard's end."""
+    order = sorted(sizes, key=lambda s: (s[0] is None, (s[0] or "").encode()))
+    words = [n for _, n in order]
+    goal = targets(words, [weights[i % len(weights)] for i in range(len(words))], share, cap)
+    rows = []
+    for i, (s, n) in enumerate(order):
+        blocks = -(-n // block)
+        factor, shift = order_of(blocks, i, seed)
+        quota, cut = picks(n, min(cap * n, math.floor(goal[i] + 0.5)), block, factor, shift)
+        rows.append({"rank": i, "source": s, "words": n, "target": goal[i], "blocks": blocks, "quota": quota, "cut": cut, "factor": factor, "shift": shift})
+    most = [r["quota"] for r in rows]
+    ends = [quotas(goal, sum(most) * (j + 1) // shards, most).tolist() for j in range(shards)]
+    for r, own in zip(rows, zip(*ends)):
+        r["ends"] = list(own)
+    return rows
+
+
 def n_words(text: str):
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
 
@@ -125,27 +141,27 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", seed: int =
     sized = thin.withColumn("key", F.xxhash64(F.lit(seed), "tie"))
     sized = sized if text in keep else written(sized, "sized")
     per_source = sized.groupBy("of").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-    rows = plan([(r[0], r[1]) for r in per_source])
-    n_rows = sum(r["rows"] for r in per_source)
-    planned = []
-    for r in rows:
-        blocks = -(-r["words"] // r["block"])
-        ends = np.minimum(np.cumsum(r["shards"]), CAP * blocks).tolist()
-        planned.append((r["source"], r["rank"], r["words"], r["target"], r["block"], blocks, ends[-1], ends, *order_of(blocks, r["rank"], seed)))
-    small = spark.createDataFrame(planned, "source string, rank int, words long, target double, block long, blocks long, quota long, ends array<long>, factor long, shift long")
-    at = sized.join(F.broadcast(small) if len(rows) <= BROADCAST_SOURCES else small, F.col("of").eqNullSafe(F.col("source")))
+    planned, n_rows = plan([(r[0], r[1]) for r in per_source], seed=seed), sum(r["rows"] for r in per_source)
+    many = {r["of"]: r["rows"] for r in per_source}
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  # null is a source, too
+    columns = ("source", "rank", "words", "target", "blocks", "quota", "cut", "factor", "shift", "ends")
+    small = spark.createDataFrame([(*(r[c] for c in columns), many[r["source"]]) for r in planned], "source string, rank int, words long, target double, blocks long, quota long, cut long, factor long, shift long, ends array<long>, rows long")
+    small = small.withColumn("source", key(F.col("source")))
+    at = hub_join(sized.withColumn("source", key(F.col("of"))), small, "source", "rows", F.xxhash64("key", "tie"), total=n_rows)
     at = running_sum(at, "rank", ["key", "tie"], F.shiftright("key", 64 - max(6, (buckets(n_rows) - 1).bit_length())), F.col("size"), "before")
-    first, end, block, blocks = F.col("before"), F.col("before") + F.col("size"), F.col("block"), F.col("blocks")
+    first, end, block, blocks = F.col("before"), F.col("before") + F.col("size"), F.lit(BLOCK).cast("long"), F.col("blocks")
     whole = lambda x, y: F.floor(x / y).cast("long")
 
     def taken(b):
         """The picks of block b, as pieces of this document."""
         pick = F.pmod(F.col("factor") * b + F.col("shift"), blocks)
-        passes = F.filter(F.sequence(F.lit(0), F.lit(CAP - 1)), lambda p: pick + p * blocks < F.col("quota"))
-        shard = lambda p: F.size(F.filter("ends", lambda e: e <= pick + p * blocks))
-        return F.transform(passes, lambda p: F.struct(
-            p.alias("pass"), (F.greatest(b * block, first) - first).alias("first"), (F.least((b + 1) * block, end) - first).alias("last"), shard(p).alias("shard")
-        ))
+        number = lambda p: pick + p * blocks
+        passes = F.filter(F.sequence(F.lit(0), F.lit(CAP - 1)), lambda p: number(p) < F.col("quota"))
+        shard = lambda p: F.size(F.filter("ends", lambda e: e <= number(p)))
+        stop = lambda p: b * block + F.when(number(p) == F.col("quota") - 1, F.col("cut")).otherwise(block)
+        return F.filter(F.transform(passes, lambda p: F.struct(
+            p.alias("pass"), (F.greatest(b * block, first) - first).alias("first"), (F.least(stop(p), end) - first).alias("last"), shard(p).alias("shard")
+        )), lambda x: x["first"] < x["last"])
 
     none = F.array().cast("array<struct<pass:int,first:bigint,last:bigint,shard:int>>")
     pieces = F.when(F.col("size") > 0, F.flatten(F.transform(F.sequence(whole(first, block), whole(end - 1, block)), taken))).otherwise(none)

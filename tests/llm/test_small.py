@@ -242,30 +242,44 @@ def test_shards(docs, empty, clash):
     assert m.sum(axis=1).tolist() == [5, 0, 9, 26] and sorted(m.sum(axis=0)) == [13, 13, 14]
 
 
+def plain_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
+    """Sources by code point, null last: shared by weight, what is above a cap shared again until none is."""
+    order = sorted(sizes, key=lambda k: (k is None, (k or "").encode()))
+    weight = {k: weights[i % len(weights)] for i, k in enumerate(order)}
+    goal, left = {}, share * sum(sizes.values())
+    while len(goal) < len(order):
+        rest = [k for k in order if k not in goal]
+        part = {k: left * weight[k] / sum(weight[x] for x in rest) for k in rest}
+        above = [k for k in rest if part[k] > cap * sizes[k]]
+        goal |= {k: cap * sizes[k] for k in above} if above else part
+        left -= sum(cap * sizes[k] for k in above)
+    return goal
+
+
 def mixed(rows):
-    """taken and pieces by definition: streams of words in the seeded order, cut into blocks, picked by shard quotas."""
+    """Words by (source, document, shard), pick after pick. Only the seeded order of the blocks is the operator's."""
     by_source = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (r["key"], r["doc_id"] is not None, r["doc_id"] or 0)):
         by_source.setdefault(r["source"], []).append(r)
-    out = Counter()
-    for entry in mixing.plan([(k, sum(r["size"] for r in v)) for k, v in by_source.items()]):
-        length, words = entry["block"], entry["words"]
-        blocks = -(-words // length)
-        factor, shift = mixing.order_of(blocks, entry["rank"], mixing.SEED)
-        by_pick = {(factor * b + shift) % blocks: b for b in range(blocks)}
-        assert len(by_pick) == blocks
-        stream = []  # the document of each word
-        for i, r in enumerate(sorted(by_source[entry["source"]], key=lambda r: r["key"])):
-            stream += [(i, r["doc_id"], w) for w in range(r["size"])]
-        taken, t = Counter(), 0
-        for shard, quota in enumerate(entry["shards"]):
-            for t in range(t, t + quota):
-                if t < 2 * blocks:
-                    b = by_pick[t % blocks]
-                    taken.update((i, d, shard) for i, d, _ in stream[b * length : (b + 1) * length])
-            t += quota > 0
-        out.update((entry["source"], d, shard, n) for (_, d, shard), n in taken.items())
-    return out
+    goal, picks = plain_targets({k: sum(r["size"] for r in v) for k, v in by_source.items()}), []
+    order = sorted(by_source, key=lambda k: (k is None, (k or "").encode()))
+    for rank, k in enumerate(order):
+        stream = [r["doc_id"] for r in by_source[k] for _ in range(r["size"])]
+        blocks = [stream[i : i + mixing.BLOCK] for i in range(0, len(stream), mixing.BLOCK)]
+        factor, shift = mixing.order_of(len(blocks), rank, mixing.SEED)
+        turn = sorted(range(len(blocks)), key=lambda b: (factor * b + shift) % len(blocks))
+        left = math.floor(goal[k] + 0.5)
+        for n in range(3 * len(blocks)):
+            took = blocks[turn[n % len(blocks)]][:left]
+            left -= len(took)
+            if took:
+                picks.append((-goal[k] / (2 * n + 1), rank, n, k, took))
+    picks.sort(key=lambda x: x[:3])
+    got = Counter()
+    for i, (*_, k, took) in enumerate(picks):
+        shard = next(j for j in range(mixing.SHARDS) if i < len(picks) * (j + 1) // mixing.SHARDS)
+        got.update((k, d, shard) for d in took)
+    return got
 
 
 def test_mixing(docs, empty):
@@ -277,7 +291,8 @@ def test_mixing(docs, empty):
         s = sizes.setdefault(r["source"], [0, 0, r["target"], r["source_size"]])
         s[0] += r["size"]
         s[1] += r["taken"]
-    assert all(a == d and abs(t - goal) <= 0.02 * goal + 2 for a, t, goal, d in sizes.values())
+    assert all(a == d and t == math.floor(goal + 0.5) for a, t, goal, d in sizes.values())
+    assert {k: v[2] for k, v in sizes.items()} == pytest.approx(plain_targets({k: v[0] for k, v in sizes.items()}))
     assert math.isclose(sum(v[2] for v in sizes.values()), min(1.5, 2) * sum(v[0] for v in sizes.values()))
     got = Counter()
     for r in rows:
@@ -285,7 +300,8 @@ def test_mixing(docs, empty):
         for x in r["pieces"]:
             per[x["shard"]] += x["last"] - x["first"]
         assert sum(per.values()) == r["taken"] and all(0 <= x["first"] < x["last"] <= r["size"] for x in r["pieces"])
-        got.update((r["source"], r["doc_id"], shard, k) for shard, k in per.items())
+        for shard, k in per.items():
+            got[r["source"], r["doc_id"], shard] += k
     assert got == mixed(rows)
     assert sorted(repr(r["taken"]) for r in rows) == sorted(repr(r["taken"]) for r in mixing.mix(docs.repartition(4))[0].collect())
     pieces = mixing.mixed_rows(docs).collect()
@@ -294,25 +310,51 @@ def test_mixing(docs, empty):
     assert all(any(i == r["doc_id"] and r["text"].strip() in t for i, t in texts) and r["n_chars"] == len(r["text"]) for r in pieces)
 
 
-def test_mixing_blocks():
-    """A tiny source doesn't set the blocks of a large mix, and every shard's quotas are those of its share of all seats."""
-    entries = mixing.plan([("big", 10_000_000), ("tiny", 1), (None, 3_000_000)])
-    assert entries[0]["block"] >= 300 and [e["source"] for e in entries] == ["big", "tiny", None]
-    seats = sum(e["quota"] for e in entries)
-    assert all(abs(sum(e["shards"][j] for e in entries) - seats / mixing.SHARDS) <= 1 for j in range(mixing.SHARDS))
-    assert all(abs(e["quota"] * e["block"] - e["target"]) <= e["block"] for e in entries)
+def test_mixing_in_small_blocks(spark, docs, monkeypatch):
+    """Many blocks in a document, short last blocks, whole passes."""
+    for block in (1, 7, 64):
+        monkeypatch.setattr(mixing, "BLOCK", block)
+        monkeypatch.setattr(mixing.plan, "__defaults__", (mixing.WEIGHTS, mixing.SHARE, mixing.CAP, block, mixing.SHARDS, mixing.SEED))
+        out, n = mixing.mix(docs.where("length(text) < 20000 OR text IS NULL"))
+        rows = out.withColumn("key", F.xxhash64(F.lit(mixing.SEED), F.struct("doc_id", F.xxhash64("text")))).collect()
+        got = Counter()
+        for r in rows:
+            for x in r["pieces"]:
+                got[r["source"], r["doc_id"], x["shard"]] += x["last"] - x["first"]
+        assert got == mixed(rows)
+
+
+@pytest.mark.parametrize("sizes", [
+    {"big": 158_000_000, **{f"s{i}": 60 for i in range(500)}}, {"big": 10_000_000, "tiny": 1, None: 3_000_000}, {"a": 10**9, "b": 3000, "c": 50, "none": 0}, {"x": 1}, {},
+    {"one": 10_000_000, **{f"s{i}": 200 for i in range(20_000)}},
+])
+def test_no_source_is_left_out(sizes):
+    """Every source's picks give its target, whatever the sizes of the others; shards have equal numbers of picks."""
+    goal = plain_targets(sizes) if len(sizes) < 1000 else None
+    entries = mixing.plan(list(sizes.items()))
+    for e in entries:
+        whole, last = divmod(e["quota"], e["blocks"]) if e["blocks"] else (0, 0)
+        short = e["blocks"] * mixing.BLOCK - e["words"]
+        at = [(e["factor"] * b + e["shift"]) % e["blocks"] for b in (e["blocks"] - 1,)][0] if e["blocks"] else 0
+        full = e["quota"] - 1  # picks before the last, all whole
+        lacking = full // e["blocks"] + (full % e["blocks"] > at) if e["blocks"] else 0
+        taken = full * mixing.BLOCK - lacking * short + e["cut"] if e["quota"] else 0
+        assert taken == math.floor(e["target"] + 0.5) and abs(taken - e["target"]) <= max(1, 0.02 * e["target"])
+        assert goal is None or e["target"] == pytest.approx(goal[e["source"]])
+        assert e["ends"][-1] == e["quota"] and e["ends"] == sorted(e["ends"])
+    picks = sum(e["quota"] for e in entries)
+    for j in range(mixing.SHARDS if entries else 0):
+        assert sum(e["ends"][j] for e in entries) == picks * (j + 1) // mixing.SHARDS
 
 
 @pytest.mark.parametrize("seats", [0, 1, 7, 40, 1001])
 def test_sainte_lague(seats):
-    goal = [50.0, 0.0, 30.5, 19.5, 1.0]
-    won, seen = [0] * 5, []
-    for _ in range(seats):
-        i = max((i for i in range(5) if goal[i]), key=lambda i: (goal[i] / (2 * won[i] + 1), -i))
+    goal, most = [50.0, 0.0, 30.5, 19.5, 1.0, 30.5], [20, 0, 400, 5, 1, 400]
+    won = [0] * 6
+    for _ in range(min(seats, sum(most))):
+        i = max((i for i in range(6) if won[i] < most[i]), key=lambda i: (goal[i] / (2 * won[i] + 1), -i))
         won[i] += 1
-        seen.append(i)
-    assert mixing.quotas(goal, seats) == won
-    assert [sum(q[i] for q in mixing.shard_quotas(goal, seats, 4)) for i in range(5)] == won
+    assert mixing.quotas(goal, seats, most).tolist() == won
 
 
 @pytest.mark.parametrize("n", [0, 1, 4095, 4096, 9001])
