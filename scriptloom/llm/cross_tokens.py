@@ -143,21 +143,28 @@ def encoded(distinct: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """unit, a, b: tokens' ids and lengths in bytes of both sides, null where their bytes aren't the unit's."""
     kind = "array<struct<id:int,size:int>>"
 
-    def side(ids: list, table: list[bytes]) -> pa.Array:
+    def side(ids: list, table: list[bytes], text: np.ndarray, length: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The tokens, and whether their bytes are those of the texts, which stand in a row."""
         flat = np.fromiter((i for x in ids for i in x), np.int32)
         sizes = np.fromiter(map(len, table), np.int32, len(table))
         ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat])], ["id", "size"]))
+        total = np.diff(np.concatenate([[0], np.cumsum(sizes[flat], dtype=np.int64)])[ends])
+        same = total == length
+        given = walked(np.frombuffer(b"".join(table), np.uint8), sizes, flat[np.repeat(same, np.diff(ends))])
+        text = text[np.repeat(same, length)]
+        owner = np.repeat(np.flatnonzero(same), length[same])
+        same[owner[given != text]] = False
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(flat), pa.array(sizes[flat])], ["id", "size"])), same
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(byte_path, piece_path)
-        get_a, get_b = both.a_bytes.__getitem__, both.b_bytes.__getitem__
         for batch in together(batches, 1 << 20):
             texts = batch.column(0).to_pylist()
-            tokens = both.encode(texts)
-            same = pa.array([b"".join(map(get_a, x)) == t.encode() == b"".join(map(get_b, y)) for t, (x, y) in zip(texts, tokens)])
-            sides = [pc.if_else(same, side(ids, tab), None) for ids, tab in zip(zip(*tokens), (both.a_bytes, both.b_bytes))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *sides], names=["unit", "a", "b"])
+            whole = "".join(texts).encode()
+            text, length = np.frombuffer(whole, np.uint8), pc.binary_length(batch.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)
+            (a, same_a), (b, same_b) = (side(ids, tab, text, length) for ids, tab in zip(zip(*both.encode(texts)), (both.a_bytes, both.b_bytes)))
+            same = pa.array(same_a & same_b)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pc.if_else(same, x, None) for x in (a, b))], names=["unit", "a", "b"])
 
     return distinct.mapInArrow(released(run), f"unit string, a {kind}, b {kind}")
 
@@ -260,8 +267,9 @@ def _documents(kind: pa.DataType):
         words[number] = rows["groups"].combine_chunks().to_numpy(zero_copy_only=False)
         parts = words[at]
         there = parts != np.array(None)
-        texts = [";".join(parts[i:j][there[i:j]]) if g else "" for i, j, g in zip(ends[:-1].tolist(), ends[1:].tolist(), good.tolist())]
-        out["groups"] = pa.array(texts, pa.string())
+        each = list(zip(ends[:-1].tolist(), ends[1:].tolist(), good.tolist()))
+        lines = [pa.array([";".join(parts[i:j][there[i:j]]) if g else "" for i, j, g in each[k : k + 200]], pa.string()) for k in range(0, len(each), 200)]
+        out["groups"] = pa.chunked_array(lines, pa.string())
         return pa.table(out)
 
     return run
@@ -277,21 +285,23 @@ class Alignment:
 def align(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_path: str | None = None, piece_path: str | None = None) -> Alignment:
     import public_tokenizers as own
 
-    spark = docs.sparkSession
+    spark, paths = docs.sparkSession, (byte_path or own.path(BYTES), piece_path or own.path(PIECES))
     small_batches(spark)
     with _set(spark):
         blocks = written(in_blocks(docs, key, text), "unit-blocks")
         of, rows = blocks.where("of IS NOT NULL").select("block", "key", "of"), blocks.where("unit <> ''").select(F.col("block").alias("in_block"), "n", "unit")
-        tokens = encoded(rows.select("unit").distinct(), byte_path or own.path(BYTES), piece_path or own.path(PIECES))
+        tokens = encoded(rows.select("unit").distinct(), *paths)
         tokens = written(tokens.select(F.monotonically_increasing_id().alias("u"), "*"), "unit-tokens")
-        pair = lambda x: F.shiftleft(x.a.cast("long"), 32) + x.b
-        made = aligned(tokens.where("a IS NOT NULL").select("u", "a", "b")).withColumn("links", F.transform("links", pair))
+        width = tokenizers(*paths).b.get_piece_size()
+        pair = lambda x: x.a * F.lit(width).cast("long") + x.b
+        small = "int" if tokenizers(*paths).a.get_vocab_size() * width < 1 << 31 else "long"  # what a pair's number fits in
+        made = aligned(tokens.where("a IS NOT NULL").select("u", "a", "b")).withColumn("links", F.transform("links", lambda x: pair(x).cast(small)))
         known = written(tokens.select("u", "unit").join(made, "u", "left").withColumn("good", F.col("n_a").isNotNull()), "unit-groups")
         _forget(tokens)
         dictionary = rows.join(known.select("unit", "good", F.array_distinct("links").alias("pairs")), "unit").drop("unit")
         found = of.select("block", "of").groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(_pairs_of_documents, "pair long, docs long")
         counted = written(found.groupBy("pair").agg(F.sum("docs").alias("docs")), "pair-counts")
-        a = F.shiftright("pair", 32)
+        a = F.floor(F.col("pair") / width)
         pairs = counted.withColumn("best", F.col("docs") == F.max("docs").over(Window.partitionBy(a)))
         # units' links meet the counts of their pairs
         links = known.select("u", F.explode("links").alias("pair"))
@@ -303,7 +313,7 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_path: s
         dictionary = rows.join(whole, "unit").drop("unit")
         sums_ = ", ".join(f"{x} long" for x in SUMS)
         documents = of.groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(_documents(kind), f"doc_id {kind}, {sums_}, groups string")
-    return Alignment(documents, pairs.select(a.cast("int").alias("a"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("b"), "docs", "best"))
+    return Alignment(documents, pairs.select(a.cast("int").alias("a"), F.pmod("pair", F.lit(width)).cast("int").alias("b"), "docs", "best"))
 
 
 def op11_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
