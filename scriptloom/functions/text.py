@@ -60,7 +60,7 @@ def parts(x: Column) -> Column:
 
 
 def normal(part: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(casefold(part), r"[^\p{L}\p{N}_']+", ""), r"\A[_']+|[_']+\z", "")
+    return F.btrim(F.regexp_replace(casefold(part), r"[^\p{L}\p{N}_']+", ""), F.lit("_'"))
 
 
 def normal_parts(x: Column) -> Column:
@@ -70,8 +70,8 @@ def normal_parts(x: Column) -> Column:
 def words(x: Column) -> Column:
     """The normal forms of the tokens; none for null. The text is normalized as a whole and then split."""
     plain = F.regexp_replace(casefold(x), r"(?U)[^\p{L}\p{N}_'\s\x1c-\x1f]+", "")
-    bare = F.regexp_replace(plain, r"(?U)(?<![^\s\x1c-\x1f])[_']+|[_']+(?![^\s\x1c-\x1f])", "")
-    return F.coalesce(F.filter(F.split(bare, rf"(?U){SPACE}+"), lambda w: w != ""), F.array().cast("array<string>"))
+    bare = F.transform(F.split(plain, rf"(?U){SPACE}+"), lambda w: F.btrim(w, F.lit("_'")))
+    return F.coalesce(F.filter(bare, lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def equivalent(left: Column, right: Column) -> Column:

@@ -75,9 +75,10 @@ seam AS (SELECT doc_id, lang, idx, prev, cur, coalesce(list_max(list_filter(rang
 
 
 def _cut_docs(spark: SparkSession, d: str) -> tuple[DataFrame, Column]:
-    docs = table(spark, d, "documents").select("doc_id", "lang", T.words(F.col("text")).alias("ws")).where("size(ws) > 0")
+    docs = table(spark, d, "documents").select("doc_id", "lang", T.words(F.col("text")).alias("ws"))
     n = F.when(F.size("ws") <= SIZE, 1).otherwise(F.ceil((F.size("ws") - SIZE) / F.lit(SIZE - SHARED)).cast("int") + 1)
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("ws", i * (SIZE - SHARED) + 1, F.lit(SIZE)))
+    # a filter on the words would find them twice; without any there are no windows
+    cut = F.when(F.size("ws") > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice("ws", i * (SIZE - SHARED) + 1, F.lit(SIZE))))
     return docs, cut
 
 
