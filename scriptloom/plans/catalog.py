@@ -60,6 +60,9 @@ def _compact(x: str, n: int) -> str:
     return f"CASE WHEN length({s}) <= {n} THEN {s} ELSE (CASE WHEN {short} = '' THEN {head} ELSE {short} END) || '…' END"
 
 
+_SAID = "trim(text, ' ' || chr(10))"
+
+
 def _stamp(x: str) -> str:
     ms = f"greatest(0, CAST(round_even({x} * 1000, 0) AS BIGINT))"
     return f"printf('%02d:%02d:%02d.%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
@@ -266,14 +269,23 @@ def coverage_status(spark, d):
     return v.select("conv_id", F.col("audio.segment_coverage.status").alias("status"))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '')[1:80] AS lines FROM documents),
+v AS (SELECT doc_id, list_transform(lines, lambda x: rtrim(left(trim(x), 160))) AS v, len(lines) AS n FROM l),
+r AS (
+    SELECT doc_id, v, n, 0::BIGINT AS i, 0::BIGINT AS room, []::VARCHAR[] AS seen, []::VARCHAR[] AS texts FROM v
+    UNION ALL
+    SELECT doc_id, v, n, i + 1, held + new::BIGINT, CASE WHEN new THEN list_append(seen, key) ELSE seen END, CASE WHEN new THEN list_append(texts, x) ELSE texts END
+    FROM (SELECT *, x <> '' AND held < 6 AND NOT list_contains(seen, key) AS new FROM (SELECT *, v[i + 1] AS x, {_fold('v[i + 1]')} AS key, CASE WHEN i % 8 = 0 THEN 0 ELSE room END AS held FROM r WHERE i < n))
+)
+SELECT doc_id, ((n + 7) // 8)::BIGINT AS shots, len(texts)::BIGINT AS n_texts, sha256(array_to_string(texts, '|')) AS digest FROM r WHERE i = n""")
 def ocr_dedup(spark, d):
-    """Lines of documents as on-screen texts of shots, eight lines a shot."""
+    """Lines of documents as on-screen texts of shots, eight lines a shot, of ten shots."""
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
-    shots = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 8).cast("int")), lambda i: F.struct(i.cast("double").alias("start"), F.slice(lines, i * 8 + 1, F.lit(8)).alias("visible_text")))
-    docs = table(spark, d, "documents").where(F.size(lines) > 0).select("doc_id", F.to_json(F.struct(shots.alias("shots"))).alias("reply"), F.lit(0.0).alias("start_seconds"), F.lit(30.0).alias("duration_seconds"), F.lit(False).alias("timestamps_are_absolute"))
-    v = replies.validated_visual(docs)
-    return v.select("doc_id", F.size("visual.shots").alias("shots"), F.flatten("visual.shots.visible_text").alias("texts"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 8).cast("int")), lambda i: F.slice("lines", i * 8 + 1, F.lit(8)))
+    shots = F.slice(F.when(F.size("lines") > 0, cut).otherwise(F.array().cast("array<array<string>>")), 1, replies.MAX_SHOTS)
+    v = table(spark, d, "documents").select("doc_id", lines.alias("lines")).select("doc_id", replies.visible_once(shots).alias("v"))
+    texts = F.flatten("v")
+    return v.select("doc_id", F.size("v").cast("long").alias("shots"), F.size(texts).cast("long").alias("n_texts"), F.sha2(F.array_join(texts, "|"), 256).alias("digest"))
 
 
 @query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: rtrim(left(trim(x), 160))), lambda x: x <> '') AS v FROM documents)
@@ -412,6 +424,21 @@ def timeline_merge(spark, d):
     return e.select("media_id", "index", "pos", F.col("e.kind").alias("kind"), F.col("e.start").cast("double").alias("at"), F.col("e.body").alias("body"))
 
 
+@query(f"""WITH t AS (SELECT conv_id::VARCHAR AS media_id, turn, role, {_SAID} AS said, {_words('text')} AS ws FROM conversations), c AS (SELECT * FROM t WHERE len(ws) > 0)
+SELECT media_id, turn::INTEGER AS index, '### ' || {_stamp('turn * 28.0')} || '–' || {_stamp('(turn * 28.0 + 30)')} || chr(10) || chr(10) || CASE turn % 3
+    WHEN 0 THEN '`' || {_stamp('turn * 28.0')} || '` **' || role || ':** ' || said
+    WHEN 1 THEN '`' || {_stamp('turn * 28.0')} || '` **' || role || ':** ' || said || ' and more' || '  ' || chr(10) || '*Translation:* other'
+    ELSE '**Transcript:** ' || said || chr(10) || chr(10) || '**Translation:** other' END || chr(10) AS lines FROM c""")
+def coverage_render(spark, d):
+    """Windows whose segments tell the transcript, tell less than it, or are missing."""
+    c = conversation_chunks(spark, d)
+    said, kind = F.col("audio.transcript"), F.col("index") % 3
+    audio = F.col("audio").withField("transcript", F.when(kind == 1, F.concat(T.strip(said), F.lit(" and more"))).otherwise(said))
+    audio = audio.withField("translation", F.when(kind > 0, F.lit(" other "))).withField("segments", F.when(kind < 2, F.col("audio.segments")).otherwise(F.slice("audio.segments", 1, 0)))
+    c = c.withColumn("audio", audio).withColumn("visual", F.lit(None).cast(c.schema["visual"].dataType))
+    return render.chunk_lines(c).select("media_id", "index", F.array_join("lines", "\n").alias("lines"))
+
+
 @query()
 def document_markdown(spark, d):
     chunks = conversation_chunks(spark, d)
