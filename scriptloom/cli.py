@@ -48,7 +48,7 @@ def run(args: argparse.Namespace) -> None:
     from .operators.render import documents_json, markdown
     from .plans import analysis, windows
     from .sources import media as M
-    from .sources.sinks import staged, write_reports
+    from .sources.sinks import check_shared, staged, write_reports
 
     config = config_of(args)
     config.validate()
@@ -57,6 +57,7 @@ def run(args: argparse.Namespace) -> None:
         M.require(tool)
     tell = lambda line: print(line, file=sys.stderr, flush=True)
     spark = SparkSession.builder.appName("scriptloom").getOrCreate()
+    check_shared(spark, config.output_dir)
     files = M.media_files(spark, args.source).withColumn("source", F.regexp_replace("path", "^file:", ""))
     kept = workspace_key(F.col("path"), F.col("size"), F.col("modified"), *map(F.lit, (config.chunk_seconds, config.overlap_seconds, config.fps, config.max_edge)))
     tell(f"Looking at {args.source}...")

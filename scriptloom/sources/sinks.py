@@ -10,7 +10,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
 from ..shipping import ship
@@ -32,6 +34,26 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def check_shared(spark: SparkSession, folder: str | Path) -> None:
+    """Raises unless every executor that can be reached sees what the driver writes into a folder. Local mode shares all."""
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return
+    ship(spark)
+    mark = Path(folder, f".seen-{uuid.uuid4().hex}").absolute()
+    write_text(mark, "")
+
+    def sees(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([mark.exists()] * len(b))], names=["seen"])
+
+    n = 4 * spark.sparkContext.defaultParallelism
+    try:
+        if not spark.range(0, n, 1, n).mapInArrow(sees, "seen boolean").agg(F.min("seen")).first()[0]:
+            raise ConfigurationError(f"{folder} isn't a folder that driver and executors share")
+    finally:
+        mark.unlink(missing_ok=True)
+
+
 def write_text(path: str | Path, text: str) -> None:
     at = Path(path)
     at.parent.mkdir(parents=True, exist_ok=True)
