@@ -19,7 +19,7 @@ back by a join that spreads large sources. Columns of docs are carried along; cl
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import math
 
 import numpy as np
@@ -72,22 +72,19 @@ def quotas(goal: list[float], seats: int, most: list[int]) -> np.ndarray:
     while (middle := (low + high) / 2) not in (low, high):
         low, high = (middle, high) if above(middle).sum() > seats else (low, middle)
     won = above(high)
-    heap = [(-g[i] / (2 * won[i] + 1), i) for i in np.flatnonzero(above(low) > won).tolist()]
-    heapq.heapify(heap)
-    for _ in range(seats - int(won.sum())):
-        _, i = heapq.heappop(heap)
-        won[i] += 1
-        if won[i] < most[i]:
-            heapq.heappush(heap, (-g[i] / (2 * won[i] + 1), i))
+    while (rest := seats - int(won.sum())) > 0:  # once: what is left lies between neighbouring numbers, a quotient of each source
+        tied = np.flatnonzero(above(low) > won)
+        first = np.lexsort((tied, -g[tied] / (2 * won[tied] + 1)))[:rest]
+        won[tied[first]] += 1
     return won
 
 
 def order_of(blocks: int, rank: int, seed: int) -> tuple[int, int]:
     """A seeded order of a source's blocks: block b is pick number (factor * b + shift) mod blocks."""
-    rng = np.random.Generator(np.random.PCG64([seed, rank]))
-    shift = int(rng.integers(0, max(1, blocks)))
-    while math.gcd(factor := int(rng.integers(1, 1 << 20)), blocks) > 1:
-        pass
+    drawn = int.from_bytes(hashlib.blake2b(f"{seed} {rank}".encode(), digest_size=16).digest(), "little")
+    factor, shift = 1 + drawn % (1 << 20), (drawn >> 64) % max(1, blocks)
+    while math.gcd(factor, blocks) > 1:
+        factor += 1
     return factor, shift
 
 
