@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import stable_key
 from ..schema import CONTEXT_VERSION
+from ..sources.publish import published
 
 
 def workspace_key(path: Column, size: Column, modified: Column, chunk: Column, overlap: Column, fps: Column, edge: Column) -> Column:
@@ -52,12 +51,6 @@ class Results:
         name = hashlib.sha256(json.dumps(self.common | key, sort_keys=True).encode()).hexdigest()
         return Path(self.folder, name[:2], f"{name}.json")
 
-    def _put(self, at: Path, value: dict) -> None:
-        at.parent.mkdir(parents=True, exist_ok=True)
-        part = at.with_name(f"{at.name}.{uuid.uuid4().hex}.part")
-        part.write_text(json.dumps(value))
-        os.replace(part, at)
-
     def of(self, key: dict, ask: Callable[[], dict], settle: Callable[[dict], dict]) -> dict:
         """settle()d result of ask(). An earlier result is settled again, and rewritten if that changes it."""
         if not self.folder:
@@ -70,5 +63,5 @@ class Results:
         found = isinstance(held, dict)
         out = settle(held if found else ask())
         if not found or out != held:
-            self._put(at, out)
+            published(at, lambda part: part.write_text(json.dumps(out)))
         return out

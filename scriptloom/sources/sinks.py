@@ -11,11 +11,12 @@ import uuid
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
 from ..shipping import ship
+from .publish import published
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -55,11 +56,7 @@ def check_shared(spark: SparkSession, folder: str | Path) -> None:
 
 
 def write_text(path: str | Path, text: str) -> None:
-    at = Path(path)
-    at.parent.mkdir(parents=True, exist_ok=True)
-    part = at.with_name(f"{at.name}.{uuid.uuid4().hex}.partial")
-    part.write_text(text, encoding="utf-8")
-    part.replace(at)
+    published(Path(path), lambda part: part.write_text(text, encoding="utf-8"))
 
 
 def write_json(path: str | Path, value: object) -> None:
@@ -67,16 +64,20 @@ def write_json(path: str | Path, value: object) -> None:
 
 
 def write_reports(reports: DataFrame, folder: str) -> None:
-    """A file of each kind per source, named after it: reports has source, markdown and json. folder is shared by all executors."""
+    """A file of each kind per source, named after it: reports has source, markdown and json. Sources of one stem get a piece
+    of their path's digest as well, so that none replaces another's. folder is shared by all executors."""
+    stem = F.regexp_replace(F.element_at(F.split("source", "/"), -1), r"(?<=.)\.[^.]*$", "")
+    named = reports.select("source", "markdown", "json", stem.alias("stem"))
+    many = F.count("*").over(Window.partitionBy("stem")) > 1
+    named = named.withColumn("name", F.when(many, F.concat("stem", F.lit("-"), F.substring(F.sha2("source", 256), 1, 8))).otherwise(F.col("stem")))
 
     def each(rows) -> None:
         for r in rows:
-            name = Path(folder, Path(r["source"]).stem)
-            write_text(f"{name}.analysis.md", r["markdown"])
-            write_json(f"{name}.analysis.json", json.loads(r["json"]))
+            write_text(Path(folder, f"{r['name']}.analysis.md"), r["markdown"])
+            write_json(Path(folder, f"{r['name']}.analysis.json"), json.loads(r["json"]))
 
     ship(reports.sparkSession)
-    reports.select("source", "markdown", "json").foreachPartition(each)
+    named.select("name", "markdown", "json").foreachPartition(each)
 
 
 def read_json(path: str | Path) -> object:

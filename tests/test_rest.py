@@ -18,6 +18,7 @@ from scriptloom.operators import memo, render
 from scriptloom.plans import analysis, catalog, windows
 from scriptloom.schema import CHUNK
 from scriptloom.sources import backends, media, prompts, sinks
+from scriptloom.sources.publish import there
 from scriptloom.streaming import responses
 
 SF = "/root/testdata/sf0.001"
@@ -257,7 +258,7 @@ def test_media_files_end_to_end(spark, tmp_path):
     plan = windows.plan_chunks(info.drop("modified"), chunk=30.0, overlap=2.0)
     out = media.decode_chunks(plan, str(tmp_path / "chunks"), run=fake).orderBy("index").collect()
     assert [os.path.basename(r["audio_path"]) for r in out] == ["chunk-000000.wav", "chunk-000001.wav"] and [len(r["frame_paths"]) for r in out] == [2, 2]
-    assert out[0]["frame_paths"] == sorted(out[0]["frame_paths"]) and all(media.complete(p) for r in out for p in (r["audio_path"], r["video_path"], *r["frame_paths"]))
+    assert out[0]["frame_paths"] == sorted(out[0]["frame_paths"]) and all(there(p) for r in out for p in (r["audio_path"], r["video_path"], *r["frame_paths"]))
     asked = [json.loads(p.read_text()) for p in calls.iterdir()]
     sound = [c for c in asked if c[-1].endswith(".wav")]
     assert len(sound) == 2 and sorted(c[c.index("-ss") + 1] for c in sound) == ["0.000000", "28.000000"] and all("16000" in c for c in sound)
@@ -291,6 +292,9 @@ def test_reports(spark, tmp_path):
     sinks.write_reports(rows, str(tmp_path / "out"))
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["one.analysis.json", "one.analysis.md", "two.analysis.json", "two.analysis.md"]
     assert sinks.read_json(tmp_path / "out" / "two.analysis.json") == {"a": 2} and (tmp_path / "out" / "one.analysis.md").read_text() == "# One\n"
+    same = spark.createDataFrame([("/x/one.mp4", "# One\n", "{}"), ("/y/one.wav", "# Other\n", "{}"), ("/y/.hidden", "# H\n", "{}")], "source string, markdown string, json string")
+    sinks.write_reports(same, str(tmp_path / "same"))
+    assert sorted(p.read_text() for p in (tmp_path / "same").glob("*.md")) == ["# H\n", "# One\n", "# Other\n"] and (tmp_path / "same" / ".hidden.analysis.md").exists()
     with pytest.raises(ConfigurationError):
         sinks.staged(type("F", (), {"sparkSession": type("S", (), {"conf": {"x": 1}, "sparkContext": type("C", (), {"master": "yarn"})})})())
 
