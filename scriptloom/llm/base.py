@@ -109,14 +109,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
-    The files go when the driver's process ends.
+    The files go when the driver's process ends. codec: of the files, if not Spark's own choice.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scriptloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

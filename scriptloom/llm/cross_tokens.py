@@ -40,8 +40,8 @@ from . import units
 from .base import _remove, released, small_batches, table, together, walked, written
 
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of texts in a block, and of those split at once; (document, pair) numbers sorted at once.
-BLOCK, TOGETHER, AT_ONCE = 24 << 20, 4 << 20, 1 << 20
+#: Bytes of texts in a block, and of those split at once; (document, pair) numbers sorted at once; the tables' codec.
+BLOCK, TOGETHER, AT_ONCE, CODEC = 32 << 20, 4 << 20, 1 << 20, "zstd"
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -201,7 +201,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
 
 def _pairs_of_documents(docs: pa.Table, rows: pa.Table) -> pa.Table:
     """In how many documents of a block each pair is linked."""
-    at, n, good, first, size, pool = _block(docs, rows, "pairs")
+    at, n, good, size, pool = _block(docs, rows, "pairs")
     kinds, pool = np.unique(pool, return_inverse=True)
     total, width = np.zeros(len(kinds), np.int64), max(1, len(kinds))
     start, ends = 0, np.concatenate([[0], np.cumsum(n)])
@@ -222,7 +222,7 @@ def _pairs_of_documents(docs: pa.Table, rows: pa.Table) -> pa.Table:
 
 def _block(docs: pa.Table, rows: pa.Table, column: str):
     """Numbers of the units in a row, how many each document has, whether all of them can be encoded; and for `column` of the
-    units' rows by number: its values' starts, sizes and pool."""
+    units' rows by number: its values' sizes and pool."""
     of = docs["of"].combine_chunks()
     at = of.flatten().to_numpy(zero_copy_only=False)
     n = np.diff(of.offsets.to_numpy()).astype(np.int64)
@@ -241,7 +241,7 @@ def _block(docs: pa.Table, rows: pa.Table, column: str):
     sizes[lists.is_null().to_numpy(zero_copy_only=False)] = 0
     size = np.where(place >= 0, sizes[np.maximum(place, 0)] if len(sizes) else 0, 0).astype(np.int32)
     pool = walked(lists.flatten().to_numpy(zero_copy_only=False), sizes, place[place >= 0])  # now in the order of numbers
-    return at, n, good, None, size, pool
+    return at, n, good, size, pool
 
 
 def _documents(kind: pa.DataType):
@@ -288,29 +288,31 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_path: s
     spark, paths = docs.sparkSession, (byte_path or own.path(BYTES), piece_path or own.path(PIECES))
     small_batches(spark)
     with _set(spark):
-        blocks = written(in_blocks(docs, key, text), "unit-blocks")
+        blocks = written(in_blocks(docs, key, text), "unit-blocks", CODEC)
         of, rows = blocks.where("of IS NOT NULL").select("block", "key", "of"), blocks.where("unit <> ''").select(F.col("block").alias("in_block"), "n", "unit")
         tokens = encoded(rows.select("unit").distinct(), *paths)
-        tokens = written(tokens.select(F.monotonically_increasing_id().alias("u"), "*"), "unit-tokens")
+        tokens = written(tokens.select(F.monotonically_increasing_id().alias("u"), "*"), "unit-tokens", CODEC)
         width = tokenizers(*paths).b.get_piece_size()
         pair = lambda x: x.a * F.lit(width).cast("long") + x.b
         small = "int" if tokenizers(*paths).a.get_vocab_size() * width < 1 << 31 else "long"  # what a pair's number fits in
         made = aligned(tokens.where("a IS NOT NULL").select("u", "a", "b")).withColumn("links", F.transform("links", lambda x: pair(x).cast(small)))
-        known = written(tokens.select("u", "unit").join(made, "u", "left").withColumn("good", F.col("n_a").isNotNull()), "unit-groups")
+        known = written(tokens.select("u", "unit").join(made, "u", "left").withColumn("good", F.col("n_a").isNotNull()), "unit-groups", CODEC)
         _forget(tokens)
         dictionary = rows.join(known.select("unit", "good", F.array_distinct("links").alias("pairs")), "unit").drop("unit")
         found = of.select("block", "of").groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(_pairs_of_documents, "pair long, docs long")
-        counted = written(found.groupBy("pair").agg(F.sum("docs").alias("docs")), "pair-counts")
+        counted = written(found.groupBy("pair").agg(F.sum("docs").alias("docs")), "pair-counts", CODEC)
         a = F.floor(F.col("pair") / width)
         pairs = counted.withColumn("best", F.col("docs") == F.max("docs").over(Window.partitionBy(a)))
         # units' links meet the counts of their pairs
         links = known.select("u", F.explode("links").alias("pair"))
         met = links.join(pairs, "pair")  # a pair of many units: Spark splits its partition
         sums = met.groupBy("u").agg(F.sum("docs").alias("count_sum"), F.sum(F.col("best").cast("long")).alias("n_best"), F.count("*").alias("n_links"))
-        whole = written(known.select("u", "unit", "good", "n_a", "n_b", "n_groups", "groups").join(sums, "u", "left").drop("u"), "unit-sums")
+        whole = written(known.select("u", "unit", "good", "n_a", "n_b", "n_groups", "groups").join(sums, "u", "left").drop("u"), "unit-sums", CODEC)
         _forget(known)
         kind = docs.schema[key].dataType.simpleString()
-        dictionary = rows.join(whole, "unit").drop("unit")
+        # written before it is dealt by block, so that the shuffles by unit are gone by then
+        dictionary = written(rows.join(whole, "unit").drop("unit"), "unit-places", CODEC)
+        _forget(whole)
         sums_ = ", ".join(f"{x} long" for x in SUMS)
         documents = of.groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(_documents(kind), f"doc_id {kind}, {sums_}, groups string")
     return Alignment(documents, pairs.select(a.cast("int").alias("a"), F.pmod("pair", F.lit(width)).cast("int").alias("b"), "docs", "best"))
