@@ -83,7 +83,7 @@ def order_of(blocks: int, rank: int, seed: int) -> tuple[int, int]:
     """A seeded order of a source's blocks: block b is pick number (factor * b + shift) mod blocks."""
     drawn = int.from_bytes(hashlib.blake2b(f"{seed} {rank}".encode(), digest_size=16).digest(), "little")
     factor, shift = 1 + drawn % (1 << 20), (drawn >> 64) % max(1, blocks)
-    while math.gcd(factor, blocks) > 1:
+    while math.gcd(factor, max(1, blocks)) > 1:
         factor += 1
     return factor, shift
 
