@@ -7,6 +7,7 @@ normal form (case-folded, letters, digits, underscores and apostrophes only, non
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -16,16 +17,21 @@ SPACE = r"[\s\x1c-\x1f]"
 _PART = rf"(?U){SPACE}*[^\s\x1c-\x1f]+(?:{SPACE}+\z)?"
 
 
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x) with x evaluated once: an expression that is used twice is written out twice, and nested ones multiply."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 @cache
 def _folds() -> tuple[str, str, dict[str, str], str]:
     """Case folding by character: those that fold to one character, their folds, those that fold to more; and a
-    pattern of all characters for which lower case may not be the fold.
+    pattern of all characters but ß, which is frequent, for which lower case may not be the fold.
 
     Below U+0530 lower case is the fold, but for a few; beyond, whole ranges of scripts with case are suspected.
     """
     pairs = [(c, c.casefold()) for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and c.casefold() != c]
     one = [p for p in pairs if len(p[1]) == 1]
-    few = "".join(a for a, b in pairs if a < "\u0530" and (b != a.lower() or len(b) > 1)) + "\u03a3"
+    few = "".join(a for a, b in pairs if a < "\u0530" and a != "ß" and (b != a.lower() or len(b) > 1)) + "\u03a3"
     suspected = rf"[{few}\u0530-\u1fff\u2100-\u2fff\ua640-\uabff\ufb00-\ufb1f\uff00-\uffef\x{{10400}}-\x{{1efff}}]"
     return "".join(a for a, _ in one), "".join(b for _, b in one), {a: b for a, b in pairs if len(b) > 1}, suspected
 
@@ -33,8 +39,11 @@ def _folds() -> tuple[str, str, dict[str, str], str]:
 def casefold(x: Column) -> Column:
     source, target, longer, suspected = _folds()
     table = F.create_map(*(F.lit(v) for pair in longer.items() for v in pair))
-    spelled = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
-    return F.when(x.rlike(suspected), F.translate(spelled, source, target)).otherwise(F.lower(x))
+    each = F.translate(x, source, target)
+    spelled = F.array_join(F.transform(F.split(each, ""), lambda c: F.coalesce(F.element_at(table, c), c)), "")
+    rare = F.when(each.rlike(f"[{''.join(longer)}]"), spelled).otherwise(each)
+    ascii_only = F.octet_length(x) == F.length(x)
+    return F.when(ascii_only, F.lower(x)).when(x.rlike(suspected), rare).otherwise(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
 
 
 def strip(x: Column) -> Column:
@@ -99,9 +108,9 @@ def trim_prefix(x: Column, n: Column) -> Column:
     return F.when(n <= 0, x).when(n >= F.size(words(x)), F.when(x.isNotNull(), "")).otherwise(lstrip(F.array_join(F.slice(all_parts, cut + 1, F.size(all_parts)), "")))
 
 
-def boundary(x: Column, n: Column, prefix: bool) -> Column:
-    """The text of the first (or last) n tokens."""
-    total, all_parts = F.size(words(x)), parts(x)
+def boundary(x: Column, n: Column, prefix: bool, total: Column | None = None) -> Column:
+    """The text of the first (or last) n tokens. total: how many tokens it has, where that is known."""
+    total, all_parts = F.size(words(x)) if total is None else total, parts(x)
     k = F.least(n, total)
     if prefix:
         text = F.array_join(F.slice(all_parts, F.lit(1), _token_at(x, k - 1) + 1), "")
@@ -120,17 +129,19 @@ def bounded(x: Column, limit: int) -> Column:
 
 def compact(x: Column, limit: int) -> Column:
     """Squeezed; if still longer than limit, cut before the word that crosses it, with an ellipsis."""
-    text = squeeze(F.coalesce(x, F.lit("")))
-    head = F.substring(text, 1, limit - 1)
-    shorter = F.regexp_replace(F.regexp_replace(head, r" [^ ]*\z", ""), r"[ ,;:\-]+\z", "")
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.when(shorter == "", head).otherwise(shorter), F.lit("…")))
+    shorter = lambda head: F.regexp_replace(F.regexp_replace(head, r" [^ ]*\z", ""), r"[ ,;:\-]+\z", "")
+    cut = lambda head: F.concat(F.coalesce(F.nullif(shorter(head), F.lit("")), head), F.lit("…"))
+    return let(squeeze(F.coalesce(x, F.lit(""))), lambda t: F.when(F.length(t) <= limit, t).otherwise(let(F.substring(t, 1, limit - 1), cut)))
 
 
 def with_translation(transcript: Column, translation: Column, separator: str) -> Column:
     """A transcript, and its translation where that says something else."""
-    both = F.concat(transcript, F.lit(separator + "Translation: "), translation)
-    other = (translation != "") & (casefold(translation) != casefold(transcript))
-    return F.when(other, F.when(transcript != "", both).otherwise(translation)).otherwise(transcript)
+    def of(said: Column, meant: Column) -> Column:
+        both = F.concat(said, F.lit(separator + "Translation: "), meant)
+        other = (meant != "") & (casefold(meant) != casefold(said))
+        return F.when(other, F.when(said != "", both).otherwise(meant)).otherwise(said)
+
+    return let(F.struct(transcript.alias("said"), translation.alias("meant")), lambda t: of(t["said"], t["meant"]))
 
 
 def audio_text(audio: Column) -> Column:

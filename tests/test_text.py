@@ -43,6 +43,20 @@ def test_casefold_strip_squeeze(texts):
     assert got(texts, T.squeeze(F.col("t"))) == [None if t is None else " ".join(t.split()) for t in TEXTS]
 
 
+def test_casefold_of_all_characters(spark):
+    """Each alone and beside ß, which is folded apart."""
+    every = [chr(i) for i in range(1, 0x1F000) if not 0xD800 <= i <= 0xDFFF and chr(i).casefold() != chr(i)]
+    rows = [(i, t) for i, t in enumerate(every + [f"{c}ßA" for c in every])]
+    df = spark.createDataFrame(rows, "i int, t string")
+    assert got(df, T.casefold(F.col("t"))) == [t.casefold() for _, t in rows]
+
+
+def test_few_eszetts_cost_no_table(spark):
+    """A text with ß isn't spelled by characters."""
+    df = spark.createDataFrame([("Straße",)], "t string")
+    assert not df.where(F.col("t").rlike(T._folds()[3])).count() and df.select(T.casefold(F.col("t"))).first()[0] == "strasse"
+
+
 def test_ends_sentence(texts):
     flags = dict(zip(TEXTS, got(texts, T.ends_sentence(F.col("t")))))
     assert flags['He said "stop."'] and flags["wait?) "] and flags["..."] and not flags["no end"] and not flags[""]
