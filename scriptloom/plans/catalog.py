@@ -307,7 +307,7 @@ def exact_seam(spark, d):
 @query(f"""WITH {WINDOWS_SQL} SELECT doc_id, idx::INTEGER AS index, overlap::BIGINT AS overlap, CASE WHEN overlap > 0 THEN 'current' END AS keeper FROM seam""")
 def seam_winner(spark, d):
     p = window_pairs(spark, d).withColumn("overlap", seams.exact_overlap(F.col("previous"), F.col("words")))
-    keeper = seams.keeper_column(F.array_join("previous", " "), F.array_join("words", " "), F.col("overlap"), F.col("overlap"))
+    keeper = seams.keeper_column(F.array_join("previous", " "), F.array_join("words", " "), F.col("overlap"), F.col("overlap"), F.col("previous"), F.col("words"))
     return p.select("doc_id", "index", F.col("overlap").cast("long"), keeper.alias("keeper"))
 
 
