@@ -169,3 +169,8 @@ def joined(values: Column, separator: str = ", ") -> Column:
 def user_context(x: Column) -> Column:
     return F.nullif(squeeze(x), F.lit(""))
 
+
+def labelled(values: dict[str, Column]) -> Column:
+    """A line for each value that isn't null or empty, behind its label."""
+    line = lambda label, v: let(v, lambda x: F.when(x != "", F.concat(F.lit(label), x)))
+    return F.concat_ws("\n", *(line(label, v) for label, v in values.items()))

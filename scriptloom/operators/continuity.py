@@ -21,8 +21,8 @@ LABELS = {
 def first_of_each(items: Column, most: int) -> Column:
     """The first spelling of each item (compared case-folded), in order, at most `most`."""
     made = F.filter(F.transform(items, lambda i: T.compact(i, ITEM)), lambda i: i != "")
-    keys = F.transform(made, lambda i: T.casefold(i))
-    return F.slice(F.filter(made, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1), 1, most)
+    first = lambda them, keys: F.filter(them, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    return F.slice(T.let(made, lambda them: T.let(F.transform(them, lambda i: T.casefold(i)), lambda keys: first(them, keys))), 1, most)
 
 
 def with_continuity(chunks: DataFrame, by: str = "media_id", order: str = "index") -> DataFrame:
@@ -43,8 +43,7 @@ def with_continuity(chunks: DataFrame, by: str = "media_id", order: str = "index
         "action": F.when(F.size("_shots") > 0, T.compact(action, ACTION)), "objects": F.array_join(first_of_each(F.col("_objects"), ITEMS), "; "),
         "setting": T.compact(F.col("_setting"), SETTING),
     }
-    sections = [F.when(v != "", F.concat(F.lit(LABELS[k]), v)) for k, v in values.items()]
-    record = F.when(F.col("_nth") == 1, "").otherwise(T.compact(F.concat_ws("\n", *sections), LIMIT))
+    record = F.when(F.col("_nth") == 1, "").otherwise(T.compact(T.labelled({LABELS[k]: v for k, v in values.items()}), LIMIT))
     return df.withColumn("continuity", record).drop("_said", "_opening", "_recent", "_summary", "_shots", "_setting", "_objects", "_nth")
 
 

@@ -38,4 +38,4 @@ def visual_prompt(seconds: float, frames: int | None = None, *, transcript: str
 def grounding(user_context: Column, transcript: Column, continuity: Column) -> Column:
     """The grounding lines of a visual prompt as an expression; empty if there are none."""
     values = (T.compact(user_context, CONTEXT), T.compact(transcript, SPEECH), T.compact(continuity, EARLIER))
-    return F.concat_ws("\n", *(F.when(v != "", F.concat(F.lit(label), v)) for label, v in zip(GROUNDING, values)))
+    return T.labelled(dict(zip(GROUNDING, values)))

@@ -43,6 +43,18 @@ def test_casefold_strip_squeeze(texts):
     assert got(texts, T.squeeze(F.col("t"))) == [None if t is None else " ".join(t.split()) for t in TEXTS]
 
 
+def test_nested_texts_are_found_once(texts):
+    """compact() of compact() writes its text out once a level; lines behind labels find their values once."""
+    written = lambda c: str(texts.select(c)._jdf.queryExecution().optimizedPlan()).count("regexp_replace(")
+    once, twice = T.compact(F.col("t"), 12), T.compact(T.compact(F.col("t"), 12), 5)
+    assert written(twice) == 2 * written(once) and written(T.labelled({"a: ": once})) == written(once)
+    assert got(texts, twice) == [P.compact(P.compact(t, 12), 5) for t in TEXTS]
+    assert got(texts, T.labelled({"a: ": once, "b: ": F.col("t")})) == ["\n".join(f"{k}: {v}" for k, v in (("a", P.compact(t, 12)), ("b", t)) if v) for t in TEXTS]
+    both = T.with_translation(F.col("t"), once, " / ")
+    assert written(both) == written(once)
+    assert got(texts, both) == [t and P.with_translation(t, P.compact(t, 12), " / ") for t in TEXTS]
+
+
 def test_casefold_of_all_characters(spark):
     """Each alone and beside ß, which is folded apart."""
     every = [chr(i) for i in range(1, 0x1F000) if not 0xD800 <= i <= 0xDFFF and chr(i).casefold() != chr(i)]
