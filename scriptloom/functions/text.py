@@ -13,8 +13,13 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACE = r"[\s\x1c-\x1f]"
+#: A pattern's cheap class before && spares most characters the costly one behind it.
+SPACE = r"[[^!-~]&&[\s\x1c-\x1f]]"
 _PART = rf"(?U){SPACE}*[^\s\x1c-\x1f]+(?:{SPACE}+\z)?"
+#: White space other than spaces; signs at words' ends, once all white space is spaces; what words lack.
+_ODD_SPACE = r"(?U)[[^ -~]&&[\s\x1c-\x1f]]"
+_EDGES = r"(?<![^ ])[_']+|(?<![_'])[_']++(?![^ ])"
+_OTHER = r"(?U)[[^a-z]&&[^\p{L}\p{N}_'\s\x1c-\x1f]]+"
 
 
 def let(x: Column, body: Callable[[Column], Column]) -> Column:
@@ -32,7 +37,7 @@ def _folds() -> tuple[str, str, dict[str, str], str]:
     pairs = [(c, c.casefold()) for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff" and c.casefold() != c]
     one = [p for p in pairs if len(p[1]) == 1]
     few = "".join(a for a, b in pairs if a < "\u0530" and a != "ß" and (b != a.lower() or len(b) > 1)) + "\u03a3"
-    suspected = rf"[{few}\u0530-\u1fff\u2100-\u2fff\ua640-\uabff\ufb00-\ufb1f\uff00-\uffef\x{{10400}}-\x{{1efff}}]"
+    suspected = rf"[\xb5\xc0-\x{{10ffff}}&&[{few}\u0530-\u1fff\u2100-\u2fff\ua640-\uabff\ufb00-\ufb1f\uff00-\uffef\x{{10400}}-\x{{1efff}}]]"
     return "".join(a for a, _ in one), "".join(b for _, b in one), {a: b for a, b in pairs if len(b) > 1}, suspected
 
 
@@ -77,10 +82,12 @@ def normal_parts(x: Column) -> Column:
 
 
 def words(x: Column) -> Column:
-    """The normal forms of the tokens; none for null. The text is normalized as a whole and then split."""
-    plain = F.regexp_replace(casefold(x), r"(?U)[^\p{L}\p{N}_'\s\x1c-\x1f]+", "")
-    bare = F.transform(F.split(plain, rf"(?U){SPACE}+"), lambda w: F.btrim(w, F.lit("_'")))
-    return F.coalesce(F.filter(bare, lambda w: w != ""), F.array().cast("array<string>"))
+    """The normal forms of the tokens; none for null. The text is normalized as a whole and then split at spaces; no
+    expression is evaluated a word."""
+    spaced = lambda t: F.when(t.rlike(_ODD_SPACE), F.regexp_replace(t, _ODD_SPACE, " ")).otherwise(t)
+    bare = lambda t: F.when(t.contains("'") | t.contains("_"), F.regexp_replace(t, _EDGES, "")).otherwise(t)
+    plain = let(let(F.regexp_replace(casefold(x), _OTHER, ""), spaced), bare)
+    return F.coalesce(F.array_remove(F.split(plain, " "), ""), F.array().cast("array<string>"))
 
 
 def equivalent(left: Column, right: Column) -> Column:
@@ -96,10 +103,12 @@ def _token_at(x: Column, number: Column) -> Column:
 def trim_suffix(x: Column, n: Column, total: Column | None = None) -> Column:
     """Without its last n tokens and what follows them. total: how many tokens it has, where that is known."""
     total = F.size(words(x)) if total is None else total
-    pieces = parts(x)
+    # one space fewer than tokens, and no other white space: tokens with single spaces between
+    single = (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) == total - 1) & ~x.rlike(_ODD_SPACE)
     # where every part is a token, the parts need not be looked at
-    cut = F.when(F.size(pieces) == total, total - n).otherwise(_token_at(x, total - n))
-    return F.when(n <= 0, x).when(n >= total, F.when(x.isNotNull(), "")).otherwise(rstrip(F.array_join(F.slice(pieces, F.lit(1), cut), "")))
+    cut = lambda pieces: F.when(F.size(pieces) == total, total - n).otherwise(_token_at(x, total - n))
+    some = let(parts(x), lambda pieces: rstrip(F.array_join(F.slice(pieces, F.lit(1), cut(pieces)), "")))
+    return F.when(n <= 0, x).when(n >= total, F.when(x.isNotNull(), "")).when(single, F.call_function("substring_index", x, F.lit(" "), total - n)).otherwise(some)
 
 
 def trim_prefix(x: Column, n: Column) -> Column:

@@ -83,3 +83,19 @@ def test_timestamp(spark):
 def test_clean_time(spark):
     df = spark.createDataFrame([(0, "1.5"), (1, "x"), (2, None), (3, "NaN"), (4, "-Infinity"), (5, "-2")], "i int, s string")
     assert got(df, N.clean_time(F.col("s"), F.lit(4.0))) == [1.5, 4.0, 4.0, 4.0, 4.0, 0.0]
+
+
+def _holders(df, name):
+    """The plan's lines that name an expression."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if name in x]
+
+
+def test_words_and_suffixes_of_odd_texts_without_work_for_each_word(spark):
+    odd = ["a  b", "a\u00a0b c", " a b", "a b ", "x_ 'y' z", "__ '' _", "a'_'b _'c", "\u2003a\u3000b", "a - b c", "- a b", "a b -", "d\u0345e f", "É\u00b5ß ü", None]
+    df = spark.createDataFrame(list(enumerate(odd)), "i int, t string")
+    assert got(df, T.words(F.col("t"))) == [P.words(t) for t in odd]
+    for n in (1, 2, 3):
+        k = F.size(T.words(F.col("t")))
+        assert got(df, T.trim_suffix(F.col("t"), F.lit(n), k)) == [None if t is None else P.drop_last(t, n) for t in odd]
+    # the many texts that need no letter-wise fold get by without a function called for each of their words
+    assert not _holders(spark.createDataFrame([], "t string").select(T.words(F.col("t"))), "filter(")
