@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import units
-from .base import _remove, released, small_batches, table, together, walked, written
+from .base import _remove, hand_back, released, small_batches, table, together, walked, written
 
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of texts in a block, and of those split at once; (document, pair) numbers sorted at once; the tables' codec.
@@ -199,6 +199,19 @@ def aligned(tokens: DataFrame) -> DataFrame:
     return each.select("u", "n_a", "n_b", "n_groups", F.array_join(F.slice(pairs, F.lit(1), F.col("n_groups").cast("int")), ";").alias("groups"), F.col("ends.link").alias("links"))
 
 
+def _lean(run):
+    """A function of a block's documents and units in a worker that lets go of the tokenizers, and of its own memory when it ends."""
+
+    def go(docs: pa.Table, rows: pa.Table) -> pa.Table:
+        tokenizers.cache_clear()
+        hand_back()
+        out = run(docs, rows)
+        hand_back()
+        return out
+
+    return go
+
+
 def _pairs_of_documents(docs: pa.Table, rows: pa.Table) -> pa.Table:
     """In how many documents of a block each pair is linked."""
     at, n, good, size, pool = _block(docs, rows, "pairs")
@@ -226,7 +239,6 @@ def _block(docs: pa.Table, rows: pa.Table, column: str):
     of = docs["of"].combine_chunks()
     at = of.flatten().to_numpy(zero_copy_only=False)
     n = np.diff(of.offsets.to_numpy()).astype(np.int64)
-    rows = rows.combine_chunks()
     number = rows["n"].combine_chunks().to_numpy(zero_copy_only=False)
     count = int(max(number.max(initial=-1), at.max(initial=-1))) + 1
     place = np.full(count, -1, np.int64)
@@ -251,7 +263,6 @@ def _documents(kind: pa.DataType):
         at = of.flatten().to_numpy(zero_copy_only=False)
         ends = of.offsets.to_numpy().astype(np.int64)
         ends = ends - ends[0]
-        rows = rows.combine_chunks()
         number = rows["n"].combine_chunks().to_numpy(zero_copy_only=False)
         count = int(max(number.max(initial=-1), at.max(initial=-1))) + 1
         bad = np.zeros(count, bool)
@@ -263,12 +274,17 @@ def _documents(kind: pa.DataType):
             x = np.zeros(count, np.int64)
             x[number] = rows[name].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
             out[name] = pa.array(np.where(good, add(x), 0))
-        words = np.full(count, None, object)
-        words[number] = rows["groups"].combine_chunks().to_numpy(zero_copy_only=False)
-        parts = words[at]
-        there = parts != np.array(None)
-        each = list(zip(ends[:-1].tolist(), ends[1:].tolist(), good.tolist()))
-        lines = [pa.array([";".join(parts[i:j][there[i:j]]) if g else "" for i, j, g in each[k : k + 200]], pa.string()) for k in range(0, len(each), 200)]
+        # units' strings stay in Arrow, and are joined for a few documents at a time
+        place, groups = np.full(count, -1, np.int32), rows["groups"].combine_chunks()
+        place[number] = np.where(groups.is_null().to_numpy(zero_copy_only=False), -1, np.arange(len(number)))
+
+        def joined(first: int, last: int) -> pa.Array:
+            units = place[at[ends[first] : ends[last]]]
+            told = (units >= 0) & np.repeat(good[first:last], np.diff(ends[first : last + 1]))
+            upto = np.concatenate([[0], np.cumsum(told)])[ends[first : last + 1] - ends[first]]
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), groups.take(pa.array(units[told]))), ";")
+
+        lines = [joined(k, min(k + 200, len(good))) for k in range(0, len(good), 200)]
         out["groups"] = pa.chunked_array(lines, pa.string())
         return pa.table(out)
 
@@ -299,7 +315,7 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_path: s
         known = written(tokens.select("u", "unit").join(made, "u", "left").withColumn("good", F.col("n_a").isNotNull()), "unit-groups", CODEC)
         _forget(tokens)
         dictionary = rows.join(known.select("unit", "good", F.array_distinct("links").alias("pairs")), "unit").drop("unit")
-        found = of.select("block", "of").groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(_pairs_of_documents, "pair long, docs long")
+        found = of.select("block", "of").groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(_lean(_pairs_of_documents), "pair long, docs long")
         counted = written(found.groupBy("pair").agg(F.sum("docs").alias("docs")), "pair-counts", CODEC)
         a = F.floor(F.col("pair") / width)
         pairs = counted.withColumn("best", F.col("docs") == F.max("docs").over(Window.partitionBy(a)))
@@ -314,7 +330,7 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", byte_path: s
         dictionary = written(rows.join(whole, "unit").drop("unit"), "unit-places", CODEC)
         _forget(whole)
         sums_ = ", ".join(f"{x} long" for x in SUMS)
-        documents = of.groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(_documents(kind), f"doc_id {kind}, {sums_}, groups string")
+        documents = of.groupBy("block").cogroup(dictionary.groupBy("in_block")).applyInArrow(_lean(_documents(kind)), f"doc_id {kind}, {sums_}, groups string")
     return Alignment(documents, pairs.select(a.cast("int").alias("a"), F.pmod("pair", F.lit(width)).cast("int").alias("b"), "docs", "best"))
 
 

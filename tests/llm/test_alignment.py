@@ -229,3 +229,12 @@ def test_digests(spark):
     got = {r[0]: r[1] for r in d.select("doc_id", F.sha2(F.col("groups").cast("binary"), 256)).collect()}
     want, *_ = plain_alignment(list(texts.items()))
     assert got == {w[0]: hashlib.sha256(w[-1].encode()).hexdigest() for w in want}
+
+
+def test_blocks_are_met_without_tokenizers_and_strings_of_python():
+    cross_tokens.tokenizers(public_tokenizers.path(cross_tokens.BYTES), public_tokenizers.path(cross_tokens.PIECES))
+    docs = pa.table({"block": [0] * 4, "key": [1, 2, 3, 4], "of": pa.array([[0, 1, 0], [], [1, 2], [3]], pa.list_(pa.int32()))})
+    units = pa.table({"n": pa.array([1, 0, 2], pa.int32()), "good": [True, True, False], "groups": ["3|4;5|6", "1|2", None], **{x: [1, 2, None] for x in cross_tokens.SUMS}})
+    out = cross_tokens._lean(cross_tokens._documents(pa.int64()))(docs, units)
+    assert out["groups"].to_pylist() == ["1|2;3|4;5|6;1|2", "", "", ""] and out["n_links"].to_pylist() == [5, 0, 0, 0]
+    assert cross_tokens.tokenizers.cache_info().currsize == 0
