@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import zlib
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,30 +46,48 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Speller(dict):
-    """Words (bytes) to their subword ids as little-endian 16-bit integers, each spelled once."""
+    """Words (bytes) to their subword ids as little-endian 16-bit integers, each spelled once as long as it is kept; the
+    new ones of many texts are spelled in one call."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = 300_000):
         import tiktoken
 
+        self.kept = kept
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        code = tiktoken.Encoding("subwords", pat_str=r"(?s).+", mergeable_ranks={k: v for k, v in ranks.items() if v < END}, special_tokens={})
-        self._piece = code._core_bpe.encode_single_piece
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self[word] = array("H", self._piece(b" " + word)).tobytes()
-        return ids
+        # no word holds a line feed, so it stands between words
+        self._code = tiktoken.Encoding("subwords", pat_str=r"\n|[^\n]+", mergeable_ranks={k: v for k, v in ranks.items() if v < END}, special_tokens={})
+        (self._between,) = self._code.encode("\n")
+
+    def _spelled(self, words: list[bytes]) -> list[bytes]:
+        try:
+            ids = self._code.encode_to_numpy((b" " + b"\n ".join(words) + b"\n").decode())
+        except UnicodeDecodeError:  # some word isn't UTF-8
+            return [array("H", self._code._core_bpe.encode_single_piece(b" " + w)).tobytes() for w in words]
+        raw, ends = ids.astype("<u2").tobytes(), (2 * np.flatnonzero(ids == self._between)).tolist()
+        return [raw[a:b] for a, b in zip([0, *(e + 2 for e in ends)], ends)]
 
     def spell(self, words: "Words") -> list[np.ndarray]:
         """The subwords of each text."""
-        if len(self) > 200_000:
+        if len(self) > self.kept:
             self.clear()
-        kinds = [*map(self.__getitem__, words.kinds[:-1]), np.array([END], "<u2").tobytes()]
+        kinds = list(map(self.get, words.kinds))
+        kinds[-1] = np.array([END], "<u2").tobytes()
+        if new := [i for i, ids in enumerate(kinds) if ids is None]:
+            named = [words.kinds[i] for i in new]
+            for i, w, ids in zip(new, named, self._spelled(named)):
+                kinds[i] = self[w] = ids
         size = np.fromiter(map(len, kinds), np.int32, len(kinds)) // 2
         flat = walked(np.frombuffer(b"".join(kinds), "<u2"), size, words.kind)
         return np.split(flat, np.cumsum(size[words.kind], dtype=np.int64)[words.ends - 1][:-1]) if len(words.ends) else []
 
 
+@lru_cache(1)
+def speller(path: str) -> Speller:
+    """One for each worker, whose next task goes on with the words it knows."""
+    return Speller(path)
+
+
 class Words:
     """The words of texts, each text followed by the end: distinct ones (kinds, the end last, as b""), the number of each
     word among them (kind), and where each text ends (ends)."""
@@ -182,139 +201,138 @@ def fresh_weights(seed: int = 7) -> dict[str, np.ndarray]:
 def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials and their sums over the last axis. Logits are small as a rule; only where they overflow or vanish
     is the maximum taken out first."""
-    ones = np.ones((x.shape[-1], 1), x.dtype)
-    with np.errstate(over="ignore"):
+    sums = lambda e: (e.reshape(-1, e.shape[-1]) @ np.ones(e.shape[-1], e.dtype)).reshape(*e.shape[:-1], 1)
+    with np.errstate(over="ignore", invalid="ignore"):
         e = np.exp(x)
-        total = e @ ones
-    if not (np.isfinite(total) & (total > 1e-30)).all():
+        total = sums(e)
+    if total.size and not (total.min() > 1e-30 and total.max() < np.inf):
         np.exp(x - x.max(axis=-1, keepdims=True), out=e)
-        total = e @ ones
+        total = sums(e)
     return e, total
 
 
-def forward(w: dict, table: tuple, inputs: np.ndarray, wanted: np.ndarray):
-    """Natural log probability of each wanted token (0 where there is none), and what the gradient needs."""
-    n = len(inputs)
-    x = w["token"][inputs] + w["place"]
-    last = np.ascontiguousarray(x[:, CONTEXT - STRIDE :])
-    q = (last.reshape(-1, WIDTH) @ (w["q"] * np.float32(WIDTH**-0.5))).reshape(n, STRIDE, WIDTH)
-    kv = (x.reshape(-1, WIDTH) @ np.concatenate([w["k"], w["v"]], axis=1)).reshape(n, CONTEXT, 2 * WIDTH)
-    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-    a = q @ k.transpose(0, 2, 1)
+def fold(w: dict) -> tuple:
+    """What a forward pass multiplies. Queries meet keys by one matrix, x (q k') x', and a mean of values leaves by one,
+    (a x) (v out), so neither keys nor values are made for each place."""
+    both = (w["q"] * np.float32(WIDTH**-0.5)) @ w["k"].T
+    return w["token"], w["place"], both, w["v"] @ w["out"], *(np.ascontiguousarray(w["choice"][:, a:b]) for a, b in zip(EDGES, EDGES[1:]))
+
+
+def _attended(f: tuple, table: tuple, inputs: np.ndarray, wanted: np.ndarray) -> tuple:
+    """One forward pass: what attention saw and gave, and for each step its exponentials, their sums, and where in them
+    the wanted choice stands."""
+    token, place, both, leave, *choice = f
+    x = token.take(inputs, axis=0)
+    x += place
+    last = x[:, CONTEXT - STRIDE :].reshape(-1, WIDTH)
+    across = np.ascontiguousarray(x.transpose(0, 2, 1))
+    q = (last @ both).reshape(-1, STRIDE, WIDTH)
+    a = q @ across
     a += MASK
     a, total = _softmax(a)
     a /= total
-    c = a @ v
-    h = last.reshape(-1, WIDTH) + c.reshape(-1, WIDTH) @ w["out"]
-    score, more = _scores(h @ w["choice"], table, inputs, wanted)
-    return score, (x, last, q, k, v, a, c, h, *more)
+    c = (a @ x).reshape(-1, WIDTH)
+    h = c @ leave
+    h += last
+    before, t = inputs[:, CONTEXT - STRIDE :].ravel(), table[3].take(wanted.ravel())
+    real = t < VOCAB
+    t = t * real
+    steps, n = [], np.arange(len(t))
+    for part, of, row, pick in zip(choice, table, (before, before * 16 + (t >> 7), before * 256 + (t >> 3)), (t >> 7, t >> 3 & 15, t & 7)):
+        logits = h @ part
+        logits += of.take(row, axis=0)
+        steps.append((*_softmax(logits), n * part.shape[1] + pick))
+    return x, across, last, q, a, c, h, real, steps
 
 
-def fold(w: dict) -> tuple:
-    """What attention multiplies, for each token and each place in the context: keys, values as logits, queries, and
-    the tokens' own logits."""
-    token, place, recent = w["token"], w["place"], w["place"][CONTEXT - STRIDE :]
-    q, value = w["q"] * np.float32(WIDTH**-0.5), w["v"] @ w["out"]
-    own = np.concatenate([q, np.eye(WIDTH, dtype=np.float32)], axis=1)
-    return token @ w["k"], place @ w["k"], token @ value, place @ value, token @ own, recent @ own, w["choice"]
+def _chances(real: np.ndarray, steps: list) -> np.ndarray:
+    p = [np.log(np.maximum(e.reshape(-1).take(at), 1e-37) / total[:, 0]) for e, total, at in steps]
+    return np.where(real, sum(p), 0)
 
 
-def folded(f: tuple, table: tuple, inputs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The scores of forward(), from fold()."""
-    keys, key_place, values, value_place, own, own_place, choice = f
-    k, v = keys.take(inputs, axis=0), values.take(inputs, axis=0)
-    k += key_place
-    v += value_place
-    q = own.take(inputs[:, CONTEXT - STRIDE :], axis=0)
-    q += own_place
-    a = q[:, :, :WIDTH] @ k.transpose(0, 2, 1)
-    a += MASK
-    a, total = _softmax(a)
-    h = a @ v
-    h /= total
-    h += q[:, :, WIDTH:]
-    return _scores(h.reshape(-1, WIDTH) @ choice, table, inputs, wanted)[0]
+def forward(w: dict, table: tuple, inputs: np.ndarray, wanted: np.ndarray):
+    """Natural log probability of each wanted token (0 where there is none), and what the gradient needs."""
+    kept = _attended(fold(w), table, inputs, wanted)
+    return _chances(*kept[-2:]), kept
 
 
-def _scores(logits: np.ndarray, table: tuple, inputs: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, tuple]:
-    before, t = inputs[:, CONTEXT - STRIDE :].ravel(), table[3].take(wanted.ravel())
-    real = t < VOCAB
-    t = t * real
-    picks = (t >> 7, t >> 3 & 15, t & 7)
-    for i, j, of, row in zip(EDGES, EDGES[1:], table, (before, before * 16 + picks[0], before * 256 + (t >> 3))):
-        logits[:, i:j] += of.take(row, axis=0)
-    rows = np.arange(0, EDGES[-1] * len(t), EDGES[-1])
-    at = [rows + i + p for i, p in zip(EDGES, picks)]
-    chance, total = _choices(logits)
-    score = sum(np.log(np.maximum(chance.reshape(-1).take(i), 1e-37) / total[:, s]) for s, i in enumerate(at))
-    return np.where(real, score, 0), (at, real, chance, total)
-
-
-def _choices(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As _softmax, for each step's part of the logits."""
-    with np.errstate(over="ignore"):
-        e = np.exp(logits)
-        total = e @ OF_STEP
-    if not (np.isfinite(total) & (total > 1e-30)).all():
-        for a, b in zip(EDGES, EDGES[1:]):
-            e[:, a:b] = np.exp(logits[:, a:b] - logits[:, a:b].max(axis=1, keepdims=True))
-        total = e @ OF_STEP
-    return e, total
+def folded(f: tuple, table: tuple, inputs: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The scores of forward(), from fold()."""
+    return _chances(*_attended(f, table, inputs, wanted)[-2:])
 
 
-def gradient(w: dict, inputs: np.ndarray, kept: tuple) -> dict[str, np.ndarray]:
-    """Of the mean negative log probability."""
-    x, last, q, k, v, a, c, h, at, real, chance, total = kept
+def gradient(w: dict, f: tuple, inputs: np.ndarray, kept: tuple) -> dict[str, np.ndarray]:
+    """Of the mean negative log probability; f: fold(w), which `kept` comes from."""
+    x, across, last, q, a, c, h, real, steps = kept
     n, scale = len(inputs), np.float32(1 / max(1, real.sum()))
-    d = chance / (total @ OF_STEP.T)
-    for i in at:
-        d.reshape(-1)[i] -= 1
-    d *= (real * scale)[:, None]
-    dh = d @ w["choice"].T
-    flat = lambda y: y.reshape(-1, y.shape[-1])
-    out = {"choice": h.T @ d, "out": flat(c).T @ dh}
-    dc = (dh @ w["out"].T).reshape(n, STRIDE, WIDTH)
-    ds = dc @ v.transpose(0, 2, 1)
-    ds -= (dc.reshape(-1, WIDTH) * c.reshape(-1, WIDTH)).sum(axis=1).reshape(n, STRIDE, 1)  # the mean of ds under a
+    _, _, both, leave, *choice = f
+    each, dh, of_choice = real * scale, None, []
+    for (d, sums, at), part in zip(steps, choice):
+        d *= each[:, None] / sums
+        d.reshape(-1)[at] -= each
+        dh = d @ part.T if dh is None else np.add(dh, d @ part.T, out=dh)
+        of_choice.append(h.T @ d)
+    of_leave, dc = c.T @ dh, dh @ leave.T
+    ds = dc.reshape(n, STRIDE, WIDTH) @ across
+    ds -= np.einsum("ij,ij->i", dc, c).reshape(n, STRIDE, 1)  # the mean of ds under the attention
     ds *= a
-    dq, dkv = ds @ k, np.empty((n, CONTEXT, 2 * WIDTH), np.float32)
-    np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
-    np.matmul(a.transpose(0, 2, 1), dc, out=dkv[:, :, WIDTH:])
-    s = np.float32(WIDTH**-0.5)
-    both = flat(x).T @ flat(dkv)
-    out |= {"q": flat(last).T @ flat(dq) * s, "k": both[:, :WIDTH], "v": both[:, WIDTH:]}
-    dx = (flat(dkv) @ np.concatenate([w["k"], w["v"]], axis=1).T).reshape(n, CONTEXT, WIDTH)
-    dx[:, CONTEXT - STRIDE :] += (dh + flat(dq) @ (w["q"].T * s)).reshape(n, STRIDE, WIDTH)
-    out["place"] = dx.sum(axis=0)
+    dq = (ds @ x).reshape(-1, WIDTH)
+    dx = a.transpose(0, 2, 1) @ dc.reshape(n, STRIDE, WIDTH)
+    dx += ds.transpose(0, 2, 1) @ q
+    of_both = last.T @ dq * np.float32(WIDTH**-0.5)
+    dh += dq @ both.T
+    dx[:, CONTEXT - STRIDE :] += dh.reshape(n, STRIDE, WIDTH)
+    return {
+        "token": _summed(inputs, dx.reshape(-1, WIDTH)), "place": dx.sum(axis=0), "q": of_both @ w["k"], "k": of_both.T @ w["q"], "v": of_leave @ w["out"].T,
+        "out": w["v"].T @ of_leave, "choice": np.concatenate(of_choice, axis=1),
+    }
+
+
+def _summed(inputs: np.ndarray, dx: np.ndarray) -> np.ndarray:
+    """The sum of each subword's rows."""
+    flat = inputs.astype(np.uint16).ravel()  # 16-bit numbers are sorted by their digits
+    times = np.bincount(flat)
+    ids = np.flatnonzero(times)
+    rows = dx.take(np.argsort(flat, kind="stable"), axis=0).view(np.complex64)  # two columns are added at once
     token = np.zeros(SHAPES["token"], np.float32)
-    flat_ids = inputs.astype(np.uint16).ravel()  # 16-bit numbers are sorted by their digits
-    order = np.argsort(flat_ids, kind="stable")
-    ids = flat_ids[order]
-    edge = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    token[ids[edge]] = np.add.reduceat(flat(dx)[order], edge, axis=0)
-    return out | {"token": token}
+    token[ids] = np.add.reduceat(rows, np.cumsum(times[ids]) - times[ids], axis=0).view(np.float32)
+    return token
 
 
 def train(w: dict, table: tuple, inputs: np.ndarray, wanted: np.ndarray, rate: float, batch: int = 128) -> dict[str, np.ndarray]:
     """One pass of Adam over the windows in their order."""
-    w = {k: v.copy() for k, v in w.items()}
-    first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    flat = np.concatenate([w[k].ravel() for k in SHAPES])  # one array, so that a step takes few calls
+    edges = np.cumsum([0, *(w[k].size for k in SHAPES)])
+    w = {k: flat[a:b].reshape(s) for (k, s), a, b in zip(SHAPES.items(), edges, edges[1:])}
+    first, second, move, size = (np.zeros_like(flat) for _ in range(4))
     for step, i in enumerate(range(0, len(inputs), batch), 1):
-        _, kept = forward(w, table, inputs[i : i + batch], wanted[i : i + batch])
-        for k, d in gradient(w, inputs[i : i + batch], kept).items():
-            first[k] += 0.1 * (d - first[k])
-            second[k] += 0.01 * (d * d - second[k])
-            w[k] -= np.float32(rate) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + np.float32(1e-6))
+        part, f = inputs[i : i + batch], fold(w)
+        d = gradient(w, f, part, _attended(f, table, part, wanted[i : i + batch]))
+        g = np.concatenate([d[k].ravel() for k in SHAPES])
+        np.subtract(g, first, out=move)
+        move *= 0.1
+        first += move
+        g *= g
+        g -= second
+        g *= 0.01
+        second += g
+        np.multiply(second, 1 / (1 - 0.99**step), out=size)
+        np.sqrt(size, out=size)
+        size += 1e-6
+        np.divide(first, size, out=move)
+        move *= rate / (1 - 0.9**step)
+        flat -= move
     return w
 
 
-def score(w: dict, table: tuple, docs: list[np.ndarray], at_once: int = 512) -> np.ndarray:
+def score(w: dict, table: tuple, docs: list[np.ndarray], at_once: int = 192) -> np.ndarray:
     """log10 probability of each document, every token scored once."""
     inputs, wanted, owner, _ = windows(docs)
     total, f = np.zeros(len(docs)), fold(w)
     for i in range(0, len(inputs), at_once):
-        s = folded(f, table, inputs[i : i + at_once], wanted[i : i + at_once])
-        total += np.bincount(owner[i : i + at_once], s.reshape(-1, STRIDE).sum(axis=1, dtype=np.float64), len(docs))
+        # kept until the next is there: its memory would go back to the system each time
+        kept = _attended(f, table, inputs[i : i + at_once], wanted[i : i + at_once])
+        total += np.bincount(owner[i : i + at_once], _chances(*kept[-2:]).reshape(-1, STRIDE).sum(axis=1, dtype=np.float64), len(docs))
     return total / np.log(10)
 
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -35,10 +34,10 @@ from .base import released, small_batches, table, together, written
 FOLDS, HELD_OUT = 5, 1
 ROUNDS, RATE = 2, 0.02
 #: Texts are read together up to this many bytes.
-TOGETHER = 1 << 20
+TOGETHER = 4 << 20
 HEAD = 300_000
-#: Distinct words that a worker counts before it hands them on.
-COUNTED = 300_000
+#: Words and windows that a worker hands on at once.
+COUNTED, PACKED = 20_000, 30_000
 
 
 def held_out(key: str):
@@ -55,37 +54,26 @@ def gather(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["kind", "word", "n", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller, count, pairs, seen = lm.Speller(path), Counter(), lm.Bigrams(), 0
+        pairs, seen = lm.Bigrams(), 0
         for batch in together(batches, TOGETHER):
             words = lm.Words(batch.column(0))
-            count.update(dict(zip(words.kinds, np.bincount(words.kind, minlength=len(words.kinds)).tolist())))
-            if not count[b""]:
-                continue
-            ids = speller.spell(words)
+            times = np.bincount(words.kind, minlength=len(words.kinds))
+            for i in range(0, len(times), COUNTED):  # Spark adds the batches' counts up
+                part = times[i : i + COUNTED]
+                yield row(0, words.kinds[i : i + COUNTED], part, [None] * len(part))
+            ids = lm.speller(path).spell(words)
             pairs.add(ids)
             inputs, wanted, _, n = lm.windows(ids)
             seen += n
             both = np.concatenate([inputs, wanted], axis=1).astype("<u2")
-            if len(both):
-                yield row(2, [None], [len(both)], [lm.pack(both)])
-            if len(count) > COUNTED:
-                for part in _parts(count):
-                    yield row(0, [w for w, _ in part], [n for _, n in part], [None] * len(part))
-                count = Counter()
-        for part in _parts(count):
-            yield row(0, [w for w, _ in part], [n for _, n in part], [None] * len(part))
+            for i in range(0, len(both), PACKED):
+                yield row(2, [None], [len(both[i : i + PACKED])], [lm.pack(both[i : i + PACKED])])
         if seen:
             yield row(1, [None], [seen], [_sparse(pairs.settle())])
 
     return written(docs.select(F.col(text).cast("string")).mapInArrow(released(run), GATHERED), "gathered")
 
 
-def _parts(count: Counter, size: int = 20_000) -> Iterator[list]:
-    items = list(count.items())
-    for i in range(0, len(items), size):
-        yield items[i : i + size]
-
-
 def _sparse(counts: np.ndarray) -> bytes:
     at = np.flatnonzero(counts)
     return lm.pack(np.concatenate([at, counts[at]]))
@@ -162,7 +150,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
     schema = f"_row long, {key} {kind}, held_out boolean, n_tokens long, known long, base double, score double, words array<binary>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (head, times, weights, tables), speller = shared.value, lm.Speller(path)
+        (head, times, weights, tables), speller = shared.value, lm.speller(path)
         log_of, nothing = {w: math.log10((c + 0.5) / total) for w, c in zip(head, times)}.get, repeat(0.0)  # no logarithm is 0
         at = TaskContext.get().partitionId() << 36
         for batch in together(batches, TOGETHER):

@@ -571,6 +571,55 @@ def test_attention_is_causal_normalized_and_learns():
     assert n == sum(map(len, train))
 
 
+def plainly(w, table, before, token):
+    """The log probability of a token behind CONTEXT inputs, as the definition says, in double precision."""
+    w = {k: v.astype(float) for k, v in w.items()}
+    x = w["token"][before] + w["place"][: len(before)]
+    a = (x @ w["k"]) @ (x[-1] @ w["q"]) / math.sqrt(attention_lm.WIDTH)
+    a = np.exp(a) / np.exp(a).sum()
+    logits = (x[-1] + a @ (x @ w["v"]) @ w["out"]) @ w["choice"]
+    t, last, total = int(table[3][token]), int(before[-1]), 0.0
+    for (i, j), of, row, pick in zip(((0, 16), (16, 32), (32, 40)), table, (last, last * 16 + (t >> 7), last * 256 + (t >> 3)), (t >> 7, t >> 3 & 15, t & 7)):
+        z = logits[i:j] + of[row]
+        total += z[pick] - math.log(np.exp(z).sum())
+    return total
+
+
+def test_scores_and_gradient_by_definition():
+    """Keys and values are never made (a fold that the passes before lacked), and the gradient is that of the scores."""
+    n, g = attention_lm.VOCAB, np.random.Generator(np.random.PCG64(8))
+    tables = attention_lm.tables(g.integers(0, 3, n * n))
+    w = attention_lm.fresh_weights() | {"choice": g.standard_normal(attention_lm.SHAPES["choice"]).astype(np.float32)}
+    inputs, wanted, *_ = attention_lm.windows([g.integers(0, n - 1, 37).astype("<u2")])
+    f = attention_lm.fold(w)
+    assert all(x.shape[0] <= attention_lm.CONTEXT for x in f[1:])  # nothing but the subwords themselves has a row a subword
+    got, kept = attention_lm.forward(w, tables, inputs, wanted)
+    back = attention_lm.CONTEXT - attention_lm.STRIDE + 1
+    want = [[plainly(w, tables, x[: back + i], t) if t < n else 0 for i, t in enumerate(y)] for x, y in zip(inputs, wanted)]
+    assert np.allclose(got, np.ravel(want), atol=1e-3) and np.allclose(attention_lm.folded(f, tables, inputs, wanted), got)
+    slope, size = attention_lm.gradient(w, f, inputs, kept), (wanted < n).sum()
+    mean = lambda w: -attention_lm.forward(w, tables, inputs, wanted)[0].sum(dtype=float) / size
+    for k in w:
+        way = (slope[k] / np.linalg.norm(slope[k])).astype(np.float32)
+        by = (mean(w | {k: w[k] + np.float32(0.02) * way}) - mean(w | {k: w[k] - np.float32(0.02) * way})) / 0.04
+        assert math.isclose(by, np.linalg.norm(slope[k]), rel_tol=0.03)
+    huge = attention_lm.forward(w | {"choice": w["choice"] * 100}, tables, inputs, wanted)[0]
+    assert np.isfinite(huge).all()
+
+
+def test_new_words_are_spelled_in_one_call(monkeypatch):
+    speller = attention_lm.Speller(attention_lm.vocabulary_path(), 3)
+    calls, spelled = [], speller._spelled
+    monkeypatch.setattr(speller, "_spelled", lambda words: calls.append(len(words)) or spelled(words))
+    for texts in (["the cat \u00a0 sat\x00 the", None], ["", "caf\u00e9 \u65e5\u672c\u8a9e the " + "x" * 3000]):
+        words = attention_lm.Words(pa.array(texts, pa.string()))
+        piece = speller._code._core_bpe.encode_single_piece
+        want = [[i for w in re.findall(r"[^\x20\x09-\x0D]+", t or "") for i in piece((" " + w).encode())] + [attention_lm.END] for t in texts]
+        assert [x.tolist() for x in speller.spell(words)] == want
+    assert len(calls) == 2 and calls[1] > 3  # more than 3 words were kept, so they are forgotten
+    assert [np.frombuffer(x, "<u2").tolist() for x in spelled([b"\xff\xfe", b"a"])] == [piece(b" \xff\xfe"), piece(b" a")]
+
+
 def test_each_token_attends_to_at_least_17_inputs():
     n, rng_ = attention_lm.VOCAB, np.random.Generator(np.random.PCG64(3))
     tables = attention_lm.tables(rng_.integers(0, 3, n * n))
