@@ -34,7 +34,7 @@ TOKENIZER, END = "word_bpe_49k.json", 2
 CHUNK_IDS = 1 << 20
 #: Texts are encoded together up to this many bytes. In a task, a worker keeps the ids of about 2 * KEPT words and KEPT
 #: units; between tasks, those of about KEPT words.
-TOGETHER, KEPT = 8 << 20, 350_000
+TOGETHER, KEPT = 8 << 20, 700_000
 #: Words of signs, digits and Latin letters in composed form; and their units, in lower case.
 _plain = re.compile("[\\x21-\\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 _units = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
@@ -105,9 +105,10 @@ class Encoder:
             w = words[i]
             ids = old.get(w)
             if ids is None:
-                if w.isalpha() and w.isascii():
+                ascii = w.isascii()
+                if ascii and w.isalpha():
                     ids = unit(w.lower())
-                elif _plain.fullmatch(w) and "<|" not in w:
+                elif (w.isprintable() if ascii else _plain.fullmatch(w)) and "<|" not in w:  # printable: no control characters
                     ids = b"".join(map(unit, _units.findall(w.lower())))
                 else:
                     whole.append(i)

@@ -406,6 +406,24 @@ def test_encoder():
     assert ids.tolist() == [*other.tokenizer.encode("a b").ids, 2, 2, 2] and sizes.tolist() == [3, 1, 1]
 
 
+def test_new_words_take_the_short_way(monkeypatch):
+    """Words of printable ASCII meet no pattern before they are split, and words of earlier batches aren't split again."""
+    code, asked = token_files.Encoder(token_files.tokenizer_path()), []
+    pattern, unit = token_files._plain, code.units.tokenize
+    monkeypatch.setattr(token_files, "_plain", type("Asked", (), {"fullmatch": lambda self, w: asked.append(w) or pattern.fullmatch(w)})())
+    texts = ["Don't a1,b2 (x)... caf\u00e9! a\x7fb \x01, <|endoftext|>."]
+    ids, _ = code.encode(pa.array(texts))
+    assert ids.tolist() == [*code.tokenizer.encode(texts[0], add_special_tokens=False).ids, 2] and asked == ["caf\u00e9!"]
+    split = []
+    code.units.tokenize = lambda u: split.append(u) or unit(u)
+    letters = [chr(97 + i) for i in range(26)]
+    for first in range(0, 520_000, 52_000):  # more words than were kept before, in ten batches
+        code._words([f"{letters[i % 26]}{i}" for i in range(first, first + 52_000)])
+    split.clear()
+    code._words([f"{letters[i % 26]}{i}" for i in range(52_000)])
+    assert len(code.young) == 520_000 + 8 and not split
+
+
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
