@@ -14,6 +14,7 @@ and attends to all earlier ones there. Windows are scored in batches under one c
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from array import array
 from functools import lru_cache
@@ -33,6 +34,8 @@ CONTEXT, STRIDE, WIDTH = 32, 16, 16
 MASK = np.where(np.arange(CONTEXT)[None, :] <= (np.arange(STRIDE) + CONTEXT - STRIDE)[:, None], 0, -1e9).astype(np.float32)
 #: 1 where a logit belongs to a step.
 OF_STEP = np.repeat(np.eye(len(STEPS), dtype=np.float32), STEPS, axis=0)
+#: Each subword's pairs of columns.
+PAIRS = np.arange(VOCAB * WIDTH // 2).reshape(VOCAB, -1)
 SHAPES = {
     "token": (VOCAB, WIDTH), "place": (CONTEXT, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "out": (WIDTH, WIDTH),
     "choice": (WIDTH, EDGES[-1]),
@@ -45,52 +48,59 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Speller(dict):
-    """Words (bytes) to their subword ids as little-endian 16-bit integers, each spelled once as long as it is kept; the
-    new ones of many texts are spelled in one call."""
+class Spelled:
+    """Subword ids (16-bit integers) of words, one word's after the other's, and how many each has."""
 
-    def __init__(self, path: str, kept: int = 300_000):
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.flat, self.size = flat, size
+
+    def __iter__(self):
+        return (x.tobytes() for x in np.split(self.flat, np.cumsum(self.size)[:-1]))
+
+
+class Speller:
+    """Words (bytes) to their subword ids; the distinct words of many texts are spelled in one call. None are kept (`kept`
+    does nothing any more): most are rare, and to look up and store each took longer than to spell it."""
+
+    def __init__(self, path: str, kept: int = 0):
         import tiktoken
 
-        self.kept = kept
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        # no word holds a line feed, so it stands between words
-        self._code = tiktoken.Encoding("subwords", pat_str=r"\n|[^\n]+", mergeable_ranks={k: v for k, v in ranks.items() if v < END}, special_tokens={})
-        (self._between,) = self._code.encode("\n")
+        ranks = {k: v for k, v in ranks.items() if v < END}
+        # words hold no space, so a subword that begins with one begins a word
+        self._code = tiktoken.Encoding("subwords", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
+        self._begins = np.zeros(VOCAB, bool)
+        self._begins[[v for k, v in ranks.items() if k[:1] == b" "]] = True
 
-    def _spelled(self, words: list[bytes]) -> list[bytes]:
+    def _spelled(self, words: list[bytes]) -> Spelled:
         try:
-            ids = self._code.encode_to_numpy((b" " + b"\n ".join(words) + b"\n").decode())
+            ids = self._code.encode_to_numpy(b" ".join([b"", *words]).decode()).astype("<u2")
         except UnicodeDecodeError:  # some word isn't UTF-8
-            return [array("H", self._code._core_bpe.encode_single_piece(b" " + w)).tobytes() for w in words]
-        raw, ends = ids.astype("<u2").tobytes(), (2 * np.flatnonzero(ids == self._between)).tolist()
-        return [raw[a:b] for a, b in zip([0, *(e + 2 for e in ends)], ends)]
+            each = [self._code._core_bpe.encode_single_piece(b" " + w) for w in words]
+            return Spelled(np.array([i for x in each for i in x], "<u2"), np.array([len(x) for x in each], np.int32))
+        return Spelled(ids, np.diff(np.flatnonzero(self._begins.take(ids)), append=len(ids)).astype(np.int32))
 
     def spell(self, words: "Words") -> list[np.ndarray]:
         """The subwords of each text."""
-        if len(self) > self.kept:
-            self.clear()
-        kinds = list(map(self.get, words.kinds))
-        kinds[-1] = np.array([END], "<u2").tobytes()
-        if new := [i for i, ids in enumerate(kinds) if ids is None]:
-            named = [words.kinds[i] for i in new]
-            for i, w, ids in zip(new, named, self._spelled(named)):
-                kinds[i] = self[w] = ids
-        size = np.fromiter(map(len, kinds), np.int32, len(kinds)) // 2
-        flat = walked(np.frombuffer(b"".join(kinds), "<u2"), size, words.kind)
+        named = words.kinds[:-1]
+        if words.blank:
+            named[named.index(b"")] = b"-"  # stands in no text
+        kinds = self._spelled(named)
+        flat, size = np.append(kinds.flat, np.array([END], "<u2")), np.append(kinds.size, np.int32(1))
+        flat = walked(flat, size, words.kind)
         return np.split(flat, np.cumsum(size[words.kind], dtype=np.int64)[words.ends - 1][:-1]) if len(words.ends) else []
 
 
 @lru_cache(1)
 def speller(path: str) -> Speller:
-    """One for each worker, whose next task goes on with the words it knows."""
+    """One for each worker."""
     return Speller(path)
 
 
 class Words:
     """The words of texts, each text followed by the end: distinct ones (kinds, the end last, as b""), the number of each
-    word among them (kind), and where each text ends (ends)."""
+    word among them (kind), where each text ends (ends), and whether kinds holds another b"", which is no word (blank)."""
 
     def __init__(self, texts: pa.Array):
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -100,7 +110,8 @@ class Words:
         kind = np.insert(numbered.indices.to_numpy(zero_copy_only=False), first[1:] - first[0], len(self.kinds) - 1)
         ends = first[1:] - first[0] + np.arange(1, len(texts) + 1)
         blank = self.kinds.index(b"")  # before and behind white space
-        if blank < len(self.kinds) - 1:
+        self.blank = blank < len(self.kinds) - 1
+        if self.blank:
             real = kind != blank
             kind, ends = kind[real], np.cumsum(real)[ends - 1]
         self.kind, self.ends = kind, ends
@@ -270,33 +281,33 @@ def gradient(w: dict, f: tuple, inputs: np.ndarray, kept: tuple) -> dict[str, np
     for (d, sums, at), part in zip(steps, choice):
         d *= each[:, None] / sums
         d.reshape(-1)[at] -= each
-        dh = d @ part.T if dh is None else np.add(dh, d @ part.T, out=dh)
+        back = d @ np.ascontiguousarray(part.T)  # such products are faster than with a turned view
+        dh = back if dh is None else np.add(dh, back, out=dh)
         of_choice.append(h.T @ d)
-    of_leave, dc = c.T @ dh, dh @ leave.T
-    ds = dc.reshape(n, STRIDE, WIDTH) @ across
-    ds -= np.einsum("ij,ij->i", dc, c).reshape(n, STRIDE, 1)  # the mean of ds under the attention
-    ds *= a
-    dq = (ds @ x).reshape(-1, WIDTH)
+    of_leave, dc = c.T @ dh, dh @ np.ascontiguousarray(leave.T)
+    of_weights = dc.reshape(n, STRIDE, WIDTH) @ across
+    of_weights *= a
+    mean = (dc * c) @ np.ones((WIDTH, WIDTH), np.float32)  # of a query's slopes under its attention, in each column
+    dq = (of_weights @ x).reshape(-1, WIDTH)
+    dq -= mean * c
+    mean *= q.reshape(-1, WIDTH)
+    dc -= mean
     dx = a.transpose(0, 2, 1) @ dc.reshape(n, STRIDE, WIDTH)
-    dx += ds.transpose(0, 2, 1) @ q
+    dx += of_weights.transpose(0, 2, 1) @ q
     of_both = last.T @ dq * np.float32(WIDTH**-0.5)
-    dh += dq @ both.T
+    dh += dq @ np.ascontiguousarray(both.T)
     dx[:, CONTEXT - STRIDE :] += dh.reshape(n, STRIDE, WIDTH)
     return {
-        "token": _summed(inputs, dx.reshape(-1, WIDTH)), "place": dx.sum(axis=0), "q": of_both @ w["k"], "k": of_both.T @ w["q"], "v": of_leave @ w["out"].T,
+        "token": _summed(inputs, dx), "place": (np.ones(n, np.float32) @ dx.reshape(n, -1)).reshape(CONTEXT, WIDTH), "q": of_both @ w["k"], "k": of_both.T @ w["q"], "v": of_leave @ w["out"].T,
         "out": w["v"].T @ of_leave, "choice": np.concatenate(of_choice, axis=1),
     }
 
 
 def _summed(inputs: np.ndarray, dx: np.ndarray) -> np.ndarray:
     """The sum of each subword's rows."""
-    flat = inputs.astype(np.uint16).ravel()  # 16-bit numbers are sorted by their digits
-    times = np.bincount(flat)
-    ids = np.flatnonzero(times)
-    rows = dx.take(np.argsort(flat, kind="stable"), axis=0).view(np.complex64)  # two columns are added at once
-    token = np.zeros(SHAPES["token"], np.float32)
-    token[ids] = np.add.reduceat(rows, np.cumsum(times[ids]) - times[ids], axis=0).view(np.float32)
-    return token
+    token = np.zeros(PAIRS.size, np.complex64)  # two columns are added at once
+    np.add.at(token, PAIRS.take(inputs.ravel(), axis=0).ravel(), dx.view(np.complex64).ravel())
+    return token.view(np.float32).reshape(SHAPES["token"])
 
 
 def train(w: dict, table: tuple, inputs: np.ndarray, wanted: np.ndarray, rate: float, batch: int = 128) -> dict[str, np.ndarray]:
@@ -304,24 +315,24 @@ def train(w: dict, table: tuple, inputs: np.ndarray, wanted: np.ndarray, rate: f
     flat = np.concatenate([w[k].ravel() for k in SHAPES])  # one array, so that a step takes few calls
     edges = np.cumsum([0, *(w[k].size for k in SHAPES)])
     w = {k: flat[a:b].reshape(s) for (k, s), a, b in zip(SHAPES.items(), edges, edges[1:])}
-    first, second, move, size = (np.zeros_like(flat) for _ in range(4))
+    first, second = np.zeros_like(flat), np.zeros_like(flat)
     for step, i in enumerate(range(0, len(inputs), batch), 1):
         part, f = inputs[i : i + batch], fold(w)
         d = gradient(w, f, part, _attended(f, table, part, wanted[i : i + batch]))
         g = np.concatenate([d[k].ravel() for k in SHAPES])
-        np.subtract(g, first, out=move)
-        move *= 0.1
-        first += move
-        g *= g
-        g -= second
-        g *= 0.01
+        g *= 0.1
+        first *= 0.9
+        first += g
+        g *= g  # a hundredth of the slope's square
+        second *= 0.99
         second += g
-        np.multiply(second, 1 / (1 - 0.99**step), out=size)
-        np.sqrt(size, out=size)
-        size += 1e-6
-        np.divide(first, size, out=move)
-        move *= rate / (1 - 0.9**step)
-        flat -= move
+        # the means' first steps count less: both are divided by what their weights add up to
+        least = math.sqrt(1 - 0.99**step)
+        np.sqrt(second, out=g)
+        g += 1e-6 * least
+        np.divide(first, g, out=g)
+        g *= rate * least / (1 - 0.9**step)
+        flat -= g
     return w
 
 
@@ -336,5 +347,5 @@ def score(w: dict, table: tuple, docs: list[np.ndarray], at_once: int = 192) ->
     return total / np.log(10)
 
 
-def pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+def pack(a: np.ndarray, level: int = 1) -> bytes:
+    return zlib.compress(a.tobytes(), level)

@@ -65,9 +65,11 @@ def gather(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             pairs.add(ids)
             inputs, wanted, _, n = lm.windows(ids)
             seen += n
-            both = np.concatenate([inputs, wanted], axis=1).astype("<u2")
+            both = np.concatenate([inputs.astype("<u2"), wanted.astype("<u2")], axis=1)
+            del inputs, wanted
+            # not compressed: Spark's files are, in less time
             for i in range(0, len(both), PACKED):
-                yield row(2, [None], [len(both[i : i + PACKED])], [lm.pack(both[i : i + PACKED])])
+                yield row(2, [None], [len(both[i : i + PACKED])], [lm.pack(both[i : i + PACKED], 0)])
         if seen:
             yield row(1, [None], [seen], [_sparse(pairs.settle())])
 

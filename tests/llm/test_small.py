@@ -638,6 +638,35 @@ def test_new_words_are_spelled_in_one_call(monkeypatch):
     assert [np.frombuffer(x, "<u2").tolist() for x in spelled([b"\xff\xfe", b"a"])] == [piece(b" \xff\xfe"), piece(b" a")]
 
 
+def test_speller_keeps_no_words_and_windows_are_stored_as_they_are(spark):
+    speller = attention_lm.Speller(attention_lm.vocabulary_path())
+    words = attention_lm.Words(pa.array([" the cat ", "", None, "\t sat"], pa.string()))
+    piece = speller._code._core_bpe.encode_single_piece
+    end = [attention_lm.END]
+    assert [x.tolist() for x in speller.spell(words)] == [piece(b" the") + piece(b" cat") + end, end, end, piece(b" sat") + end]
+    assert not any(isinstance(x, dict) and b"cat" in x for x in (speller, *vars(speller).values()))
+    docs = spark.createDataFrame([(prose(300),)], "text string")
+    (row,) = lm_scoring.gather(docs, attention_lm.vocabulary_path()).where("kind = 2").collect()
+    assert len(row["data"]) > row["n"] * 2 * (attention_lm.CONTEXT + attention_lm.STRIDE)  # compressed by Spark's files alone
+
+
+def test_training_steps_are_those_of_adam():
+    g = np.random.Generator(np.random.PCG64(4))
+    tables = attention_lm.tables(g.integers(0, 3, attention_lm.VOCAB**2))
+    w = attention_lm.fresh_weights() | {"choice": g.standard_normal(attention_lm.SHAPES["choice"]).astype(np.float32)}
+    inputs, wanted, *_ = attention_lm.windows([g.integers(0, attention_lm.END, 320).astype("<u2")])
+    got = attention_lm.train(w, tables, inputs, wanted, 0.02, batch=8)
+    first, second = ({k: np.zeros(x.shape) for k, x in w.items()} for _ in range(2))
+    for step, i in enumerate(range(0, len(inputs), 8), 1):
+        _, kept = attention_lm.forward(w, tables, inputs[i : i + 8], wanted[i : i + 8])
+        for k, x in attention_lm.gradient(w, attention_lm.fold(w), inputs[i : i + 8], kept).items():
+            first[k] = 0.9 * first[k] + 0.1 * x
+            second[k] = 0.99 * second[k] + 0.01 * x.astype(float) ** 2
+            move = first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+            w = w | {k: (w[k] - 0.02 * move).astype(np.float32)}
+    assert step == 3 and all(np.allclose(got[k], w[k], atol=2e-4) for k in w)
+
+
 def test_each_token_attends_to_at_least_17_inputs():
     n, rng_ = attention_lm.VOCAB, np.random.Generator(np.random.PCG64(3))
     tables = attention_lm.tables(rng_.integers(0, 3, n * n))
